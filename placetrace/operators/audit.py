@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placetrace.functions.geo import is_coarse
@@ -159,19 +159,23 @@ def build_counts(entities: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
 
 def audit_checks(old_entities: DataFrame, old_obs: DataFrame, new_obs: DataFrame, traced: DataFrame) -> DataFrame:
     """(check_name, violations) of the before/after accounting."""
+
+    def row(name: str, violations: Column) -> Column:
+        return F.struct(F.lit(name).alias("check_name"), violations.alias("violations"))
+
     sums = accounting(old_obs, new_obs)
     rows = sums.select(
         F.inline(
             F.array(
-                F.struct(
-                    F.lit("every_old_observation_joined_once").alias("check_name"),
-                    F.abs(F.col("old_observation_rows") - F.col("joined_rows")).alias("violations"),
+                row(
+                    "every_old_observation_joined_once",
+                    F.abs(F.col("old_observation_rows") - F.col("joined_rows")),
                 ),
-                F.struct(
-                    F.lit("every_old_valid_endpoint_preserved"),
+                row(
+                    "every_old_valid_endpoint_preserved",
                     F.abs(F.col("old_endpoints") - F.col("joined_endpoints")),
                 ),
-                F.struct(F.lit("no_observation_endpoint_counts_changed"), F.col("changed_counts")),
+                row("no_observation_endpoint_counts_changed", F.col("changed_counts")),
             )
         )
     )

@@ -128,7 +128,7 @@ CATALOG = (
     {
         "station_id": "id",
         "station_name": "name",
-        "lat": "lat + (c % 3) * (CASE WHEN k % 25 = 0 THEN 1E-2 ELSE 2E-4 END)",
+        "lat": "CASE WHEN k % 45 = 20 THEN NULL ELSE lat END + (c % 3) * (CASE WHEN k % 25 = 0 THEN 1E-2 ELSE 2E-4 END)",
         "lon": "lon",
         "reported_online_at": "CASE WHEN c % 8 = 0 THEN NULL ELSE"
         " CAST(CAST('2013-06-01' AS DATE) + CAST(c % 400 AS INT) AS {ntz}) END",
