@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from placetrace.functions.text import join_list, sorted_list, split_list
+from placetrace.functions.text import join_list, sorted_list
 from placetrace.params import DEFAULT, Rules
 
 # Quality flags that make a first date worth a review, in order.
@@ -103,7 +103,7 @@ def flags_where(**conditions: Column) -> Column:
 
 def tidy_flags(joined: Column) -> Column:
     """Sorted `` | `` list without blanks or repeats."""
-    parts = F.transform(split_list(joined), F.trim)
+    parts = F.transform(F.split(joined, r"\|"), lambda part: F.trim(part))
     return join_list(sorted_list(F.filter(parts, lambda part: part != "")))
 
 

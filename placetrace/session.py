@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,14 +24,11 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) ->
     return spark
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which a cluster must name and share.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``.  Only a
-    local session without one gets a temporary folder; a cluster must name a
-    shared one, because executors can be lost and must find the files again.
+    Only a local session without ``spark.checkpoint.dir`` gets a temporary one.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -39,4 +37,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="placetrace-checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df``: write it to the checkpoint folder and read it back.
+
+    The written table survives the loss of executors.  Unlike the result of
+    ``DataFrame.checkpoint`` it has the true size, by which Spark chooses joins,
+    and it does not carry the constraints of the old plan, which multiply from
+    round to round in iterative jobs.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
