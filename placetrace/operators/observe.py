@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from placetrace.functions.geo import in_box, is_coarse
 from placetrace.functions.text import normalize_name
 from placetrace.functions.times import valid_trip
-from placetrace.operators.joins import join_null_safe
 from placetrace.operators.quantiles import grouped_quantiles
 from placetrace.params import DEFAULT, Rules
 
@@ -50,14 +49,15 @@ def observe(trips: DataFrame, by: Sequence[str] = LINEAGE, rules: Rules = DEFAUL
     """
     by = [name for name in by if name in trips.columns]
     keys = [*by, *PLACE]
-    ends = endpoints(trips, rules)
+    # One struct key: NULL ids and names are equal in it, and plans stay small.
+    ends = endpoints(trips, rules).withColumn("place", F.struct(*keys)).drop(*keys)
     valid = F.col("valid_trip")
     fine = valid & F.col("in_region") & ~F.col("coarse")
     coarse = valid & F.col("in_region") & F.col("coarse")
     first = F.min(
         F.when(valid & F.col("trip_id").isNotNull(), F.struct("event_at", "trip_id"))
     )
-    counts = ends.groupBy(*keys).agg(
+    counts = ends.groupBy("place").agg(
         F.count(F.lit(1)).alias("endpoint_count"),
         F.count_if(valid).alias("valid_endpoint_count"),
         F.min(F.when(valid, F.col("event_at"))).alias("first_at"),
@@ -68,7 +68,7 @@ def observe(trips: DataFrame, by: Sequence[str] = LINEAGE, rules: Rules = DEFAUL
     )
     series = F.when(F.col("coarse"), "coarse").otherwise("fine")
     values = ends.filter(valid & F.col("in_region")).select(
-        *keys,
+        "place",
         F.inline(
             F.array(
                 F.struct(F.concat(series, F.lit("_lat")).alias("series"), F.col("lat").alias("value")),
@@ -78,7 +78,7 @@ def observe(trips: DataFrame, by: Sequence[str] = LINEAGE, rules: Rules = DEFAUL
     )
     spots = grouped_quantiles(
         values,
-        keys,
+        "place",
         {
             "coarse_lat": {"coarse_lat": 0.5},
             "coarse_lon": {"coarse_lon": 0.5},
@@ -86,6 +86,5 @@ def observe(trips: DataFrame, by: Sequence[str] = LINEAGE, rules: Rules = DEFAUL
             "fine_lon": {"lon": 0.5, "lon_p05": 0.05, "lon_p95": 0.95},
         },
     )
-    return join_null_safe(counts, spots, keys).withColumn(
-        "name_key", normalize_name(F.col("station_name"))
-    )
+    joined = counts.join(spots, "place", "left").select("place.*", "*").drop("place")
+    return joined.withColumn("name_key", normalize_name(F.col("station_name")))

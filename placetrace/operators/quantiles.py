@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placetrace.operators.joins import join_null_safe
-
 # Degrees per bucket: a group spans a bounded box, so it has a bounded number
 # of buckets, and a bucket holds only the distinct values within some metres.
 BUCKET = 1e-4
@@ -23,21 +21,21 @@ def _ranks(total: Column, p: float) -> tuple[Column, Column, Column]:
 
 def grouped_quantiles(
     values: DataFrame,
-    keys: Sequence[str],
+    key: str,
     wanted: Mapping[str, Mapping[str, float]],
     bucket: float = BUCKET,
 ) -> DataFrame:
     """Linear-interpolation quantiles of several value series at once.
 
-    ``values`` has the key columns, ``series`` (text) and ``value`` (double);
-    ``wanted`` maps output columns to a probability, per series.  The built-in
+    ``values`` has the key, ``series`` (text) and ``value`` (double); ``wanted``
+    maps output columns to a probability, per series.  A key of several columns
+    is given as one struct, in which NULL fields compare as equal.  The built-in
     ``percentile`` ships a map of all values of a group to one task, which a hot
     group breaks.  Here equal values are combined before the first shuffle,
     ranks are located in bucket totals, and only the buckets that hold a wanted
     rank are sorted - each on its own.
     """
-    keys = list(keys)
-    group = [*keys, "series"]
+    group = [key, "series"]
     counted = (
         values.filter(F.col("value").isNotNull())
         .groupBy(*group, F.floor(F.col("value") / bucket).alias("bucket"), "value")
@@ -73,7 +71,7 @@ def grouped_quantiles(
     )
     inside = Window.partitionBy(*group, "bucket").orderBy("value")
     ranked = (
-        join_null_safe(counted, needed, [*group, "bucket"], "inner")
+        counted.join(needed, [*group, "bucket"])
         .withColumn("end", F.col("before") + F.sum("n").over(inside))
         .withColumn("start", F.col("end") - F.col("n"))
         .filter(any_rank(F.col("start"), F.col("end")))
@@ -86,4 +84,4 @@ def grouped_quantiles(
         at_high = F.max(F.when(this & holds(F.col("start"), F.col("end"), high), F.col("value")))
         share = F.max(F.when(this, fraction))
         picks.append((at_low + (at_high - at_low) * share).alias(column))
-    return ranked.groupBy(*keys).agg(*picks)
+    return ranked.groupBy(key).agg(*picks)

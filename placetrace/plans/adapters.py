@@ -201,11 +201,15 @@ def _chain(df: DataFrame, steps: tuple[dict[str, str], ...]) -> DataFrame:
 
 
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as trips from the customer's place to the supplier's."""
+    """Order lines as trips from the customer's place to the supplier's.
+
+    The two big tables are merged on their key at any scale, so that the work
+    after the join is spread even when a table comes as one small file.
+    """
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     starts = _chain(table(spark, sf_dir, "customer"), START_PLACES)
     ends = _chain(table(spark, sf_dir, "supplier"), END_PLACES)
-    joined = _chain(lines.join(orders, lines.l_orderkey == orders.o_orderkey), TRIPS[:1])
+    joined = _chain(lines.hint("merge").join(orders, lines.l_orderkey == orders.o_orderkey), TRIPS[:1])
     placed = joined.join(starts, F.col("k1") == F.col("a_key")).join(
         ends, F.col("k2") == F.col("b_key")
     )

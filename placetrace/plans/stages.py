@@ -42,9 +42,9 @@ class Stages:
             _DONE[key] = checkpoint(build())
         return _DONE[key]
 
-    # Sources; read again wherever they are used.
+    # Sources.  Normalised trips are written once and then scanned by column.
     def trips(self) -> DataFrame:
-        return adapters.trips(self.spark, self.sf_dir)
+        return self._once("trips", lambda: adapters.trips(self.spark, self.sf_dir))
 
     def catalog(self) -> DataFrame:
         return adapters.catalog(self.spark, self.sf_dir)

@@ -79,10 +79,11 @@ def test_quantiles_match_numpy_with_a_hot_group(spark):
     groups = {"hot": rng.normal(41.9, 0.05, 4000), "one": np.array([41.5]), "ties": np.repeat([41.6, 41.7], 7)}
     groups["hot"][:1500] = 41.9
     rows = [(g, "s", float(v)) for g, many in groups.items() for v in many] + [(None, "s", 42.0)]
-    df = spark.createDataFrame(rows, "station_id string, series string, value double").repartition(7)
+    df = spark.createDataFrame(rows, "station_id string, series string, value double")
+    df = df.withColumn("place", F.struct("station_id")).repartition(7)
     wanted = {"s": {"p05": 0.05, "mid": 0.5, "p95": 0.95}}
     for bucket in (1e-4, 0.5):
-        got = {r.station_id: r for r in grouped_quantiles(df, ["station_id"], wanted, bucket).collect()}
+        got = {r.place.station_id: r for r in grouped_quantiles(df, "place", wanted, bucket).collect()}
         assert got[None].mid == 42.0
         for name, many in groups.items():
             for column, p in wanted["s"].items():
