@@ -98,10 +98,12 @@ def online_dates(clustered: DataFrame, catalog: DataFrame, rules: Rules = DEFAUL
     no_point = ~in_box(F.col("lat"), F.col("lon"), rules.box)
     gap = haversine(F.col("lat"), F.col("lon"), F.col("anchor_lat"), F.col("anchor_lon"))
     near = F.col("anchor_lat").isNull() | no_point | (gap <= rules.match_metres)
+    # Every id with every name of an entity, then one join on both: a catalog row
+    # meets only the entities it belongs to, however often its id is reused.
     return (
-        ids.join(dated, "station_id")
+        ids.join(names, "station_key")
+        .join(dated, ["station_id", "name_key"])
         .filter(near)
-        .join(names, ["station_key", "name_key"], "left_semi")
         .groupBy("station_key")
         .agg(
             F.min("reported_online_at").alias("reported_online_at"),
