@@ -1028,12 +1028,11 @@ def _(s: Stages) -> DataFrame:
 )
 def _(s: Stages) -> DataFrame:
     plain, feeds, candidates, public = s.reconciled(), s.feeds(), s.candidates(), s.public()
-    no_merges = s.merges().limit(0)
     covered = matching.coverage(feeds, candidates, plain)
     joined = matching.enrich_inventory(s.city(), public)
     return checks.all_checks(
         [
-            checks.build_checks(plain, public, s.clustered(), s.excluded(), s.trips(), no_merges),
+            checks.build_checks(plain, public, s.clustered(), s.excluded(), s.trips(), s.merges()),
             checks.reconciliation_checks(plain, feeds, candidates, covered),
             checks.inventory_checks(joined, s.city(), public),
         ]
