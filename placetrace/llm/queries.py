@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from placetrace.llm.decontaminate import contaminated
+from placetrace.llm.packing import pack, token_lengths
 from placetrace.llm.quality import quality
+from placetrace.llm.sharding import shards
 from placetrace.llm.tables import table
 from placetrace.llm.toxicity import toxicity
 
@@ -23,3 +26,18 @@ def op2_toxicity(spark, sf_dir):
 @query
 def op8_quality(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_decontaminate(spark, sf_dir):
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op7_shards(spark, sf_dir):
+    return shards(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_packing(spark, sf_dir):
+    return pack(token_lengths(table(spark, sf_dir, "documents")))

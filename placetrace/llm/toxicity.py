@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placetrace.llm.tables import held_out, labelled_sample, texts
+from placetrace.llm.tables import held_out, labelled_sample, stored, texts
 
 # Look-alike letters of other scripts and signs used for letters.
 LOOKALIKES = {
@@ -47,8 +47,9 @@ class Settings:
 
     sample: int = 20000
     terms: int = 5000
+    candidates: int = 50000
     least_documents: int = 5
-    least_log_odds: float = 2.5
+    least_log_odds: float = 3.5
     prefixes: tuple[int, int] = (4, 12)
     exceptions: tuple[str, ...] = EXCEPTIONS
 
@@ -75,29 +76,49 @@ def fold(text, table):
     return f" {text.lower().translate(table)} "
 
 
-def _terms(settings):
-    """mapInArrow: how many toxic and other documents have each word beginning or whole word."""
+def _words(text, table):
+    return {w for w in fold(text or "", table).split() if len(w) >= 3}
+
+
+def _term_counts(settings, wanted=None, extending=False):
+    """mapInArrow: in how many documents of a batch each word beginning or whole word occurs.
+
+    ``wanted`` restricts the count to its terms; with ``extending``, to the whole
+    words that begin with one of them.
+    """
     low, high = settings.prefixes
 
     def run(batches):
-        table, found = folding(), {0: Counter(), 1: Counter()}
+        table, found = folding(), Counter()
+        heads = {t[:low].rstrip() for t in wanted} if wanted else None
         for batch in batches:
-            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                words = {w for w in fold(text or "", table).split() if len(w) >= 3}
-                terms = {w + " " for w in words}
-                for n in range(low, high + 1):
-                    terms.update(w[:n] for w in words if len(w) > n)
-                found[label].update(terms)
-        rare = [k for k in found[0].keys() | found[1].keys()]
-        for at in range(0, len(rare), 50000):
-            part = rare[at : at + 50000]
-            yield pa.record_batch(
-                [part, [found[1][k] for k in part], [found[0][k] for k in part]], names=["term", "toxic", "other"]
-            )
+            for text in batch.column("text").to_pylist():
+                words = _words(text, table)
+                if heads is not None:
+                    words = [w for w in words if w[:low] in heads]
+                terms = set()
+                for w in words:
+                    begins = [w[:n] for n in range(low, min(high, len(w) - 1) + 1)]
+                    if extending:
+                        if any(b in wanted for b in begins):
+                            terms.add(w + " ")
+                    else:
+                        terms.update(begins)
+                        terms.add(w + " ")
+                found.update(terms & wanted if wanted and not extending else terms)
+        terms = list(found)
+        for at in range(0, len(terms), 50000):
+            part = terms[at : at + 50000]
+            yield pa.record_batch([pa.array(part), pa.array([found[k] for k in part])], names=["term", "n"])
 
     return run
 
 
+def _counted(rows, settings, *how):
+    counts = rows.select("text").mapInArrow(_term_counts(settings, *how), "term string, n long")
+    return counts.groupBy("term").agg(F.sum("n").alias("n"))
+
+
 def _without_copies(chosen):
     """Drop terms that a shorter chosen beginning already stands for."""
     kept = {}
@@ -142,31 +163,26 @@ def _strengths(lexicon, extra, kinds):
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Lexicon:
     """Learn terms, exceptions and the score from a bounded sample of labelled documents."""
-    sample = labelled_sample(docs, labels, "toxic", settings.sample).select("text", "label")
+    sample = stored(labelled_sample(docs, labels, "toxic", settings.sample).select("text", "label"))
     totals = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     if not totals.get(0) or not totals.get(1):
         return Lexicon()
-    counts = (
-        sample.mapInArrow(_terms(settings), "term string, toxic long, other long")
-        .groupBy("term")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    )
-    odds = F.log((F.col("toxic") + 0.5) / (totals[1] + 1)) - F.log((F.col("other") + 0.5) / (totals[0] + 1))
-    scored = counts.withColumn("weight", odds).where(F.col("toxic") + F.col("other") >= settings.least_documents)
-    top = scored.where((F.col("toxic") >= settings.least_documents) & (F.col("weight") >= settings.least_log_odds))
-    chosen = {
-        r.term: float(r.weight)
-        for r in top.orderBy(F.desc(F.col("weight") * F.col("toxic")), "term").limit(settings.terms).collect()
+    toxic, other = sample.where("label = 1"), sample.where("label = 0")
+    often = _counted(toxic, settings).where(F.col("n") >= settings.least_documents)
+    found = {r.term: r.n for r in often.orderBy(F.desc("n"), "term").limit(settings.candidates).collect()}
+    known = {r.term: r.n for r in _counted(other, settings, frozenset(found)).collect()} if found else {}
+    odds = {
+        t: math.log((n + 0.5) / (totals[1] + 1)) - math.log((known.get(t, 0) + 0.5) / (totals[0] + 1))
+        for t, n in found.items()
     }
-    weights = _without_copies(chosen)
-    # Longer words that begin like a term but occur in harmless documents.
-    harmless = scored.where((F.col("weight") < 0) & F.col("term").endswith(" "))
-    starts = sorted({len(t) for t in weights if not t.endswith(" ")})
-    if starts:
-        begins = F.array_distinct(F.array(*[F.substring("term", 1, n) for n in starts]))
-        terms = F.array(*[F.lit(t) for t in sorted(weights) if not t.endswith(" ")])
-        found = harmless.where(F.arrays_overlap(begins, terms)).orderBy(F.desc("other"), "term").limit(settings.terms)
-        weights |= {r.term: 0.0 for r in found.collect()}
+    clear = sorted((-odds[t] * found[t], t) for t in found if odds[t] >= settings.least_log_odds)[: settings.terms]
+    weights = _without_copies({t: odds[t] for _, t in clear})
+    begins = frozenset(t for t in weights if not t.endswith(" "))
+    if begins:
+        # Longer words that begin like a term but occur in harmless documents only.
+        longer = _counted(other, settings, begins, True).where(F.col("n") >= settings.least_documents)
+        top = longer.orderBy(F.desc("n"), "term").limit(settings.terms).collect()
+        weights |= {r.term: 0.0 for r in top if r.term not in found}
     table = folding()
     weights |= {f"{fold(phrase, table).strip()} ": 0.0 for phrase in settings.exceptions}
     lexicon = Lexicon(weights)
