@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from placetrace.llm.decontaminate import contaminated
+from placetrace.llm.near_text import near_duplicates
 from placetrace.llm.packing import pack, token_lengths
 from placetrace.llm.quality import quality
 from placetrace.llm.sharding import shards
@@ -41,3 +42,8 @@ def op7_shards(spark, sf_dir):
 @query
 def op9_packing(spark, sf_dir):
     return pack(token_lengths(table(spark, sf_dir, "documents")))
+
+
+@query
+def op4_minhash_join(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
