@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from placetrace.llm.decontaminate import contaminated
 from placetrace.llm.near_text import near_duplicates
+from placetrace.llm.near_vectors import near_vectors
 from placetrace.llm.packing import pack, token_lengths
 from placetrace.llm.quality import quality
 from placetrace.llm.sharding import shards
@@ -47,3 +48,8 @@ def op9_packing(spark, sf_dir):
 @query
 def op4_minhash_join(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_embedding_links(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"))
