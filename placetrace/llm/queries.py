@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from placetrace.llm.decontaminate import contaminated
 from placetrace.llm.near_text import near_duplicates
 from placetrace.llm.near_vectors import near_vectors
 from placetrace.llm.packing import pack, token_lengths
 from placetrace.llm.quality import quality
 from placetrace.llm.sharding import shards
+from placetrace.llm.suffix_dedup import suffix_dedup
 from placetrace.llm.tables import table
 from placetrace.llm.toxicity import toxicity
 
@@ -53,3 +56,9 @@ def op4_minhash_join(spark, sf_dir):
 @query
 def op10_embedding_links(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op3_suffix_dedup(spark, sf_dir):
+    found = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
