@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from placetrace.llm.decontaminate import contaminated
+from placetrace.llm.lm_score import cross_entropy_difference, good_documents
 from placetrace.llm.near_text import near_duplicates
 from placetrace.llm.near_vectors import near_vectors
 from placetrace.llm.packing import pack, token_lengths
@@ -62,3 +63,9 @@ def op10_embedding_links(spark, sf_dir):
 def op3_suffix_dedup(spark, sf_dir):
     found = suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op6_lm_score(spark, sf_dir):
+    target = good_documents(table(spark, sf_dir, "labels"))
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), target)

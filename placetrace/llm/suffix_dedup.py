@@ -33,16 +33,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from placetrace.llm.chunks import LAST, bucket_of, chunked, packed_rows, pressed, split_by, unpressed
 from placetrace.llm.graph import by_key
 from placetrace.llm.tables import stored
-from placetrace.llm.textkit import BASE, byte_codes, mix, power_tables, text_buffer
-
-LAST = (1 << 63) - 1
-
+from placetrace.llm.textkit import BASE, byte_codes, mix, power_tables
 
 @dataclass(frozen=True)
 class Settings:
@@ -58,53 +55,6 @@ class Settings:
         return self.length - self.gram + 1
 
 
-def pressed(*arrays):
-    return zstandard.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 1)
-
-
-def _chunks(settings, kind):
-    """mapInArrow: documents as rows of about ``chunk_bytes``."""
-
-    def run(batches):
-        number, held, size = TaskContext.get().partitionId() << 32, [], 0
-
-        def made():
-            table = pa.Table.from_batches(held).combine_chunks()
-            data, offsets = text_buffer(table.column("text"))
-            data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-            ids = table.column("doc_id").fill_null(LAST).to_numpy()
-            rest = table.column("rest").combine_chunks()
-            values = [
-                pa.array([number]),
-                pa.array([pressed(ids)], pa.binary()),
-                pa.array([pressed(offsets)], pa.binary()),
-                pa.array([pressed(data)], pa.binary()),
-                pa.array([len(data)]),
-                pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), rest),
-            ]
-            return pa.record_batch(values, names=["chunk", "ids", "offsets", "data", "n_bytes", "rest"])
-
-        for batch in batches:
-            lengths = np.diff(text_buffer(batch.column("text"))[1])
-            start = 0
-            for i, n in enumerate(lengths.tolist()):
-                size += n + 64
-                if size >= settings.chunk_bytes:
-                    held.append(batch.slice(start, i + 1 - start))
-                    yield made()
-                    number, held, size, start = number + 1, [], 0, i + 1
-            if start < batch.num_rows:
-                held.append(batch.slice(start))
-        if held:
-            yield made()
-
-    return run
-
-
-def unpressed(value, dtype):
-    return np.frombuffer(zstandard.decompress(value), dtype)
-
-
 class Chunk:
     """Bytes of a chunk with its anchors: place, window starts it stands for, hash, hash of its context."""
 
@@ -161,19 +111,6 @@ class Chunk:
         return np.searchsorted(self.offsets, starts, "right") - 1
 
 
-def _bucket(codes, n):
-    return ((codes >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
-
-
-def _split(order_key, n):
-    """Positions of each bucket that occurs, each in ascending order of position."""
-    order = np.argsort(order_key, kind="stable")
-    cuts = np.flatnonzero(np.diff(order_key[order])) + 1
-    for part in np.split(order, cuts):
-        if len(part):
-            yield int(order_key[part[0]]), part
-
-
 def _distinct_anchors(chunk):
     """Anchor hashes of a chunk, sorted, and the number of different contexts of each."""
     order = np.lexsort((chunk.context, chunk.code))
@@ -195,22 +132,16 @@ def _anchors(settings, buckets):
                 chunk = Chunk(row, settings).scan()
                 code, times, contexts = _distinct_anchors(chunk)
                 rows = []
-                for bucket, part in _split(_bucket(code, buckets), buckets):
+                for bucket, part in split_by(bucket_of(code, buckets), buckets):
                     counts = np.minimum(contexts[part], 65535).astype(np.uint16)
                     payload = [code[part].tobytes(), pressed(counts, np.minimum(times[part], 2).astype(np.uint16))]
                     rows.append((bucket, chunk.number, *payload))
                 if rows:
-                    yield _batch(rows, ("bucket", "chunk", "codes", "counts"))
+                    yield packed_rows(rows, ("bucket", "chunk", "codes", "counts"))
 
     return run
 
 
-def _batch(rows, names):
-    columns = list(zip(*rows, strict=True))
-    kinds = [pa.binary() if isinstance(c[0], bytes) else pa.int64() for c in columns]
-    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(names))
-
-
 def _flags(settings):
     """mapInArrow over buckets: for each chunk whose anchors repeat, 1 (repeated) or 2 (many contexts)."""
 
@@ -230,7 +161,7 @@ def _flags(settings):
                 if mine.any():
                     out.append((row["chunk"], row["bucket"], pressed(mine)))
             if out:
-                yield _batch(out, ("chunk", "bucket", "flags"))
+                yield packed_rows(out, ("chunk", "bucket", "flags"))
 
     return run
 
@@ -253,13 +184,13 @@ def _contexts(settings, buckets, bins):
                 code = _distinct_anchors(chunk)[0]
                 flag = np.zeros(len(code), np.uint8)
                 sent = {r["bucket"]: unpressed(r["flags"], np.uint8) for r in row["sent"]}
-                for bucket, part in _split(_bucket(code, buckets), buckets):
+                for bucket, part in split_by(bucket_of(code, buckets), buckets):
                     if bucket in sent:
                         flag[part] = sent[bucket]
                 mine = flag[np.searchsorted(code, chunk.code)] if len(code) else flag
                 rows = _context_rows(chunk, mine, settings, bins)
                 if rows:
-                    yield _batch(rows, ("bin", "chunk", "payload"))
+                    yield packed_rows(rows, ("bin", "chunk", "payload"))
 
     return run
 
@@ -284,7 +215,7 @@ def _context_rows(chunk, flag, settings, bins):
     if again.any():
         rows.append((-1, chunk.number, pressed(np.stack([doc[again], (low - at)[again], (high - at)[again]]))))
     first = np.flatnonzero(~again)
-    for number, part in _split(_bucket(key[first], bins), bins):
+    for number, part in split_by(bucket_of(key[first], bins), bins):
         i = first[part]
         ends = high[i] + settings.length
         meta = np.stack([key[i].view(np.int64), key2[i].view(np.int64), chunk.ids[doc[i]], doc[i], low[i] - at[i], ends - low[i]])
@@ -423,7 +354,7 @@ def _binned(settings):
                 mine = gone[1:, gone[0] == number]
                 rows.append((int(number), pressed(mine)))
             if rows:
-                yield _batch(rows, ("chunk", "payload"))
+                yield packed_rows(rows, ("chunk", "payload"))
 
     return run
 
@@ -475,14 +406,8 @@ def _kept(settings, whole_characters):
 
 def suffix_dedup(docs: DataFrame, settings: Settings = Settings(), whole_characters=False) -> DataFrame:
     """Every row with doc_id, n_bytes, n_removed, n_spans, kept (binary) and rest (the other columns)."""
-    other = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rest = F.struct(*[F.col(f"`{c}`") for c in other]) if other else F.struct(F.lit(0).alias("none"))
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest")
-    )
-    kind = rows.schema["rest"].dataType.simpleString()
-    columns = "chunk long, ids binary, offsets binary, data binary, n_bytes long"
-    chunks = stored(rows.mapInArrow(_chunks(settings, kind), f"{columns}, rest array<{kind}>"))
+    chunks = chunked(docs, settings.chunk_bytes)
+    kind = chunks.schema["rest"].dataType.elementType.simpleString()
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     bins = 8 + int(total // settings.bin_bytes)
     body = chunks.select("chunk", "ids", "offsets", "data")
