@@ -303,7 +303,7 @@ def verified_edges(docs: DataFrame, groups: DataFrame, settings: Settings) -> Da
     )
     sets = (
         texts(docs)
-        .join(wanted, "doc_id")
+        .join(wanted.hint("merge"), "doc_id")  # the same plan at every size
         .mapInArrow(_sets(settings), "doc_id long, grp long, block int, blocks int, shingles binary")
     )
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
