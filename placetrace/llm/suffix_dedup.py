@@ -419,7 +419,7 @@ def suffix_dedup(docs: DataFrame, settings: Settings = Settings(), whole_charact
     )
     sent = stored(flags.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "flags")).alias("sent")))
     found = stored(
-        body.join(sent, "chunk").mapInArrow(_contexts(settings, bins, bins), "bin long, chunk long, payload binary")
+        body.join(sent.hint("merge"), "chunk").mapInArrow(_contexts(settings, bins, bins), "bin long, chunk long, payload binary")
     )
     merged = (
         found.where("bin >= 0")
@@ -430,4 +430,4 @@ def suffix_dedup(docs: DataFrame, settings: Settings = Settings(), whole_charact
     windows = found.where("bin < 0").select("chunk", "payload").unionByName(merged)
     gone = stored(windows.groupBy("chunk").agg(F.collect_list("payload").alias("gone")))
     schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, rest {kind}"
-    return chunks.join(gone, "chunk", "left").mapInArrow(_kept(settings, whole_characters), schema)
+    return chunks.join(gone.hint("merge"), "chunk", "left").mapInArrow(_kept(settings, whole_characters), schema)
