@@ -249,3 +249,19 @@ def quality(docs: DataFrame, labels: DataFrame, threshold=0.7, settings: Setting
         "score",
         F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int").alias("predicted"),
     )
+
+
+def _accepted(model, threshold):
+    def run(batches):
+        hasher = Hasher()
+        for batch in batches:
+            x = _batch_statistics(batch.column("text"), hasher)
+            scores = calibrated(model, features(model, x) @ model.weights) if model else np.ones(len(x))
+            yield batch.filter(pa.array(scores >= threshold))
+
+    return run
+
+
+def accepted(docs: DataFrame, model: Model | None, threshold=0.7) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``; without a model, all of them."""
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(_accepted(model, threshold), docs.schema)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from placetrace.llm.decontaminate import contaminated
+from placetrace.llm.licences import licence_scan
 from placetrace.llm.lm_score import cross_entropy_difference, good_documents
 from placetrace.llm.near_text import near_duplicates
 from placetrace.llm.near_vectors import near_vectors
@@ -69,3 +71,13 @@ def op3_suffix_dedup(spark, sf_dir):
 def op6_lm_score(spark, sf_dir):
     target = good_documents(table(spark, sf_dir, "labels"))
     return cross_entropy_difference(table(spark, sf_dir, "documents"), target)
+
+
+@query
+def op1_licence_scan(spark, sf_dir):
+    return licence_scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
