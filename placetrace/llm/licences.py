@@ -8,7 +8,8 @@ a bounded sample of the corpus as background.  Its probabilities are calibrated
 by one temperature fitted on distorted copies it has not seen.  A family needs
 a calibrated probability above ``least_probability`` and a template whose word
 pairs the paragraph shares to at least ``least_overlap``; otherwise the
-paragraph counts as ``other``.
+paragraph counts as ``other`` if it reaches ``least_other`` and shares at least
+three word pairs, and ``least_known`` of its pairs, with any template; else as nothing.
 
 Edge cases: a null or empty text has no paragraphs and no licence; blank lines
 are no paragraphs; null ids and repeated rows are scanned each; an empty table
@@ -107,6 +108,8 @@ class Settings:
     decay: float = 1e-4
     least_probability: float = 0.5
     least_overlap: float = 0.6
+    least_other: float = 0.9
+    least_known: float = 0.3
     seed: int = 2
 
 
@@ -184,8 +187,8 @@ def _encoded(lines, settings):
 def train(background: list[str], settings: Settings = Settings()) -> Model:
     """Fit weights on templates, distorted copies and background, and the temperature on copies kept apart."""
     random = np.random.default_rng(settings.seed)
-    known = {bytes(w) for t in (*TEMPLATES.values(), GENERIC) for line in t for w in _pairs(line.encode())}
-    plain = [b for b in background if b.strip() and not _overlap(_pairs(b.encode()), known) > 0.3]
+    known = _known_pairs()
+    plain = [b for b in background if b.strip() and not _licence_like(_pairs(b.encode()), known, settings)]
     classes = [NONE, OTHER, *TEMPLATES]
     parts = {False: ([], []), True: ([], [])}
     for label, lines in ((OTHER, GENERIC), *TEMPLATES.items()):
@@ -229,6 +232,15 @@ def _pairs(line: bytes):
     return {a + b" " + b for a, b in zip(words[:-1], words[1:], strict=True)} or set(words)
 
 
+def _known_pairs():
+    return {pair for lines in (*TEMPLATES.values(), GENERIC) for line in lines for pair in _pairs(line.encode())}
+
+
+def _licence_like(pairs, known, settings):
+    shared = len(pairs & known)
+    return shared >= 3 and shared >= settings.least_known * len(pairs)
+
+
 def _overlap(pairs, template):
     return len(pairs & template) / max(1, min(len(pairs), len(template)))
 
@@ -247,6 +259,7 @@ def background_lines(docs: DataFrame, settings: Settings) -> list[str]:
 
 
 def _scan(model, settings):
+    known = _known_pairs()
     shared_templates = {f: [_pairs(t.encode()) for t in lines] for f, lines in TEMPLATES.items()}
 
     def run(batches):
@@ -270,7 +283,8 @@ def _scan(model, settings):
                     closest = max((_overlap(pairs, t) for t in shared_templates.get(family, ())), default=0.0)
                     if family != OTHER and (p < settings.least_probability or closest < settings.least_overlap):
                         family = OTHER
-                    if family != OTHER or p >= settings.least_probability:
+                    sure = p >= settings.least_other and _licence_like(pairs, known, settings)
+                    if family != OTHER or sure:
                         hits.setdefault(int(rows[i]), []).append((family, p))
                 for r, count in enumerate(counts.tolist()):
                     mine = hits.get(r, [])
