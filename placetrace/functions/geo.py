@@ -64,10 +64,34 @@ def coarse_cell_contains(
     return free | (gap <= rules.match_metres)
 
 
-def cell_sizes(metres: float, max_abs_lat: float) -> tuple[float, float]:
-    """Cell sides in degrees such that points within ``metres`` are in adjacent cells."""
-    slack = metres * 1.001 / METRES_PER_DEGREE
-    return slack, slack / math.cos(math.radians(min(max_abs_lat, 89.0)))
+def lat_side(metres: float) -> float:
+    """Height in degrees of rows of cells such that points within ``metres`` are in adjacent rows."""
+    return metres * 1.001 / METRES_PER_DEGREE
+
+
+def cells_around(row: Column, side: float, metres: float) -> Column:
+    """Into how many cells a row is cut so that points within ``metres`` lie in adjacent ones.
+
+    Exact at every latitude: the widest gap in longitude follows from the
+    haversine formula at the highest latitude of the row and its neighbours.  A
+    row near a pole is one cell.
+    """
+    highest = F.least(F.lit(90.0), F.greatest(F.abs(row - 1), F.abs(row + 2)) * side)
+    ratio = math.sin(min(metres * 1.001 / (2 * EARTH_RADIUS_METRES), math.pi / 2)) / F.cos(F.radians(highest))
+    gap = F.when(ratio < 1, F.degrees(2 * F.asin(F.least(ratio, F.lit(1.0)))))
+    return F.coalesce(F.greatest(F.lit(1), F.floor(F.lit(359.99) / gap)), F.lit(1)).cast("long")
+
+
+def cell_around(lon: Column, count: Column) -> Column:
+    """Cell of a longitude in a row of ``count`` cells; 180 and -180 are one meridian."""
+    turned = F.pmod(lon + 180.0, F.lit(360.0)) / 360.0
+    return F.least(F.floor(turned * count).cast("long"), count - 1)
+
+
+def adjacent_cells(lon: Column, count: Column) -> Column:
+    """That cell and its neighbours around the globe, each once."""
+    middle = cell_around(lon, count)
+    return F.array_distinct(F.array(middle, F.pmod(middle - 1, count), F.pmod(middle + 1, count)))
 
 
 def cell(value: Column, side: float) -> Column:

@@ -128,10 +128,10 @@ def build_summary(
     return reduce(lambda a, b: a.crossJoin(b), parts)
 
 
-def feed_checks(feeds_raw: DataFrame, name: str, id_column: str, lat: str, lon: str, limit: int = 10_000) -> DataFrame:
+def feed_checks(feeds_raw: DataFrame, name: str, id_column: str, lat: str, lon: str, page_size: int) -> DataFrame:
     """Violations that make a feed snapshot unusable: empty, cut off, repeated, misplaced.
 
-    ``limit`` is the page size at which a response may have been cut off.
+    ``page_size`` is the size asked for in the request: a response that fills it may be cut off.
     """
     y, x = F.col(lat).try_cast("double"), F.col(lon).try_cast("double")
     good = F.coalesce(y.between(-90, 90) & x.between(-180, 180), F.lit(False))
@@ -148,7 +148,7 @@ def feed_checks(feeds_raw: DataFrame, name: str, id_column: str, lat: str, lon:
         F.inline(
             F.array(
                 row("not_empty", (F.col("rows") == 0).cast("int")),
-                row("not_truncated", (F.col("rows") >= limit).cast("int")),
+                row("not_truncated", (F.col("rows") >= page_size).cast("int")),
                 row("unique_ids", F.col("rows") - F.col("ids")),
                 row("coordinates_in_range", F.col("bad")),
             )

@@ -70,7 +70,9 @@ class Grid:
         lats = (abs(rules.box.lat_min), abs(rules.box.lat_max))
         crosses = rules.box.lat_min <= 0 <= rules.box.lat_max
         widest = math.cos(math.radians(0 if crosses else min(lats)))
-        narrowest = math.cos(math.radians(min(max(lats), 89.0)))
+        if max(lats) > 89.0:
+            raise ValueError("the region of the rules must end below 89 degrees of latitude")
+        narrowest = math.cos(math.radians(max(lats)))
         side = metres * 0.999 / math.sqrt(2)
         self.lat_side = side / METRES_PER_DEGREE
         self.lon_side = self.lat_side / widest

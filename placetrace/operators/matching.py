@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from placetrace.functions.geo import haversine
 from placetrace.functions.rules import (
@@ -31,24 +26,8 @@ from placetrace.params import DEFAULT, INVENTORY_COLUMNS, Rules
 SOURCES = ("city", "gbfs")
 
 
-def name_similarity(names: Column, key: Column) -> Column:
-    """Best Ratcliff-Obershelp ratio of a name key over an array of variants."""
-
-    # A local function travels to the workers by value.
-    @F.pandas_udf(DoubleType())
-    def best_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for variants, keys in batches:
-            best = [
-                max((SequenceMatcher(None, name, other).ratio() for name in many), default=0.0)
-                for many, other in zip(variants, keys, strict=True)
-            ]
-            yield pd.Series(best, dtype="float64")
-
-    return best_ratio(names, key)
-
-
 def edit_similarity(names: Column, key: Column) -> Column:
-    """The native alternative: best edit-distance similarity over the variants."""
+    """Best edit-distance similarity of a name key over an array of variants."""
     return F.array_max(F.transform(names, lambda name: levenshtein_similarity(name, key)))
 
 
@@ -109,7 +88,6 @@ def match_candidates(
     entities: DataFrame,
     feeds: DataFrame,
     rules: Rules = DEFAULT,
-    similarity=name_similarity,
 ) -> DataFrame:
     """Entity x feed evidence rows.
 
@@ -169,7 +147,7 @@ def match_candidates(
         .withColumn("exact_name", exact)
         .withColumn("shared_short_name", shared)
         .withColumn("metres", haversine(F.col("lat"), F.col("lon"), F.col("feed_lat"), F.col("feed_lon")))
-        .withColumn("similarity", similarity(F.col("names"), F.col("feed_key")))
+        .withColumn("similarity", edit_similarity(F.col("names"), F.col("feed_key")))
     )
     kept = scored.filter(
         F.col("exact_name")

@@ -12,15 +12,20 @@ BLOCK = 50_000
 
 
 def is_data_table(path: Column) -> Column:
-    """A .csv or .xlsx file that is neither hidden nor archive metadata."""
+    """A .csv (plain or compressed) or .xlsx file, in any case, neither hidden nor archive metadata."""
     name = F.element_at(F.split(path, "/"), -1)
     return (
-        F.lower(path).rlike(r"\.(csv|xlsx)$")
+        F.lower(path).rlike(r"\.(csv(\.(gz|bz2|zst|lz4|deflate|snappy|zip))?|xlsx)$")
         & ~path.contains("__MACOSX")
         & ~name.startswith(".")
     )
 
 
+def is_readable_table(path: Column) -> Column:
+    """A data table that the text reader can decode; the codec is told by a suffix in small letters."""
+    return F.lower(path).endswith(".csv") | path.rlike(r"(?i:\.csv)\.(gz|bz2|zst|lz4|deflate|snappy)$")
+
+
 def fingerprint(df: DataFrame, content: str, keys: Sequence[str]) -> DataFrame:
     """Length, MD5 and SHA-256 of a text or binary column."""
     raw = F.col(content).cast("binary")

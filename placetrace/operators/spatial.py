@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placetrace.functions.geo import cell, cell_sizes, haversine, neighbours
+from placetrace.functions.geo import adjacent_cells, cell, cell_around, cells_around, haversine, lat_side, neighbours
 from placetrace.operators.joins import PAIR_BLOCK, split_join
 
 # Latitude bands of the boundary join, in degrees.
@@ -21,31 +21,30 @@ def distance_join(
     a_id: str,
     b_id: str,
     keys: Sequence[str] = (),
-    max_abs_lat: float = 60.0,
     block: int = PAIR_BLOCK,
 ) -> DataFrame:
     """Rows of ``a`` and ``b`` within ``metres`` (and equal ``keys``).
 
-    Both sides carry ``lat`` and ``lon``.  Each ``b`` row is copied to the nine
-    cells around it, so an ``a`` row meets its neighbours in its own cell; the
-    exact distance decides.  A crowded cell is split over tasks.  Columns come
+    Both sides carry ``lat`` and ``lon``, anywhere on the globe.  Each ``b`` row is
+    copied to the cells around it, at most nine, so an ``a`` row meets its
+    neighbours in its own cell; the exact distance decides.  A crowded cell is split over tasks.  Columns come
     back prefixed ``a_`` and ``b_``, with ``distance_meters``.
     """
-    lat_side, lon_side = cell_sizes(metres, max_abs_lat)
+    side = lat_side(metres)
+    y = F.col("__y")
     left = a.filter("lat IS NOT NULL AND lon IS NOT NULL").select(
         *[F.col(k) for k in keys],
-        cell(F.col("lat"), lat_side).alias("__y"),
-        cell(F.col("lon"), lon_side).alias("__x"),
+        cell(F.col("lat"), side).alias("__y"),
         *[F.col(c).alias(f"a_{c}") for c in a.columns],
-    )
+    ).withColumn("__x", cell_around(F.col("a_lon"), cells_around(y, side, metres)))
     right = (
         b.filter("lat IS NOT NULL AND lon IS NOT NULL")
         .select(
             *[F.col(k) for k in keys],
-            F.explode(neighbours(F.col("lat"), lat_side)).alias("__y"),
+            F.explode(neighbours(F.col("lat"), side)).alias("__y"),
             *[F.col(c).alias(f"b_{c}") for c in b.columns],
         )
-        .withColumn("__x", F.explode(neighbours(F.col("b_lon"), lon_side)))
+        .withColumn("__x", F.explode(adjacent_cells(F.col("b_lon"), cells_around(y, side, metres))))
     )
     gap = haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
     joined = split_join(

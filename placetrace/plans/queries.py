@@ -644,8 +644,8 @@ def _(s: Stages) -> DataFrame:
       FROM information_rows""",
 )
 def _(s: Stages) -> DataFrame:
-    return checks.feed_checks(s.city(), "city", "id", "latitude", "longitude").unionByName(
-        checks.feed_checks(s.information(), "information", "station_id", "lat", "lon", limit=1000)
+    return checks.feed_checks(s.city(), "city", "id", "latitude", "longitude", page_size=10_000).unionByName(
+        checks.feed_checks(s.information(), "information", "station_id", "lat", "lon", page_size=1000)
     )
 
 
@@ -657,13 +657,6 @@ _CANDIDATE = (
 
 
 @register("match_candidates", f"SELECT {_CANDIDATE} FROM candidates")
-def _(s: Stages) -> DataFrame:
-    return matching.match_candidates(
-        s.entities(), s.feeds(), similarity=matching.edit_similarity
-    )
-
-
-@register("name_similarity")
 def _(s: Stages) -> DataFrame:
     return matching.match_candidates(s.entities(), s.feeds())
 
@@ -692,7 +685,7 @@ def _(s: Stages) -> DataFrame:
 )
 def _(s: Stages) -> DataFrame:
     return matching.resolve_matches(
-        matching.match_candidates(s.entities(), s.feeds(), similarity=matching.edit_similarity)
+        matching.match_candidates(s.entities(), s.feeds())
     ).select("source", "station_key", "feed_station_id", "rank", "match_method", "accepted")
 
 

@@ -148,13 +148,10 @@ class Stages:
         )
 
     def candidates(self) -> DataFrame:
-        """With the native similarity, which the checking engine has too."""
         return self._once(
             "candidates",
             lambda: matching.resolve_matches(
-                matching.match_candidates(
-                    self.entities(), self.feeds(), similarity=matching.edit_similarity
-                )
+                matching.match_candidates(self.entities(), self.feeds())
             ),
         )
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from placetrace.operators.members import is_data_table, is_readable_table
 from placetrace.operators.normalize import normalize_catalog, normalize_trips, table_kind
 
 
@@ -25,21 +26,20 @@ class TextTable:
         return table_kind(self.headers)
 
 
-def list_data_files(spark: SparkSession, root: str, pattern: str = "*.csv*") -> list[str]:
-    """Paths of the data files below ``root``; hidden and metadata files are left out.
+def list_data_files(spark: SparkSession, root: str) -> list[str]:
+    """Paths of the data tables below ``root``, by the rule of the inventory.
 
-    Only names come to the driver, one per file.
+    Raises when one of them, such as a spreadsheet, cannot be read, so that no
+    table is left out in silence.  Only names come to the driver, one per file.
     """
     listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .load(root)
-        .select("path")
-    )
-    name = F.element_at(F.split("path", "/"), -1)
-    usable = ~F.col("path").contains("__MACOSX") & ~name.startswith(".")
-    return sorted(row.path for row in listed.filter(usable).collect())
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    ).filter(is_data_table(F.col("path")))
+    rows = listed.select("path", is_readable_table(F.col("path")).alias("readable")).collect()
+    unreadable = sorted(row.path for row in rows if not row.readable)
+    if unreadable:
+        raise ValueError(f"{len(unreadable)} data tables cannot be read, such as {unreadable[:5]}")
+    return sorted(row.path for row in rows)
 
 
 def read_header(spark: SparkSession, path: str) -> tuple[str, ...]:
@@ -69,7 +69,7 @@ def group_by_header(spark: SparkSession, paths: Iterable[str]) -> list[TextTable
 def read_text_table(spark: SparkSession, table: TextTable, multi_line: bool = False) -> DataFrame:
     """All columns as text, with ``archive`` (folder) and ``member`` (file).
 
-    Any malformed record fails the read.  Files are split over tasks unless
+    Any malformed record fails every action on the rows, also one of few columns.  Files are split over tasks unless
     ``multi_line`` is set, which quoted line breaks need; without it such a
     record fails instead of being misread.
     """
@@ -79,6 +79,7 @@ def read_text_table(spark: SparkSession, table: TextTable, multi_line: bool = Fa
         .options(
             header=True,
             mode="FAILFAST",
+            columnPruning=False,  # with it, records are checked in the wanted columns only
             quote='"',
             escape='"',
             enforceSchema=False,

@@ -15,6 +15,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from placetrace.operators.normalize import normalize_trips
 from placetrace.operators.observe import observe
 from placetrace.params import DEFAULT, Rules
+from placetrace.session import checkpoint as written
 from placetrace.sources.text_tables import with_lineage
 
 # Part of the output path: another version starts from scratch.
@@ -30,7 +31,8 @@ def trip_stream(
         spark.readStream.schema(schema)
         .options(
             header=True, mode="FAILFAST", quote='"', escape='"', enforceSchema=False,
-            maxFilesPerTrigger=max_files, recursiveFileLookup=True, pathGlobFilter="*.csv*",
+            columnPruning=False, maxFilesPerTrigger=max_files, recursiveFileLookup=True,
+            pathGlobFilter="*.{csv,CSV,csv.gz,csv.bz2,csv.zst}",
         )
         .csv(folder)
     )
@@ -48,7 +50,8 @@ def roll_up_new_files(
     target = output_path(output)
 
     def write(batch: DataFrame, _: int) -> None:
-        observations = observe(normalize_trips(batch), rules=rules)
+        # Written once, so that a new file is parsed once however often the roll-up reads it.
+        observations = observe(written(normalize_trips(batch)), rules=rules)
         (
             observations.hint("rebalance", "archive", "member")
             .write.mode("overwrite")

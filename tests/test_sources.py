@@ -10,6 +10,7 @@ import pytest
 from fixtures import observation, observations
 from pyspark.sql import functions as F
 
+from placetrace.operators.observe import endpoints, observe
 from placetrace.operators.profile import header_signatures
 from placetrace.sources import feeds, integrity, tables, text_tables
 from placetrace.sources.boundary import read_boundary
@@ -133,6 +134,45 @@ def test_sinks_and_reloads(spark, tmp_path):
     assert spark.sql("SELECT count(*) FROM published_rows").first()[0] == 2
 
 
+MODERN_ROW = "{},2022-01-01 10:00:00,2022-01-01 10:05:00,7,Fir,8,Ash,41.91,-87.61,41.92,-87.62"
+
+
+@pytest.mark.parametrize("bad", [MODERN_ROW.format("b") + ",extra", "b,2022-01-01 10:00:00"])
+def test_every_action_on_a_malformed_file_fails(spark, tmp_path, bad):
+    header = (
+        "ride_id,started_at,ended_at,start_station_id,start_station_name,end_station_id,end_station_name,"
+        "start_lat,start_lng,end_lat,end_lng"
+    )
+    write(tmp_path / "a/t.csv", "\n".join([header, MODERN_ROW.format("a"), bad]) + "\n")
+    trips, _ = text_tables.read_archive(spark, f"file:{tmp_path}")
+    for action in (
+        lambda: trips.count(),
+        lambda: trips.select("trip_id").collect(),
+        lambda: endpoints(trips).select("role").count(),
+        lambda: observe(trips).select("endpoint_count").collect(),
+    ):
+        with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
+            action()
+    stream = trip_stream(spark, str(tmp_path), tuple(header.split(",")))
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
+        roll_up_new_files(stream, str(tmp_path / "out"), str(tmp_path / "marks")).awaitTermination()
+
+
+def test_no_table_is_left_out(spark, tmp_path):
+    row = LEGACY + "\n1,6/27/2013 10:00,6/27/2013 10:05,12,Elm,13,Oak\n"
+    write(tmp_path / "a/A.CSV", row)
+    write(tmp_path / "a/old.csv.bak", "not,a,table\n")
+    with gzip.open(tmp_path / "a/b.csv.gz", "wt") as out:
+        out.write(row)
+    trips, _ = text_tables.read_archive(spark, f"file:{tmp_path}")
+    assert {r.member for r in trips.select("member").collect()} == {"A.CSV", "b.csv.gz"}
+    for name in ("c.xlsx", "d.csv.zip", "e.csv.GZ"):
+        write(tmp_path / "a" / name, "x")
+        with pytest.raises(ValueError, match="cannot be read"):
+            text_tables.read_archive(spark, f"file:{tmp_path}")
+        (tmp_path / "a" / name).unlink()
+
+
 def test_new_files_are_rolled_up_once(spark, tmp_path):
     headers = tuple(LEGACY.split(","))
     source, out, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))

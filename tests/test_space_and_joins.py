@@ -51,6 +51,28 @@ def test_distance_join_equals_brute_force(spark):
         assert {tuple(r) for r in got} == expected and len(got) == len(expected)
 
 
+def test_distance_join_everywhere_on_the_globe(spark):
+    rng = random.Random(3)
+
+    def metres(p, q):
+        lat1, lon1, lat2, lon2 = map(math.radians, (*p[1:], *q[1:]))
+        h = math.sin((lat2 - lat1) / 2) ** 2 + math.cos(lat1) * math.cos(lat2) * math.sin((lon2 - lon1) / 2) ** 2
+        return 2 * 6371000 * math.asin(min(1.0, math.sqrt(h)))
+
+    points = []
+    for lat in (0.0, -60.0, 70.0, 85.0, 89.9995, -89.9999):
+        for lon in (-87.6, 179.9999, -180.0):
+            for _ in range(14):
+                spread = 0.0015 / max(math.cos(math.radians(lat)), 1e-4)
+                high = max(-90.0, min(90.0, lat + rng.uniform(-0.0015, 0.0015)))
+                points.append((len(points), high, (lon + rng.uniform(-spread, spread) + 180) % 360 - 180))
+    points += [(len(points), 90.0, 12.0), (len(points) + 1, 0.0, 180.0), (len(points) + 2, 0.0, -180.0)]
+    expected = {(p[0], q[0]) for p in points for q in points if metres(p, q) <= 150}
+    rows = spark.createDataFrame(points, "i long, lat double, lon double")
+    got = distance_join(rows, rows, 150.0, "i", "i").select("a_i", "b_i").collect()
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected) > 2 * len(points)
+
+
 def test_boundary_edges_holes_and_parts(spark):
     rings = [("p", 0, [(0, 0), (4, 0), (4, 4), (0, 4)]), ("p", 1, [(1, 1), (2, 1), (2, 2), (1, 2)]),
              ("q", 0, [(10, 0), (12, 0), (11, 2)])]
