@@ -69,6 +69,12 @@ def unpressed(value, dtype):
     return np.frombuffer(zstandard.decompress(value), dtype)
 
 
+def rows_of(batch):
+    """The rows of a batch as dicts, one at a time: a chunk is large."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def bucket_of(codes, n):
     return ((codes >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
 

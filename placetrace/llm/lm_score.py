@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placetrace.llm.chunks import LAST, bucket_of, chunked, packed_rows, pressed, split_by, unpressed
+from placetrace.llm.chunks import LAST, bucket_of, chunked, packed_rows, pressed, rows_of, split_by, unpressed
 from placetrace.llm.graph import by_key
 from placetrace.llm.tables import held_out, stored, texts
 from placetrace.llm.textkit import BASE, Hasher, mix, separators, word_spans
@@ -112,7 +112,7 @@ def _word_counts(buckets):
     def run(batches):
         hasher, apart = Hasher(lower=True), separators()
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 words = Words(row, hasher, apart)
                 out = _sent(row["chunk"], words.counted(words.codes, words.rows), buckets)
                 if out is not None:
@@ -125,7 +125,7 @@ def _pair_counts(word_buckets, buckets):
     def run(batches):
         hasher, apart = Hasher(lower=True), separators()
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 words = Words(row, hasher, apart)
                 pairs, _ = words.pairs(words.vocabulary(row["words"], word_buckets)[0])
                 out = _sent(row["chunk"], words.counted(pairs, words.rows), buckets)
@@ -167,7 +167,7 @@ def _losses(settings, word_buckets, buckets, totals):
     def run(batches):
         hasher, apart = Hasher(lower=True), separators()
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 words = Words(row, hasher, apart)
                 codes, unigrams = words.vocabulary(row["words"], word_buckets)
                 pairs, first = words.pairs(codes)

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placetrace.llm.chunks import LAST, bucket_of, chunked, packed_rows, pressed, split_by, unpressed
+from placetrace.llm.chunks import LAST, bucket_of, chunked, packed_rows, pressed, rows_of, split_by, unpressed
 from placetrace.llm.graph import by_key
 from placetrace.llm.tables import stored
 from placetrace.llm.textkit import BASE, byte_codes, mix, power_tables
@@ -128,7 +128,7 @@ def _distinct_anchors(chunk):
 def _anchors(settings, buckets):
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 chunk = Chunk(row, settings).scan()
                 code, times, contexts = _distinct_anchors(chunk)
                 rows = []
@@ -179,7 +179,7 @@ def _contexts(settings, buckets, bins):
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in rows_of(batch):
                 chunk = Chunk(row, settings).scan()
                 code = _distinct_anchors(chunk)[0]
                 flag = np.zeros(len(code), np.uint8)
@@ -364,7 +364,7 @@ def _kept(settings, whole_characters):
 
     def run(batches):
         for batch in batches:
-            for i, row in enumerate(batch.select(["chunk", "ids", "offsets", "data", "gone"]).to_pylist()):
+            for i, row in enumerate(rows_of(batch.select(["chunk", "ids", "offsets", "data", "gone"]))):
                 chunk = Chunk(row, settings)
                 cover = np.zeros(len(chunk.data) + 1, np.int64)
                 for payload in row["gone"] or ():
