@@ -10,6 +10,7 @@ from placetrace.llm.licences import licence_scan
 from placetrace.llm.lm_score import cross_entropy_difference, good_documents
 from placetrace.llm.near_text import near_duplicates
 from placetrace.llm.near_vectors import near_vectors
+from placetrace.llm.oracle import ORACLE
 from placetrace.llm.packing import pack, token_lengths
 from placetrace.llm.quality import quality
 from placetrace.llm.sharding import shards
@@ -18,7 +19,8 @@ from placetrace.llm.tables import table
 from placetrace.llm.toxicity import toxicity
 
 QUERIES = {}
-ORACLE = {}
+
+__all__ = ["ORACLE", "QUERIES"]
 
 
 def query(function):
@@ -78,6 +80,10 @@ def op1_licence_scan(spark, sf_dir):
     return licence_scan(table(spark, sf_dir, "documents"))
 
 
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
