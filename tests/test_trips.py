@@ -1,6 +1,7 @@
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
+from itertools import product
 
 import numpy as np
 import pytest
@@ -20,35 +21,49 @@ def text_table(spark, headers, rows):
     return df.withColumns({"archive": F.lit("a"), "member": F.lit("a.csv")})
 
 
-def test_mixed_dates_and_reversed_trips(spark):
-    raw = text_table(spark, LEGACY, [
-        ("0001", "6/27/2013 10:00", "6/27/2013 10:05", "001", "A", "002", "B"),
-        ("0002", "2013-06-26 10:00:00", "2013-06-26 09:59:00", "001", "A", "002", "B"),
-        ("0003", "broken", "2013-06-27 11:00:00", "001", "A", "002", "B"),
-    ])
-    trips = normalize.normalize_trips(raw)
-    measures = profile.profile_trips(trips).first()
-    assert (measures.reversed_trips, measures.invalid_start_time, measures.rows) == (1, 1, 3)
-    seen = {r.station_id: r.first_at for r in observe.observe(trips).collect()}
-    assert seen == {"001": datetime(2013, 6, 27, 10), "002": datetime(2013, 6, 27, 10, 5)}
-
-
-def test_coarse_trips_keep_the_date_but_not_the_place(spark):
-    def trip(key, start, end, lat, lon):
-        return (key, start, end, "A", "001", "A", "001", lat, lon, lat, lon)
-
-    raw = text_table(spark, MODERN, [
-        trip("early", "2022-01-01 10:00", "2022-01-01 10:05", "41.90", "-87.65"),
-        trip("fine", "2023-01-01 10:00", "2023-01-01 10:05", "41.904", "-87.646"),
-        trip("back", "2020-01-01 10:00", "2020-01-01 09:00", "41.72", "-87.61"),
-    ])
-    rows = observe.observe(normalize.normalize_trips(raw)).collect()
-    assert len(rows) == 2
-    for row in rows:
-        assert (row.lat, row.lon, row.coarse_lat) == (41.904, -87.646, 41.9)
-        assert (row.coordinate_count, row.coarse_coordinate_count) == (1, 1)
-        assert (row.endpoint_count, row.valid_endpoint_count) == (3, 2)
-        assert row.first_at.year == 2022 and row.first_trip_id == "early"
+LAYOUTS = ("%m/%d/%Y %H:%M", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", None)
+
+
+def test_dates_of_all_layouts(spark):
+    """Every pair of layouts at both ends; None stands for text that is no date."""
+    rows, expected = [], {"reversed_trips": 0, "invalid_start_time": 0, "invalid_end_time": 0}
+    first, day = {}, datetime(2015, 11, 9, 8, 30)
+    for i, (a, b) in enumerate(product(LAYOUTS, LAYOUTS)):
+        start, end = day + timedelta(hours=i), day + timedelta(hours=i, minutes=7 if i % 3 else -7)
+        texts = [t.strftime(layout) if layout else "soon" for t, layout in ((start, a), (end, b))]
+        rows.append((f"t{i}", *texts, f"d{i % 4}", "Dock", f"e{i % 5}", "Exit"))
+        expected["invalid_start_time"] += a is None
+        expected["invalid_end_time"] += b is None
+        if a and b:
+            expected["reversed_trips"] += end < start
+            if end >= start:
+                for place, at in ((f"d{i % 4}", start), (f"e{i % 5}", end)):
+                    first[place] = min(first.get(place, at), at)
+    trips = normalize.normalize_trips(text_table(spark, LEGACY, rows))
+    measures = profile.profile_trips(trips).first().asDict()
+    assert measures["rows"] == len(rows) and {k: measures[k] for k in expected} == expected
+    seen = {r.station_id: r.first_at for r in observe.observe(trips).collect() if r.first_at}
+    assert seen == first
+
+
+def test_only_precise_places_of_valid_trips_locate(spark):
+    """Ends on the two-decimal grid give dates and a coarse place; reversed trips give neither."""
+    rng = np.random.default_rng(12)
+    precise = [(round(41.7712 + x, 6), round(-87.6634 + y, 6)) for x, y in rng.uniform(0, 0.002, (9, 2))]
+    grid = [(41.77, -87.66), (41.78, -87.67), (41.77, -87.67)]
+    rows, day = [], datetime(2019, 2, 1, 7)
+    for i, (lat, lon) in enumerate([*grid, *precise, *precise]):
+        back = i >= len(grid) + len(precise)  # the second time, the trip ends before it starts
+        start, end = day + timedelta(days=-i if back else i), timedelta(minutes=-3 if back else 12)
+        ends = (start.isoformat(sep=" "), (start + end).isoformat(sep=" "))
+        rows.append((f"n{i}", *ends, "Lock", "L1", "Lock", "L1", str(lat), str(lon), str(lat), str(lon)))
+    for row in observe.observe(normalize.normalize_trips(text_table(spark, MODERN, rows))).collect():
+        assert row.lat == pytest.approx(np.median([p[0] for p in precise]))
+        assert row.lon == pytest.approx(np.median([p[1] for p in precise]))
+        assert row.coarse_lat == pytest.approx(np.median([g[0] for g in grid]))
+        assert (row.coordinate_count, row.coarse_coordinate_count) == (len(precise), len(grid))
+        assert row.valid_endpoint_count == len(grid) + len(precise) == row.endpoint_count - len(precise)
+        assert row.first_trip_id == "n0"
 
 
 def test_header_families(spark):
