@@ -191,7 +191,7 @@ FILE_ORDER = (
 )
 
 PARTS: dict[str, str] = {}
-RECURSIVE = {"walk", "attach", "reach"}
+RECURSIVE = {"walk", "attach", "reach", "merge_walk"}
 
 PARTS["trips"] = f"SELECT * FROM {adapters.trips_sql()}"
 PARTS["catalog"] = (
@@ -537,6 +537,46 @@ PARTS["alias_pairs"] = f"""
     JOIN (SELECT station_key, min(struct_pack(n := name_key, c := cluster_no)) AS idx FROM clustered
       GROUP BY 1) j ON j.station_key = b.station_key
     WHERE i.idx < j.idx AND list_has_any(a.ids, b.ids)) WHERE metres <= 35"""
+PARTS["spot_order"] = """
+  SELECT e.*, idx FROM entities e JOIN (
+    SELECT station_key, min(struct_pack(n := name_key, c := cluster_no)) AS idx FROM clustered GROUP BY 1) i
+  ON e.station_key = i.station_key"""
+# Edges one after another: an edge joins two groups if every pair across them is near.
+PARTS["merge_steps"] = """
+  SELECT row_number() OVER (ORDER BY p.source_id, a.idx, b.idx) AS nth, p.source_id,
+    p.station_key_a AS one, p.station_key_b AS two
+  FROM alias_pairs p JOIN spot_order a ON a.station_key = p.station_key_a
+  JOIN spot_order b ON b.station_key = p.station_key_b"""
+PARTS["close_by"] = f"""
+  SELECT list(struct_pack(one := a.station_key, two := b.station_key)) AS held
+  FROM spot_order a JOIN spot_order b ON a.station_type = b.station_type AND a.idx < b.idx
+  WHERE {hav("a.station_lat", "a.station_lon", "b.station_lat", "b.station_lon")} <= 35"""
+PARTS["merge_walk"] = """
+  SELECT 0::BIGINT AS nth, (SELECT map_from_entries(list(DISTINCT struct_pack(k := key, v := key)))
+    FROM (SELECT unnest([one, two]) AS key FROM merge_steps)) AS group_of, []::BIGINT[] AS taken
+  UNION ALL
+  SELECT nth, CASE WHEN fits THEN map_from_entries(list_transform(map_entries(group_of),
+      lambda x: struct_pack(k := x.key, v := CASE WHEN x.value = b THEN a ELSE x.value END))) ELSE group_of END,
+    CASE WHEN fits THEN list_append(taken, nth) ELSE taken END
+  FROM (SELECT *, a <> b AND len(list_filter(held, lambda p: (group_of[p.one] = a AND group_of[p.two] = b)
+        OR (group_of[p.one] = b AND group_of[p.two] = a)))
+      = len(list_filter(map_values(group_of), lambda v: v = a)) * len(list_filter(map_values(group_of), lambda v: v = b))
+      AS fits
+    FROM (SELECT s.nth, w.group_of, w.taken, held, group_of[s.one] AS a, group_of[s.two] AS b
+      FROM merge_walk w JOIN merge_steps s ON s.nth = w.nth + 1 CROSS JOIN close_by))"""
+PARTS["merge_end"] = "SELECT * FROM merge_walk ORDER BY nth DESC LIMIT 1"
+PARTS["merge_groups"] = """
+  SELECT entry.key AS station_key, entry.value AS joint
+  FROM (SELECT unnest(map_entries(group_of)) AS entry FROM merge_end)"""
+PARTS["merge_heads"] = """
+  SELECT joint, arg_min(g.station_key, struct_pack(t := station_first_trip_at, k := g.station_key)) AS merged_station_key
+  FROM merge_groups g JOIN entities e ON e.station_key = g.station_key GROUP BY joint HAVING count(*) > 1"""
+PARTS["merges"] = """
+  SELECT s.source_id, s.one AS station_key_a, a.station_name AS station_name_a, s.two AS station_key_b,
+    b.station_name AS station_name_b, h.merged_station_key, 'shared_source_id_and_within_35m' AS reason
+  FROM merge_steps s JOIN merge_end w ON list_contains(w.taken, s.nth)
+  JOIN entities a ON a.station_key = s.one JOIN entities b ON b.station_key = s.two
+  JOIN merge_groups g ON g.station_key = s.one JOIN merge_heads h ON h.joint = g.joint"""
 PARTS["reach"] = """
   SELECT station_key_a AS node, station_key_a AS other FROM alias_pairs
   UNION SELECT station_key_b, station_key_b FROM alias_pairs
@@ -558,6 +598,7 @@ PARTS["risks"] = """
 _HEAVY = {
     "trips", "obs", "located", "spotted", "loose", "clustered", "entities", "old_entities",
     "feeds", "candidates", "resolved", "reconciled", "review", "catalog", "alias_pairs",
+    "merge_steps", "close_by", "merge_end",
 }
 _WORD = re.compile(r"[a-z_]+")
 

@@ -599,7 +599,7 @@ def _(s: Stages) -> DataFrame:
     return s.review()
 
 
-@register("merge_aliases")
+@register("merge_aliases", "SELECT * FROM merges")
 def _(s: Stages) -> DataFrame:
     return s.merges()
 
@@ -1001,7 +1001,8 @@ def _(s: Stages) -> DataFrame:
       ON r.station_key = f.station_key WHERE r.station_first_trip_at <> f.at
     UNION ALL SELECT 'observation_mapping_has_no_orphans', count(*) FROM clustered
       WHERE station_key NOT IN (SELECT station_key FROM reconciled)
-    UNION ALL SELECT 'accepted_merge_keys_exist', 0
+    UNION ALL SELECT 'accepted_merge_keys_exist', count(*) FROM merges
+      WHERE merged_station_key NOT IN (SELECT station_key FROM reconciled)
     UNION ALL SELECT 'public_output_contains_only_public_city_locations', count(*) FROM public_rows
       WHERE in_city IS NOT TRUE OR station_type = 'operational'
     UNION ALL SELECT 'source_ids_are_text',
@@ -1074,11 +1075,11 @@ def _(s: Stages) -> DataFrame:
       (SELECT sum(endpoint_count)::BIGINT AS excluded_endpoints FROM excluded),
       (SELECT sum(endpoint_count)::BIGINT AS resolved_endpoints,
         sum(valid_endpoint_count)::BIGINT AS valid_resolved_endpoints FROM clustered),
-      (SELECT 0::BIGINT AS accepted_alias_merges), (SELECT count(*) AS identity_review_pairs FROM review)""",
+      (SELECT count(*) AS accepted_alias_merges FROM merges), (SELECT count(*) AS identity_review_pairs FROM review)""",
 )
 def _(s: Stages) -> DataFrame:
     return checks.build_summary(
-        s.entities(), s.clustered(), s.excluded(), s.trips(), review=s.review()
+        s.entities(), s.clustered(), s.excluded(), s.trips(), s.merges(), s.review()
     )
 
 
