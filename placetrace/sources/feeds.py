@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placetrace.operators.joins import require_none
+from placetrace.sources.integrity import relative_path
 
 INFORMATION = (
     "station_id string, name string, short_name string, lat double, lon double,"
@@ -44,16 +45,16 @@ def declared_columns(spark: SparkSession, path: str) -> list[dict]:
 
 
 def require_pinned(spark: SparkSession, root: str, manifest: DataFrame) -> None:
-    """Raise unless every pinned file (path, sha256) has exactly that content."""
+    """Raise unless every pinned file (path below ``root``, sha256) has exactly that content."""
     found = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(root)
-        .select("path", F.sha2("content", 256).alias("found"))
+        .select(relative_path(root).alias("pinned_path"), F.sha2("content", 256).alias("found"))
     )
     wrong = (
         manifest.select(F.col("path").alias("pinned_path"), "sha256")
-        .join(found, F.col("path").endswith(F.concat(F.lit("/"), F.col("pinned_path"))), "left")
+        .join(found, "pinned_path", "left")
         .filter(~F.col("found").eqNullSafe(F.col("sha256")))
         .select("pinned_path", "sha256", "found")
     )

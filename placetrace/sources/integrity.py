@@ -13,14 +13,15 @@ def _files(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
 
 
-def _relative(root: str):
+def relative_path(root: str):
+    """The path of a file below ``root``."""
     base = root.rstrip("/").split("://")[-1].split(":")[-1]
     return F.element_at(F.split("path", f"{base}/"), -1)
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
     """(key, bytes, is_data_table) of every file; contents are not read."""
-    key = _relative(root)
+    key = relative_path(root)
     return _files(spark, root).select(
         key.alias("key"), F.col("length").alias("bytes"), is_data_table(key).alias("is_data_table")
     )
@@ -29,7 +30,7 @@ def inventory(spark: SparkSession, root: str) -> DataFrame:
 def fingerprints(spark: SparkSession, root: str) -> DataFrame:
     """(key, bytes, md5, sha256).  One task per file, so files must fit in memory."""
     return _files(spark, root).select(
-        _relative(root).alias("key"),
+        relative_path(root).alias("key"),
         F.col("length").alias("bytes"),
         F.md5("content").alias("md5"),
         F.sha2("content", 256).alias("sha256"),
