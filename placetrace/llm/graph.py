@@ -23,9 +23,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        least = stored(least)  # apart from its aggregate, the join with a node of many edges can be split
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = stored(large.where("a != b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a")
         small = small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         pairs = stored(small.union(least.select("a", F.col("m").alias("b"))).distinct())
