@@ -247,13 +247,10 @@ def _overlap(pairs, template):
 
 def background_lines(docs: DataFrame, settings: Settings) -> list[str]:
     """Lines of the documents of smallest hash; both numbers are bounded by the settings."""
-    chosen = (
-        texts(docs)
-        .where("text is not null")
-        .withColumn("h", F.xxhash64("doc_id", "text"))
-        .orderBy("h", "text")
-        .limit(settings.background_documents)
-    )
+    hashed = texts(docs).where("text is not null").withColumn("h", F.xxhash64("doc_id", "text"))
+    # Hashes alone are ranked, so no text is shuffled but those chosen.
+    least = hashed.select("h").distinct().orderBy("h").limit(settings.background_documents)
+    chosen = hashed.join(F.broadcast(least), "h", "left_semi").dropDuplicates(["h"])
     lines = chosen.select("h", F.explode(F.split("text", "\n")).alias("line")).where("trim(line) != ''")
     return [r.line for r in lines.orderBy(F.xxhash64("h", "line"), "line").limit(settings.background_lines).collect()]
 
