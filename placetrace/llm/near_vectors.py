@@ -5,11 +5,14 @@ neighbours, first filled from blocks of similar sign codes, then refined by
 rounds of neighbours-of-neighbours joins: around each class its neighbours and a
 bounded number of classes that list it are compared when one of the two edges
 is new, and only pairs that improve a list are passed on.  Lists whose last
-entry is above the threshold are saturated and are enlarged.  An audit compares
-a stated set of vectors with all rows; while its recall is below the target the
-search goes on with other sign codes.  Edges above the threshold give
-components; inside each, links are counted exactly in blocks of rows, so a list
-that is still saturated loses no link.
+entry is above the threshold are saturated and are enlarged.  Every pair above
+the threshold that a block or a join sees is linked before lists are cut, as
+stars of bounded number.  A list has room of its own for classes outside its
+component, so a crowded component cannot crowd out the links that leave it: while
+a list of outside classes is saturated, components are formed anew and the
+search goes on.  An audit compares a stated set of vectors with all rows; while
+its recall is below the target the search goes on with other sign codes.  Inside
+each component links are counted exactly in blocks of rows.
 
 Edge cases: vectors that are null, empty, zero, hold null or non-finite components
 or have a length other than the most frequent one link with nothing; a null id
@@ -21,6 +24,7 @@ columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 from placetrace.llm.graph import by_key, components
 from placetrace.llm.tables import stored
 
-EDGES = "u long, v long, sim double"
+EDGES = "u long, v long, sim double, own boolean, link boolean"
 
 
 @dataclass(frozen=True)
@@ -79,15 +83,16 @@ def _coded(settings, width, bits, codes):
             for c, plane in planes.items():
                 code = ((x @ plane) > 0) @ weights + (c << 40)
                 yield pa.record_batch(
-                    [batch.column("rep"), batch.column("unit"), pa.array(code)], names=["rep", "unit", "code"]
+                    [batch.column("rep"), batch.column("root"), batch.column("unit"), pa.array(code)],
+                    names=["rep", "root", "unit", "code"],
                 )
 
     return run
 
 
-def _best(ids, sims, k, worst=None):
+def _best(sims, k, worst=None):
     """Per row the positions of its k best other members, those above ``worst`` only."""
-    n = len(ids)
+    n = len(sims)
     k = min(k, n - 1)
     top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
     rows = np.repeat(np.arange(n), k)
@@ -98,10 +103,40 @@ def _best(ids, sims, k, worst=None):
     return rows[keep], columns[keep]
 
 
-def _edges(ids, sims, rows, columns):
-    return pa.record_batch(
-        [pa.array(ids[rows]), pa.array(ids[columns]), pa.array(sims[rows, columns])], names=["u", "v", "sim"]
-    )
+def _stars(near):
+    """(row, column) that connect what the symmetric matrix ``near`` connects: one for each row but the first of a group."""
+    rows, columns, seen = [], [], ~near.any(axis=1)
+    for i in range(len(near)):
+        if seen[i]:
+            continue
+        reached = front = near[i] | (np.arange(len(near)) == i)
+        while front.any():
+            front = near[front].any(axis=0) & ~reached
+            reached = reached | front
+        seen |= reached
+        found = np.flatnonzero(reached)
+        found = found[found != i]
+        rows.append(found)
+        columns.append(np.full(len(found), i))
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(rows or none), np.concatenate(columns or none)
+
+
+def _edges(ids, roots, sims, compared, limits, worst, settings):
+    """Best edges of each member outside and inside its component, and links of different components, none cut.
+
+    ``compared`` masks the pairs; limits and worst are given for outside and inside.
+    """
+    same = roots[:, None] == roots[None, :]
+    parts = []
+    for own in (False, True):
+        masked = np.where(compared & (same == own), sims, -np.inf)
+        parts.append((*_best(masked, limits[own], worst[own]), own, False))
+    parts.append((*_stars(compared & ~same & (sims >= settings.threshold)), False, True))
+    rows, columns = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    own, link = (np.concatenate([np.full(len(p[0]), p[i]) for p in parts]) for i in (2, 3))
+    values = [ids[rows], ids[columns], sims[rows, columns], own, link]
+    return pa.record_batch([pa.array(x) for x in values], names=["u", "v", "sim", "own", "link"])
 
 
 def _block_neighbours(settings, width):
@@ -109,83 +144,103 @@ def _block_neighbours(settings, width):
         for group in by_key(batches, "blockid"):
             if group.num_rows < 2:
                 continue
-            ids = group.column("rep").to_numpy()
+            ids, roots = group.column("rep").to_numpy(), group.column("root").to_numpy()
             x = _matrix(group.column("unit"), width)
             for part in np.array_split(np.arange(len(ids)), -(-len(ids) // (4 * settings.block))):
                 if len(part) < 2:
                     continue
                 sims = x[part] @ x[part].T
-                np.fill_diagonal(sims, -np.inf)
-                yield _edges(ids[part], sims, *_best(ids[part], sims, settings.neighbours))
+                compared = ~np.eye(len(part), dtype=bool)
+                limits = (settings.neighbours, settings.neighbours)
+                yield _edges(ids[part], roots[part], sims, compared, limits, (None, None), settings)
 
     return run
 
 
 def _join_neighbours(settings, width):
-    """mapInArrow over centres: pairs of members of which one edge is new and which improve a list."""
+    """mapInArrow over centres: pairs of members of which one edge is new and which improve a list or link components."""
 
     def run(batches):
+        names = ("root", "worst_out", "worst_own", "limit_out", "limit_own", "unit")
         for group in by_key(batches, "centre"):
             table = group.to_pandas()
-            table = table.groupby("member", as_index=False).agg(
-                {"fresh": "max", "worst": "first", "limit": "first", "unit": "first"}
-            )
+            table = table.groupby("member", as_index=False).agg({"fresh": "max"} | dict.fromkeys(names, "first"))
             if len(table) < 2 or not table.fresh.any():
                 continue
             ids, x = table.member.to_numpy(), _matrix(table.unit.tolist(), width)
-            sims = x @ x.T
-            np.fill_diagonal(sims, -np.inf)
-            fresh = table.fresh.to_numpy()
-            sims[~(fresh[:, None] | fresh[None, :])] = -np.inf
-            rows, columns = _best(ids, sims, int(table.limit.max()), table.worst.to_numpy())
-            if len(rows):
-                yield _edges(ids, sims, rows, columns)
+            fresh = table.fresh.to_numpy(bool)
+            compared = (fresh[:, None] | fresh[None, :]) & ~np.eye(len(ids), dtype=bool)
+            limits = int(table.limit_out.max()), int(table.limit_own.max())
+            worst = table.worst_out.to_numpy(), table.worst_own.to_numpy()
+            out = _edges(ids, table.root.to_numpy(), x @ x.T, compared, limits, worst, settings)
+            if out.num_rows:
+                yield out
 
     return run
 
 
-def _ranked(edges, limits):
-    """The best edges of each u: at most its limit; sim is the same on every copy of an edge."""
-    one = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
-    best = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
-    ranked = one.join(limits, "u").withColumn("place", F.row_number().over(best))
-    return ranked.where(F.col("place") <= F.col("limit"))
+def _ranked(edges, settings, state=None):
+    """Edges with ``listed``: among the best of their u, inside or outside its component; others only if they link."""
+    one = edges.groupBy("u", "v").agg(
+        F.max("sim").alias("sim"), F.min("fresh").alias("fresh"), F.max("own").alias("own"), F.max("link").alias("link")
+    )
+    limit = F.lit(settings.neighbours)
+    if state is not None:
+        one = one.join(state.select("u", "limit_out", "limit_own"), "u", "left")
+        limit = F.coalesce(F.when(F.col("own"), F.col("limit_own")).otherwise(F.col("limit_out")), limit)
+    best = Window.partitionBy("u", "own").orderBy(F.desc("sim"), "v")
+    ranked = one.withColumn("listed", F.row_number().over(best) <= limit)
+    return ranked.where("listed or link").select("u", "v", "sim", "own", "fresh", "link", "listed")
+
+
+def _state(lists, settings):
+    """Per u: the limits and the entries to beat of its two lists.  Full lists above the threshold grow."""
+    found = lists.groupBy("u").agg(
+        *[F.count(F.when(mine, 1)).alias(f"held_{k}") for k, mine in (("out", ~F.col("own")), ("own", F.col("own")))],
+        *[F.min(F.when(mine, F.col("sim"))).alias(f"least_{k}") for k, mine in (("out", ~F.col("own")), ("own", F.col("own")))],
+    )
+    columns = []
+    for k in ("out", "own"):
+        held, least = F.col(f"held_{k}"), F.col(f"least_{k}")
+        limit = F.when((held >= settings.neighbours) & (least >= settings.threshold), settings.enlarged)
+        limit = limit.otherwise(settings.neighbours)
+        columns += [limit.alias(f"limit_{k}"), F.when(held < limit, -2.0).otherwise(least).alias(f"worst_{k}")]
+    return found.select("u", *columns)
 
 
 def _searched(vectors, n, width, settings, codes, old=None):
-    """Neighbour lists (u, v, sim) after block search in ``codes`` and descent."""
+    """Neighbour lists (u, v, sim, own) after block search in ``codes`` and descent, and links (a, b) between components."""
     bits = max(0, int(np.ceil(np.log2(max(n, 1) / settings.block))))
-    coded = vectors.mapInArrow(_coded(settings, width, bits, codes), "rep long, unit binary, code long")
+    kind = "rep long, root long, unit binary, code long"
+    coded = vectors.select("rep", "root", "unit").mapInArrow(_coded(settings, width, bits, codes), kind)
     sizes = coded.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
     parts = F.ceil(F.col("n") / F.lit(2 * settings.block))
     blocks = coded.join(sizes, "code").select(
-        "rep", "unit", F.xxhash64("code", F.pmod(F.xxhash64("rep", "code"), parts)).alias("blockid")
+        "rep", "root", "unit", F.xxhash64("code", F.pmod(F.xxhash64("rep", "code"), parts)).alias("blockid")
     )
-    lists = (
+    found = (
         blocks.repartition("blockid")
         .sortWithinPartitions("blockid")
         .mapInArrow(_block_neighbours(settings, width), EDGES)
         .withColumn("fresh", F.lit(True))
     )
     if old is not None:
-        lists = lists.unionByName(old.withColumn("fresh", F.lit(False)))
-    limits = vectors.select(F.col("rep").alias("u"), F.lit(settings.neighbours).alias("limit"))
-    lists = stored(_ranked(lists, limits).select("u", "v", "sim", "fresh"))
+        ends = vectors.select("rep", "root")
+        placed = old.join(ends.toDF("u", "ru"), "u").join(ends.toDF("v", "rv"), "v")
+        placed = placed.select("u", "v", "sim", (F.col("ru") == F.col("rv")).alias("own"), F.lit(False).alias("link"))
+        found = found.unionByName(placed.withColumn("fresh", F.lit(False)))
+    found = stored(_ranked(found, settings))
+    links = [found]
+    lists = found.where("listed").drop("link", "listed")
     for _ in range(settings.rounds):
-        # Saturated lists grow: their worst entry is still above the threshold.
-        state = lists.groupBy("u").agg(F.count(F.lit(1)).alias("held"), F.min("sim").alias("worst"))
-        full = (F.col("held") >= settings.neighbours) & (F.col("worst") >= settings.threshold)
-        state = state.withColumn("limit", F.when(full, settings.enlarged).otherwise(settings.neighbours))
-        state = stored(
-            state.withColumn("worst", F.when(F.col("held") < F.col("limit"), -2.0).otherwise(F.col("worst")))
-        )
+        state = stored(_state(lists, settings))
         forward = lists.select(F.col("u").alias("centre"), F.col("v").alias("member"), "fresh")
-        listed = Window.partitionBy("centre").orderBy(F.desc("fresh"), F.xxhash64("centre", "member"))
+        listed = Window.partitionBy("centre", "own").orderBy(F.desc("fresh"), F.xxhash64("centre", "member"))
         backward = (
-            lists.select(F.col("v").alias("centre"), F.col("u").alias("member"), "fresh")
+            lists.select(F.col("v").alias("centre"), F.col("u").alias("member"), "own", "fresh")
             .withColumn("place", F.row_number().over(listed))
             .where(F.col("place") <= settings.neighbours)
-            .drop("place")
+            .drop("place", "own")
         )
         members = forward.unionByName(backward).unionByName(
             lists.select(F.col("u").alias("centre"), F.col("u").alias("member"), F.lit(False).alias("fresh")).distinct()
@@ -193,22 +248,21 @@ def _searched(vectors, n, width, settings, codes, old=None):
         active = members.where("fresh").select("centre").distinct()
         joined = (
             members.join(active, "centre", "left_semi")
-            .join(state.select(F.col("u").alias("member"), "worst", "limit"), "member")
-            .join(vectors.select(F.col("rep").alias("member"), "unit"), "member")
+            .join(state.withColumnRenamed("u", "member"), "member")
+            .join(vectors.select(F.col("rep").alias("member"), "root", "unit"), "member")
             .repartition("centre")
             .sortWithinPartitions("centre")
             .mapInArrow(_join_neighbours(settings, width), EDGES)
         )
-        grown = lists.withColumn("fresh", F.lit(False)).unionByName(joined.withColumn("fresh", F.lit(True)))
-        limits = state.select("u", "limit").unionByName(
-            vectors.select(F.col("rep").alias("u"), F.lit(settings.neighbours).alias("limit")).join(
-                state.select("u"), "u", "left_anti"
-            )
-        )
-        lists = stored(_ranked(grown, limits).select("u", "v", "sim", "fresh"))
+        grown = lists.withColumn("fresh", F.lit(False)).withColumn("link", F.lit(False))
+        grown = grown.unionByName(joined.withColumn("fresh", F.lit(True)))
+        found = stored(_ranked(grown, settings, state))
+        links.append(found)
+        lists = found.where("listed").drop("link", "listed")
         if lists.where("fresh").count() <= 0.001 * n * settings.neighbours:
             break
-    return lists
+    linked = [f.where("link").select(F.col("u").alias("a"), F.col("v").alias("b")) for f in links]
+    return lists, reduce(DataFrame.unionByName, linked)
 
 
 def _against(chosen, settings, width):
@@ -248,8 +302,10 @@ def audit(vectors, lists, roots, width, settings) -> float:
     return found / total if total else 1.0
 
 
-def _threshold_edges(lists, settings):
-    return lists.where(F.col("sim") >= settings.threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
+def _crowded(lists, settings) -> bool:
+    """True while a list of outside classes is full above the threshold: it may have lost a link to a further component."""
+    full = lists.where(~F.col("own") & (F.col("sim") >= settings.threshold)).groupBy("u").count()
+    return not full.where(F.col("count") >= settings.neighbours).isEmpty()
 
 
 def _counted(settings, width):
@@ -288,16 +344,25 @@ def link_counts(vectors: DataFrame, roots: DataFrame, width: int, settings: Sett
 
 
 def searched_components(vectors: DataFrame, n: int, width: int, settings: Settings) -> DataFrame:
-    """(node, root) of the linked classes, from as many searches as the audit asks for."""
-    lists = None
-    for search in range(settings.searches):
+    """(node, root) of the linked classes, from as many searches as crowded lists and the audit ask for."""
+    lists, roots, search = None, None, 0
+    while True:
         codes = range(search * settings.codes, (search + 1) * settings.codes)
+        rooted = vectors.withColumn("root", F.col("rep"))
         old = lists.select("u", "v", "sim") if lists is not None else None
-        lists = _searched(vectors, n, width, settings, codes, old)
-        roots = components(_threshold_edges(lists, settings))
-        if audit(vectors, lists, roots, width, settings) >= settings.recall:
-            break
-    return roots
+        if roots is not None:
+            rooted = stored(
+                vectors.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+            )
+        lists, links = _searched(rooted, n, width, settings, codes, old)
+        if roots is not None:
+            links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = components(links)
+        search += 1
+        if _crowded(lists, settings):
+            continue
+        if search >= settings.searches or audit(vectors, lists, roots, width, settings) >= settings.recall:
+            return roots
 
 
 def near_vectors(embeddings: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -187,6 +187,23 @@ def test_vector_links_equal_brute_force(spark):
         assert r.kept == (r.vec_id == r.component_id)
 
 
+def test_tight_groups_that_fill_all_lists_are_linked(spark):
+    """Two groups, 0.999 inside and 0.96 across: the lists of each are full of its own members."""
+    random = np.random.default_rng(11)
+    first = np.eye(64)[0]
+    second = 0.96 * first + np.sqrt(1 - 0.96**2) * np.eye(64)[1]
+    x = np.repeat([first, second], 300, axis=0) + np.r_[random.standard_normal((600, 64))] * 0.03 / 8
+    apart = random.standard_normal((400, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([apart, x]))]
+    units = np.array([v for _, v in rows])
+    units /= np.sqrt((units * units).sum(axis=1))[:, None]
+    links = (units @ units.T >= 0.95).sum(axis=1) - 1
+    assert (links[400:] > 300).all() and (links[:400] == 0).all()
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for r in near_vectors.near_vectors(vectors).collect():
+        assert r.component_id == min(r.vec_id, 400) and r.n_links == links[r.vec_id], r.vec_id
+
+
 def test_no_vectors(spark):
     kind = "vec_id long, embedding array<float>"
     assert near_vectors.near_vectors(spark.createDataFrame([], kind)).collect() == []
