@@ -10,8 +10,13 @@ the threshold that a block or a join sees is linked before lists are cut, as
 stars of bounded number.  A list has room of its own for classes outside its
 component, so a crowded component cannot crowd out the links that leave it: while
 a list of outside classes is saturated, components are formed anew and the
-search goes on.  An audit compares a stated set of vectors with all rows; while
-its recall is below the target the search goes on with other sign codes.  Inside
+search goes on.  A descent ends when at most one list entry in a thousand changes.
+
+An audit compares vectors chosen by hash alone, others in each audit, with all
+rows, until a stated number of them had links; without so many it compares all
+rows.  While its recall is below the target the search goes on with other sign
+codes, and after the last search all rows are compared exactly, with work that
+grows with the square of the table.  Links that an audit finds are kept.  Inside
 each component links are counted exactly in blocks of rows.
 
 Edge cases: vectors that are null, empty, zero, hold null or non-finite components
@@ -44,8 +49,8 @@ class Settings:
     enlarged: int = 48
     codes: int = 8
     block: int = 256
-    rounds: int = 4
     audited: int = 200
+    audit_bytes: int = 8 << 20
     recall: float = 0.99
     searches: int = 3
     seed: int = 3
@@ -194,15 +199,17 @@ def _ranked(edges, settings, state=None):
 
 
 def _state(lists, settings):
-    """Per u: the limits and the entries to beat of its two lists.  Full lists above the threshold grow."""
+    """Per u: the limits and the entries to beat of its two lists.  Full lists above the threshold grow, and stay grown."""
+    near = F.col("sim") >= settings.threshold
     found = lists.groupBy("u").agg(
         *[F.count(F.when(mine, 1)).alias(f"held_{k}") for k, mine in (("out", ~F.col("own")), ("own", F.col("own")))],
+        *[F.count(F.when(mine & near, 1)).alias(f"near_{k}") for k, mine in (("out", ~F.col("own")), ("own", F.col("own")))],
         *[F.min(F.when(mine, F.col("sim"))).alias(f"least_{k}") for k, mine in (("out", ~F.col("own")), ("own", F.col("own")))],
     )
     columns = []
     for k in ("out", "own"):
         held, least = F.col(f"held_{k}"), F.col(f"least_{k}")
-        limit = F.when((held >= settings.neighbours) & (least >= settings.threshold), settings.enlarged)
+        limit = F.when(F.col(f"near_{k}") >= settings.neighbours, settings.enlarged)
         limit = limit.otherwise(settings.neighbours)
         columns += [limit.alias(f"limit_{k}"), F.when(held < limit, -2.0).otherwise(least).alias(f"worst_{k}")]
     return found.select("u", *columns)
@@ -232,7 +239,7 @@ def _searched(vectors, n, width, settings, codes, old=None):
     found = stored(_ranked(found, settings))
     links = [found]
     lists = found.where("listed").drop("link", "listed")
-    for _ in range(settings.rounds):
+    while True:
         state = stored(_state(lists, settings))
         forward = lists.select(F.col("u").alias("centre"), F.col("v").alias("member"), "fresh")
         listed = Window.partitionBy("centre", "own").orderBy(F.desc("fresh"), F.xxhash64("centre", "member"))
@@ -265,41 +272,73 @@ def _searched(vectors, n, width, settings, codes, old=None):
     return lists, reduce(DataFrame.unionByName, linked)
 
 
-def _against(chosen, settings, width):
-    """mapInArrow: links of all rows with the stated set ``chosen`` (ids, unit vectors)."""
+def _against(chosen, settings, width, step=512):
+    """mapInArrow: per chosen vector (ids, roots, unit vectors) its links and those inside its component; links that leave it."""
 
     def run(batches):
-        ids, x = chosen.value
+        ids, roots, x = chosen.value
+        total, found = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        names = ["rep", "total", "found", "a", "b"]
         for batch in batches:
-            y, reps = _matrix(batch.column("unit"), width), batch.column("rep").to_numpy()
-            rows, columns = np.nonzero(y @ x.T >= settings.threshold)
-            keep = reps[rows] != ids[columns]
-            yield pa.record_batch(
-                [pa.array(reps[rows[keep]]), pa.array(ids[columns[keep]])], names=["a", "b"]
-            )
+            all_reps, all_roots = batch.column("rep").to_numpy(), batch.column("root").to_numpy()
+            all_units = _matrix(batch.column("unit"), width)
+            for start in range(0, len(all_reps), 4 * step):
+                part = slice(start, start + 4 * step)
+                reps, own, y = all_reps[part], all_roots[part], all_units[part]
+                for at in range(0, len(ids), step):
+                    to = slice(at, at + step)
+                    near = (y @ x[to].T >= settings.threshold) & (reps[:, None] != ids[None, to])
+                    if not near.any():
+                        continue
+                    same = own[:, None] == roots[None, to]
+                    total[to] += near.sum(axis=0)
+                    found[to] += (near & same).sum(axis=0)
+                    rows, columns = np.nonzero(near & ~same)
+                    # One link for each pair of components is enough.
+                    pairs = np.stack([own[rows], roots[to][columns]])
+                    kept = np.unique(pairs, axis=1, return_index=True)[1] if len(rows) else rows
+                    if len(kept):
+                        none = pa.nulls(len(kept), pa.int64())
+                        ends = pa.array(reps[rows[kept]]), pa.array(ids[to][columns[kept]])
+                        yield pa.record_batch([none, none, none, *ends], names=names)
+        linked = np.flatnonzero(total)
+        none = pa.nulls(len(linked), pa.int64())
+        yield pa.record_batch([*(pa.array(c[linked]) for c in (ids, total, found)), none, none], names=names)
 
     return run
 
 
-def audit(vectors, lists, roots, width, settings) -> float:
-    """Share of the true links of a bounded set of vectors, found by brute force, that a component joins."""
-    order = F.xxhash64("rep", F.lit(settings.seed))
-    chosen = vectors.orderBy(order, "rep").limit(settings.audited // 2).select("rep", "unit").collect()
-    linked = lists.where(F.col("sim") >= settings.threshold).select(F.col("u").alias("rep")).distinct()
-    chosen += (
-        vectors.join(linked, "rep", "left_semi").orderBy(order, "rep").limit(settings.audited // 2)
-        .select("rep", "unit").collect()
-    )
-    if not chosen:
-        return 1.0
-    values = np.array([r.rep for r in chosen]), np.array([np.frombuffer(r.unit, np.float64) for r in chosen])
-    shared = vectors.sparkSession.sparkContext.broadcast(values)
-    truth = vectors.mapInArrow(_against(shared, settings, width), "a long, b long").distinct()
-    joined = truth.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
-        roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left"
-    )
-    total, found = joined.agg(F.count(F.lit(1)), F.count(F.when(F.col("ra") == F.col("rb"), 1))).first()
-    return found / total if total else 1.0
+def audit(vectors, roots, width, settings, search, everything=False):
+    """Recall of an audit by brute force, and links (a, b) between components that it found.
+
+    Batches of vectors in the order of a hash of their own for each search are
+    compared with all rows until ``audited`` of them had links, or to the end of the
+    table.  Recall is the lesser of the share of links that a component joins and
+    of its mean over vectors with links, so one large group does not hide the others.
+    """
+    rooted = vectors.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    rooted = stored(rooted.select("rep", "unit", F.coalesce("root", "rep").alias("root")))
+    size = max(1, settings.audit_bytes // (8 * width))
+    batches = -(-rooted.count() // size)
+    place = F.pmod(F.xxhash64("rep", F.lit(settings.seed), F.lit(search)), F.lit(max(batches, 1)))
+    numbers, links = np.zeros(4), []
+    for i in range(batches):
+        chosen = rooted.where(place == i).collect()
+        units = np.frombuffer(b"".join(bytes(r.unit) for r in chosen), np.float64).reshape(-1, width)
+        values = np.array([r.rep for r in chosen], np.int64), np.array([r.root for r in chosen], np.int64), units
+        shared = vectors.sparkSession.sparkContext.broadcast(values)
+        kind = "rep long, total long, found long, a long, b long"
+        compared = stored(rooted.mapInArrow(_against(shared, settings, width), kind))
+        each = compared.where("rep is not null").groupBy("rep").agg(F.sum("total").alias("total"), F.sum("found").alias("found"))
+        sums = each.agg(F.count(F.lit(1)), F.sum("total"), F.sum("found"), F.sum(F.col("found") / F.col("total"))).first()
+        numbers += [x or 0 for x in sums]
+        links.append(compared.where("a is not null").select("a", "b"))
+        shared.unpersist()
+        if numbers[0] >= settings.audited and not everything:
+            break
+    vectors_linked, total, found, shares = numbers
+    recall = min(found / total, shares / vectors_linked) if total else 1.0
+    return recall, reduce(DataFrame.unionByName, links) if links else None
 
 
 def _crowded(lists, settings) -> bool:
@@ -361,7 +400,12 @@ def searched_components(vectors: DataFrame, n: int, width: int, settings: Settin
         search += 1
         if _crowded(lists, settings):
             continue
-        if search >= settings.searches or audit(vectors, lists, roots, width, settings) >= settings.recall:
+        recall, missed = audit(vectors, roots, width, settings, search)
+        if recall < settings.recall and search >= settings.searches:
+            _, missed = audit(vectors, roots, width, settings, search, everything=True)
+        if missed is not None and not missed.isEmpty():
+            roots = components(missed.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        if recall >= settings.recall or search >= settings.searches:
             return roots
 
 

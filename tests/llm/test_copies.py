@@ -204,6 +204,26 @@ def test_tight_groups_that_fill_all_lists_are_linked(spark):
         assert r.component_id == min(r.vec_id, 400) and r.n_links == links[r.vec_id], r.vec_id
 
 
+def test_missed_links_are_found_by_the_audit(spark):
+    """A search too weak for its recall: the audit sees pairs of which it found nothing, and all rows are compared."""
+    random = np.random.default_rng(12)
+    x = random.standard_normal((100, 32))
+    y = x / np.sqrt((x * x).sum(axis=1))[:, None] + random.standard_normal((100, 32)) * 0.28 / np.sqrt(32)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    expected = brute_vectors(rows)
+    settings = near_vectors.Settings(block=2, codes=1, neighbours=2, enlarged=4, searches=1)
+    found = near_vectors.near_vectors(vectors, settings).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == expected
+    units = [(i, (np.array(v) / np.sqrt(np.dot(v, v))).tobytes()) for i, v in rows]
+    units = spark.createDataFrame(units, "rep long, unit binary")
+    alone = units.select(F.col("rep").alias("node"), F.col("rep").alias("root"))
+    small = near_vectors.Settings(audit_bytes=32 * 8 * 100, audited=10**6)
+    recall, missed = near_vectors.audit(units, alone, 32, small, 1)
+    pairs = {tuple(sorted(r)) for r in missed.collect()}
+    assert recall == 0.0 and 2 * len(pairs) == sum(n for n, _ in expected.values()) > 50
+
+
 def test_no_vectors(spark):
     kind = "vec_id long, embedding array<float>"
     assert near_vectors.near_vectors(spark.createDataFrame([], kind)).collect() == []
