@@ -1,8 +1,8 @@
 """Language-model scoring by cross-entropy difference of two matched n-gram models.
 
 Target and background model are bigram models with the same vocabulary, order
-and smoothing: the target counts a bounded set of labelled good documents, the
-background all documents.  The vocabulary is every word that occurs often enough
+and smoothing: the target counts all labelled good documents, the background all
+documents.  The vocabulary is every word that occurs often enough
 in the corpus; all other words are one symbol.  A token's probability mixes its
 bigram with its unigram (Dirichlet smoothing).  A document's score is the mean
 over its tokens of target loss minus background loss; lower is more target-like.
@@ -38,9 +38,6 @@ SCHEMA = "doc_id long, n_tokens long, target_loss double, background_loss double
 
 @dataclass(frozen=True)
 class Settings:
-    """``target_rows`` bounds the labelled documents of the target model."""
-
-    target_rows: int = 50000
     least_count: int = 3
     unigram_prior: float = 0.5
     bigram_prior: float = 20.0
@@ -65,7 +62,8 @@ class Words:
         data, self.offsets = unpressed(row["data"], np.uint8), unpressed(row["offsets"], np.int64)
         starts, ends, self.rows = word_spans(data, self.offsets, apart)
         self.codes = (hasher.spans(hasher.running(data), starts, ends) & MASK) | np.uint64(4)
-        self.target = np.array([bool(r["target"]) for r in row["rest"]], bool)
+        self.target = np.zeros(len(self.offsets) - 1, bool)
+        self.target[row["places"] or []] = True
 
     def counted(self, codes, rows):
         every, inverse = np.unique(codes, return_inverse=True)
@@ -198,6 +196,16 @@ def _losses(settings, word_buckets, buckets, totals):
     return run
 
 
+def _places(batches):
+    """mapInArrow: the place in its chunk of every document with an id."""
+    for batch in batches:
+        for row in rows_of(batch):
+            ids = unpressed(row["ids"], np.int64)
+            places = np.flatnonzero(ids != LAST)
+            columns = [np.full(len(places), row["chunk"]), places.astype(np.int32), ids[places]]
+            yield pa.record_batch([pa.array(c) for c in columns], names=["chunk", "place", "doc_id"])
+
+
 def _exchange(sent, least):
     """Corpus counts per chunk, stored, and their totals."""
     summed = stored(
@@ -214,26 +222,20 @@ def _exchange(sent, least):
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Every row with doc_id, n_tokens, target_loss, background_loss and score.
 
-    ``target`` has the doc_ids of the target documents; at most ``target_rows`` of
-    them, of smallest hash, are used, so that they can be broadcast.
+    ``target`` has the doc_ids of the target documents, of any number: they are
+    merged with the doc_ids of the chunks, so neither they nor texts are sent along.
     """
-    ids = (
-        target.select(F.col("doc_id").cast("long").alias("doc_id"))
-        .where("doc_id is not null")
-        .distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(settings.target_rows)
-        .withColumn("target", F.lit(True))
-    )
-    flagged = texts(docs).join(F.broadcast(ids), "doc_id", "left")
-    flagged = flagged.withColumn("target", F.coalesce("target", F.lit(False)))
-    chunks = chunked(flagged, settings.chunk_bytes)
+    ids = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    chunks = chunked(texts(docs), settings.chunk_bytes)
     size = chunks.agg(F.sum("n_bytes")).first()[0] or 0
-    counts = F.aggregate("rest", F.lit(0), lambda n, r: n + r["target"].cast("int"))
-    n_all, n_target = chunks.agg(F.sum(F.size("rest")), F.sum(counts)).first()
+    placed = chunks.select("chunk", "ids").mapInArrow(_places, "chunk long, place int, doc_id long")
+    placed = placed.join(ids.hint("merge"), "doc_id")
+    places = stored(placed.groupBy("chunk").agg(F.collect_list("place").alias("places")))
+    n_all = chunks.agg(F.sum(F.size("rest"))).first()[0]
+    n_target = places.agg(F.sum(F.size("places"))).first()[0]
     buckets = 8 + int(size // settings.bucket_bytes)
     kind = "bucket long, chunk long, codes binary, counts binary"
-    body = chunks.select("chunk", "ids", "offsets", "data", "rest")
+    body = chunks.select("chunk", "ids", "offsets", "data").join(places.hint("merge"), "chunk", "left")
     words, totals = _exchange(body.mapInArrow(_word_counts(buckets), kind), settings.least_count)
     words = stored(words.withColumnRenamed("back", "words"))
     with_words = body.join(words, "chunk", "left")

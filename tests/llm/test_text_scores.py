@@ -150,6 +150,14 @@ def test_lm_scores_equal_counts_by_hand(documents, labels):
         assert math.isclose(r.score, wanted - background, rel_tol=1e-6, abs_tol=1e-9)
 
 
+def test_lm_target_counts_all_labelled_documents(spark):
+    """With every document in the target both models are one, however many documents there are."""
+    text = F.concat_ws(" ", F.concat(F.lit("w"), F.col("id") % 50), F.concat(F.lit("x"), F.col("id") % 7))
+    docs = spark.range(60000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    scores = lm_score.cross_entropy_difference(docs, docs.select("doc_id"))
+    assert scores.where("score = 0").count() == 60000
+
+
 def test_codes_travel_unchanged():
     codes = np.unique(np.random.default_rng(1).integers(0, 1 << 48, 1000, dtype=np.uint64))
     assert (lm_score.unpacked_codes(lm_score.packed_codes(codes)) == codes).all()
