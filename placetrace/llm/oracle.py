@@ -66,3 +66,30 @@ placed AS (SELECT *, row_number() OVER (ORDER BY (r + phase) / n_s, stratum, r)
 cut AS (SELECT *, (place * 24) // total AS shard FROM placed)
 SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'rows' AS law, shard::INTEGER AS shard,
   (place - (shard * total + 23) // 24)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM cut"""
+
+# The CRC of every distinct feature by its table; gains, noise and ranks over all rows.
+ORACLE["op13_importance_resample"] = r"""WITH RECURSIVE crc_step(n, k, c) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_step WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY n) AS t FROM crc_step WHERE k = 8),
+both_sides AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+words AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM both_sides),
+runs AS (SELECT side, id, len(w) AS n, unnest(w) AS f FROM words
+  UNION ALL SELECT side, id, len(w), unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words
+  UNION ALL SELECT side, id, len(w), unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM words),
+counted AS (SELECT side, id, f, count(*) AS times FROM runs GROUP BY ALL),
+coded AS (SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(f)), '..'),
+    lambda x: ('0x' || x)::BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]))) % 10000 AS bucket
+  FROM (SELECT DISTINCT f FROM counted), crc_table),
+held AS (SELECT bucket, coalesce(sum(times) FILTER (WHERE side = 'd'), 0)::DOUBLE AS s, coalesce(sum(times) FILTER (WHERE side = 'b'), 0)::DOUBLE AS t
+  FROM counted JOIN coded USING (f) GROUP BY bucket),
+totals AS (SELECT sum(s) AS big_s, sum(t) AS big_t FROM held),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1) * (big_s + 10000) / ((s + 1) * (big_t + 10000))))::BIGINT AS gain FROM held, totals),
+weights AS (SELECT id, sum(times)::BIGINT AS n_features, sum(times * gain)::BIGINT AS weight
+  FROM counted JOIN coded USING (f) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY id),
+scored AS (SELECT id AS doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(w) >= 20 AS fit,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM words LEFT JOIN weights USING (id) WHERE side = 'd'),
+ranked AS (SELECT doc_id, fit, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY fit) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN r.fit AND r <= 5 * n // 100 THEN r END AS rank FROM scored JOIN ranked r USING (doc_id)"""

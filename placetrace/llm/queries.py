@@ -13,6 +13,7 @@ from placetrace.llm.near_vectors import near_vectors
 from placetrace.llm.oracle import ORACLE
 from placetrace.llm.packing import pack, token_lengths
 from placetrace.llm.quality import quality
+from placetrace.llm.resample import resample
 from placetrace.llm.sharding import shards
 from placetrace.llm.suffix_dedup import suffix_dedup
 from placetrace.llm.tables import table
@@ -80,6 +81,11 @@ def op1_licence_scan(spark, sf_dir):
     return licence_scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_importance_resample(spark, sf_dir):
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
 
