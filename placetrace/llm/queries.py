@@ -12,6 +12,7 @@ from placetrace.llm.near_text import near_duplicates
 from placetrace.llm.near_vectors import near_vectors
 from placetrace.llm.oracle import ORACLE
 from placetrace.llm.packing import pack, token_lengths
+from placetrace.llm.pii import digest, personal_data
 from placetrace.llm.quality import quality
 from placetrace.llm.resample import resample
 from placetrace.llm.sharding import shards
@@ -81,6 +82,11 @@ def op1_licence_scan(spark, sf_dir):
     return licence_scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_pii_spans(spark, sf_dir):
+    return digest(personal_data(table(spark, sf_dir, "documents")))
+
+
 @query
 def op13_importance_resample(spark, sf_dir):
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
