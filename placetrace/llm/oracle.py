@@ -93,3 +93,68 @@ scored AS (SELECT id AS doc_id, coalesce(n_features, 0) AS n_features, coalesce(
   FROM words LEFT JOIN weights USING (id) WHERE side = 'd'),
 ranked AS (SELECT doc_id, fit, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS r, count(*) OVER (PARTITION BY fit) AS n FROM scored)
 SELECT doc_id, n_features, weight, score, CASE WHEN r.fit AND r <= 5 * n // 100 THEN r END AS rank FROM scored JOIN ranked r USING (doc_id)"""
+
+
+def _after(state, cost, letter, line=None):
+    """SQL for a state (cost c, audit a, text t) after one more edit that adds ``line``."""
+    text = f"{state}.t" if line is None else f"{state}.t || CASE WHEN {state}.t = '' THEN '' ELSE chr(10) END || {line}"
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {text}}} END"
+
+
+def _repair_sql():
+    """Row by row, the cheapest way to each state: nothing yet (z), after system (s), user (u) and assistant (a)."""
+    blank = r"[^\x20\x09-\x0D]"
+
+    def moved(source, initial, role):
+        keep = _after(source, "e", "K", "role || ':' || text")
+        if role is None:
+            return f"CASE WHEN NOT must AND r = '{initial}' THEN {keep} END"
+        recast = _after(source, "e + 2", "R", f"'{role}:' || text")
+        return f"CASE WHEN must THEN NULL WHEN r = '{initial}' THEN {keep} ELSE {recast} END"
+
+    def least(*options):
+        return "list_min([" + ", ".join(options) + "])"
+
+    gone = {x: _after(x, 3, "D") for x in "zsua"}
+    step = f"""{gone["z"]} AS z, {least(gone["s"], moved("z", "s", None))} AS s,
+      {least(gone["u"], *(moved(x, "u", "user") for x in "zsa"))} AS u, {least(gone["a"], moved("u", "a", "assistant"))} AS a"""
+    user = least("u", *(_after(x, 2, "I", "'user:'") for x in "zsa"))
+    first = "{'c': 0::BIGINT, 'a': '', 't': ''}"
+    kind = "STRUCT(c BIGINT, a VARCHAR, t VARCHAR)"
+    return f"""WITH RECURSIVE crc_step(n, k, c) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_step WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY n) AS t FROM crc_step WHERE k = 8),
+named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    hex(encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))) AS h FROM conversations),
+hits AS (SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(list_prepend(4294967295,
+    list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1]))) % 20 AS hit
+  FROM named, crc_table),
+spoilt AS (SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+    CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE hit WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hits),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i FROM spoilt),
+faults AS (SELECT conv_id, turn, role, text, i, left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair,
+    NOT regexp_matches(text, '{blank}') AS blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    regexp_extract(text, '({blank})[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') AS cut FROM placed),
+seen AS (SELECT *, blank OR again AS must, CASE WHEN cut AND NOT blank AND NOT again THEN 1 ELSE 0 END AS e FROM faults),
+counted AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+    count(*) FILTER (WHERE NOT blank AND again) AS duplicate, sum(e) AS truncated,
+    count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM seen GROUP BY conv_id),
+walk(conv_id, i, z, s, u, a) AS (
+  SELECT conv_id, 0::BIGINT, {first}::{kind}, NULL::{kind}, {{'c': 2, 'a': 'I', 't': 'user:'}}::{kind},
+    {{'c': 4, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:'}}::{kind} FROM counted
+  UNION ALL
+  SELECT conv_id, i, z, s, u, {least("a", _after("u", 2, "I", "'assistant:'"))} FROM (
+    SELECT conv_id, i, z, s, {user} AS u, a FROM (
+      SELECT w.conv_id, w.i + 1 AS i, {step} FROM walk w JOIN seen x ON x.conv_id IS NOT DISTINCT FROM w.conv_id AND x.i = w.i + 1))),
+ends AS (SELECT w.conv_id, list_min([z, a]) AS best FROM walk w JOIN counted c ON c.conv_id IS NOT DISTINCT FROM w.conv_id AND c.n = w.i)
+SELECT d.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.c, 0)::BIGINT AS cost,
+  coalesce(best.a, '') AS audit, sha256(coalesce(best.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM d.conv_id
+LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM d.conv_id"""
+
+
+ORACLE["op12_conversation_repair"] = _repair_sql()

@@ -14,6 +14,7 @@ from placetrace.llm.oracle import ORACLE
 from placetrace.llm.packing import pack, token_lengths
 from placetrace.llm.pii import digest, personal_data
 from placetrace.llm.quality import quality
+from placetrace.llm.repair import damage_and_repair
 from placetrace.llm.resample import resample
 from placetrace.llm.sharding import shards
 from placetrace.llm.suffix_dedup import suffix_dedup
@@ -87,6 +88,11 @@ def op11_pii_spans(spark, sf_dir):
     return digest(personal_data(table(spark, sf_dir, "documents")))
 
 
+@query
+def op12_conversation_repair(spark, sf_dir):
+    return damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op13_importance_resample(spark, sf_dir):
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

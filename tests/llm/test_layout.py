@@ -106,4 +106,4 @@ def test_pipeline_of_odd_and_no_rows(spark, odd, nothing):
 
 def test_one_query_for_each_operator():
     numbers = {int(name[2:].split("_")[0]) for name in QUERIES if name != "pipeline"}
-    assert numbers == set(range(1, 11)) and "pipeline" in QUERIES and set(ORACLE) <= set(QUERIES)
+    assert numbers == set(range(1, 14)) and "pipeline" in QUERIES and set(ORACLE) <= set(QUERIES)

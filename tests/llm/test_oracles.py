@@ -13,7 +13,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
-    for table in ("documents", "embeddings", "labels", "benchmark"):
+    for table in ("documents", "embeddings", "labels", "benchmark", "conversations"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{DATA}/{table}.parquet')")
     cursor = db.execute(ORACLE[name])
     columns = [d[0] for d in cursor.description]
