@@ -30,7 +30,7 @@ from placetrace.llm.textkit import BASE, byte_codes, mix, pieces
 
 Q = 12
 BITS = 21
-SCHEMA = "doc_id long, item_id long, distance int, start long, end long"
+SCHEMA = "doc_id long, text_hash long, item_id long, distance int, start long, end long"
 
 
 @dataclass(frozen=True)
@@ -253,7 +253,10 @@ def _blocks(benchmark, settings):
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """A row for each document and item whose passage it holds: distance and byte span of the best match."""
+    """A row for each document and item whose passage it holds: distance and byte span of the best match.
+
+    ``text_hash`` is the xxhash64 of the text, which tells rows of one id apart.
+    """
     context, out = docs.sparkSession.sparkContext, None
     for rows in _blocks(benchmark, settings):
         shared = context.broadcast(prepare(rows, settings))
@@ -261,16 +264,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
         def scan(batches, shared=shared):
             items = shared.value
             for batch in batches:
-                ids, found = batch.column("doc_id").to_pylist(), []
+                ids, found = list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash")), strict=True)), []
                 for at, _, data, offsets in pieces(batch.column("text")):
-                    found += [(ids[at + m[0]], *m[1:]) for m in matches(data, offsets, items)]
-                columns = list(zip(*found, strict=True)) or [()] * 5
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+                    found += [(*ids[at + m[0]], *m[1:]) for m in matches(data, offsets, items)]
+                columns = list(zip(*found, strict=True)) or [()] * 6
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
                 yield pa.record_batch(
                     [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-                    names=["doc_id", "item_id", "distance", "start", "end"],
+                    names=["doc_id", "text_hash", "item_id", "distance", "start", "end"],
                 )
 
-        part = texts(docs).mapInArrow(scan, SCHEMA)
+        part = texts(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(scan, SCHEMA)
         out = part if out is None else out.unionByName(part)
     return out

@@ -4,22 +4,28 @@ A document is the set of its word shingles.  Equal sets become one class first,
 so exact copies cost nothing further.  Classes are embedded as minwise tokens;
 in each of several independent trees a node picks a few token positions by its
 own hash and sends its members to one child per picked token, so similar sets
-meet and others part.  Small nodes are compared exhaustively on their tokens,
-large ones branch again.  The classes that met with a similar token vector form
+meet and others part.  Small nodes are compared exhaustively on their tokens.
+A large node is compared with a leader first: members like it form a star and
+carry its label, and only a node with others in it branches again.  A node whose
+members share a label needs no comparison at all, so a group of near copies of any
+size ends where it is found.  The classes that met with a similar token vector form
 candidate groups; inside these, links are decided on the full shingle sets.
 A candidate group of more than ``unit_rows`` classes or ``unit_tokens`` shingles
 is split into blocks that are compared pair by pair of blocks, so no task holds
 a whole large group and no link is left out.
 
-With t trees a pair of similarity s meets in the first level of a tree with a
-probability of at least s, so at 0.85 the share missed is below 0.15 ** t; the
-estimate that a met pair must pass lies ``slack`` below the threshold, which 64
-tokens miss with a probability near 1e-5.
+A pair of similarity s is together in a node of the first level of a tree with a
+probability of at least s, so t trees miss a share below (1 - s) ** t of the pairs
+that need no second level.  Below, nodes pick twice as many tokens, so a pair is
+expected in 2 s children of a node that holds it and the share that survives does
+not die out.  The estimate that a met pair must pass lies ``slack`` below the
+threshold, which 64 tokens miss with a probability near 1e-5.
 
 Edge cases: null or empty texts have no shingles and link with nothing; a null
-id gets no component and is never kept; rows that share an id count as one
-document with several sets; an empty table gives an empty result; other columns
-are ignored.  Shingles are compared as 64-bit hashes, equal sets as 128-bit sums.
+id gets no component and is never kept; rows that share an id are one document
+that links by any of its texts, with the size of each in its row; an empty table
+gives an empty result; other columns are ignored.  Shingles are compared as 64-bit
+hashes, equal sets as 128-bit sums.
 """
 
 from __future__ import annotations
@@ -28,14 +34,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placetrace.llm.graph import Union, by_key, components
+from placetrace.llm.graph import by_key, components
 from placetrace.llm.tables import stored, texts
 from placetrace.llm.textkit import BASE, Hasher, mix, pieces, separators, shingle_sets
 
-SIGNATURE = "doc_id long, n_shingles long, f1 long, f2 long, tokens binary"
+SIGNATURE = "doc_id long, text_hash long, n_shingles long, f1 long, f2 long, tokens binary"
 
 
 @dataclass(frozen=True)
@@ -48,8 +55,7 @@ class Settings:
     tokens: int = 64
     trees: int = 6
     slack: float = 0.24
-    leaf: int = 256
-    node_rows: int = 4096
+    node_rows: int = 1024
     levels: int = 8
     unit_rows: int = 1024
     unit_tokens: int = 4 << 20
@@ -89,22 +95,23 @@ def _signatures(settings):
             yield pa.record_batch(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_hash"),
                     pa.array(n.astype(np.int64)),
                     pa.array(pair[:, 0]),
                     pa.array(pair[:, 1]),
                     pa.array(rows, pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "f1", "f2", "tokens"],
+                names=["doc_id", "text_hash", "n_shingles", "f1", "f2", "tokens"],
             )
 
     return run
 
 
-def picked(node, tokens, threshold):
-    """Token positions that ``node`` branches on: about 1 / threshold of them, at least one."""
+def picked(node, tokens, threshold, factor=1):
+    """Token positions that ``node`` branches on: about factor / threshold of them, at least one."""
     with np.errstate(over="ignore"):
         draws = mix(np.uint64(node) + np.arange(tokens, dtype=np.uint64) * np.uint64(BASE))
-    chosen = np.flatnonzero(draws < np.uint64(min(1.0, 1 / (threshold * tokens)) * (2**64 - 1)))
+    chosen = np.flatnonzero(draws < np.uint64(min(1.0, factor / (threshold * tokens)) * (2**64 - 1)))
     return chosen if len(chosen) else np.array([int(draws.argmin())])
 
 
@@ -113,6 +120,13 @@ def child(node, position, values):
         return mix(mix(np.uint64(node) ^ np.uint64(position + 1)) + values.astype(np.uint64) * np.uint64(BASE))
 
 
+MEMBER = "rep long, node long, label long"
+
+
+def _tokens(column, settings):
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, settings.tokens)
+
+
 def _children(settings, root):
     """mapInArrow: a row for each child node of each member; at the root, for each tree."""
 
@@ -120,73 +134,97 @@ def _children(settings, root):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint32)
-            tokens = tokens.reshape(-1, settings.tokens)
+            tokens = _tokens(batch.column("tokens"), settings)
             parts = []
             if root:
                 every = np.arange(len(tokens))
                 groups = [(mix(np.array([t + 1], np.uint64))[0], every) for t in range(settings.trees)]
+                label = pa.nulls(batch.num_rows, pa.int64())
             else:
                 nodes = batch.column("node").to_numpy()
                 groups = [(np.int64(n).view(np.uint64), np.flatnonzero(nodes == n)) for n in np.unique(nodes)]
+                label = batch.column("label")
             for node, members in groups:
-                for position in picked(node, settings.tokens, settings.threshold):
+                for position in picked(node, settings.tokens, settings.threshold, 1 if root else 2):
                     parts.append((members, child(node, position, tokens[members, position])))
-            rows = np.concatenate([p[0] for p in parts])
+            rows = pa.array(np.concatenate([p[0] for p in parts]))
             nodes = np.concatenate([p[1] for p in parts]).view(np.int64)
-            yield pa.record_batch([batch.column("rep").take(pa.array(rows)), pa.array(nodes)], names=["rep", "node"])
+            yield pa.record_batch(
+                [batch.column("rep").take(rows), pa.array(nodes), label.take(rows)], names=["rep", "node", "label"]
+            )
 
     return run
 
 
-def _alike(tokens, least):
-    """Sets of positions connected by at least ``least`` equal tokens."""
-    n = len(tokens)
-    union = Union(n)
-    columns = np.ascontiguousarray(tokens.T)
-    step = max(1, (1 << 22) // max(n, 1))
-    for start in range(0, n, step):
-        equal = np.zeros((min(step, n - start), n), np.uint8)
-        for c in columns:
-            equal += c[start : start + step, None] == c[None, :]
-        for i, row in enumerate(equal >= least):
-            for j in np.flatnonzero(row[: start + i]).tolist():
-                union.join(start + i, j)
-    return union
-
-
-def _compare(node, reps, tokens, settings, least, depth):
-    """Pairs (rep, smaller rep) that connect the similar members of one node."""
-    if len(reps) <= settings.leaf or depth >= settings.levels:
-        union = _alike(tokens, least)
-        for i in range(len(reps)):
-            root = union.find(i)
-            if root != i:
-                yield reps[i], reps[root]
-        return
-    for position in picked(node, settings.tokens, settings.threshold):
-        nodes = child(node, position, tokens[:, position])
-        order = np.argsort(nodes, kind="stable")
-        cuts = np.flatnonzero(np.diff(nodes[order])) + 1
-        for group in np.split(order, cuts):
-            if len(group) > 1:
-                yield from _compare(nodes[group[0]], reps[group], tokens[group], settings, least, depth + 1)
+def alike_pairs(tokens, least, labels=None):
+    """Pairs (position, start of its set) that connect the members with ``least`` equal tokens.
 
+    Sets are walked from member to member and only what no set holds yet is
+    compared, so a group that is like its first member costs one pass.  Members of
+    one label (0 and more) are known to belong together.
+    """
+    left, pairs = np.arange(len(tokens)), []
+    while len(left) > 1:
+        start, frontier, left = left[0], left[:1], left[1:]
+        pulled = np.zeros(0, np.int64)
+        block = 1
+        while len(frontier) and len(left):
+            if labels is not None:
+                mates = np.isin(labels[left], labels[frontier][labels[frontier] >= 0])
+                pulled, left = left[mates], left[~mates]
+                frontier = np.concatenate((frontier, pulled))
+                if not len(left):
+                    break
+            some, frontier = frontier[:block], frontier[block:]
+            if len(some) * len(left) <= 1 << 12:
+                equal = (tokens[some][:, None, :] == tokens[left][None, :, :]).sum(2)
+            else:
+                equal = np.zeros((len(some), len(left)), np.uint8)
+                for a, b in zip(tokens[some].T, np.ascontiguousarray(tokens[left].T), strict=True):
+                    equal += a[:, None] == b[None, :]
+            hit = (equal >= least).any(0)
+            found, left = left[hit], left[~hit]
+            pairs += [(x, start) for x in found.tolist()]
+            frontier = np.concatenate((found, frontier))
+            block = max(1, min(block * 4, (1 << 22) // max(1, len(left))))
+    return pairs
+
+
+def _least(settings):
+    return int(np.ceil((settings.threshold - settings.slack) * settings.tokens))
 
-def _leaves(settings):
-    least = int(np.ceil((settings.threshold - settings.slack) * settings.tokens))
 
+def _leaves(settings):
     def run(batches):
         for group in by_key(batches, "node"):
             if group.num_rows < 2:
                 continue
             reps = group.column("rep").to_numpy()
-            tokens = np.frombuffer(b"".join(group.column("tokens").to_pylist()), np.uint32)
-            node = group.column("node")[0].as_py() & ((1 << 64) - 1)
-            found = set(_compare(node, reps, tokens.reshape(-1, settings.tokens), settings, least, 1))
+            known = group.column("label")
+            labels = None
+            if known.null_count < len(known):
+                coded = known.combine_chunks().dictionary_encode().indices
+                labels = coded.fill_null(-1).to_numpy(zero_copy_only=False)
+            found = alike_pairs(_tokens(group.column("tokens"), settings), _least(settings), labels)
             if found:
-                a, b = zip(*found, strict=True)
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                a, b = (reps[list(side)] for side in zip(*found, strict=True))
+                yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+def _stars(settings):
+    """mapInArrow: the members of large nodes, those like the leader of their node with its label."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            equal = _tokens(batch.column("tokens"), settings) == _tokens(batch.column("leader_tokens"), settings)
+            alike = pa.array(equal.sum(1) >= _least(settings))
+            label = pc.if_else(alike, batch.column("leader"), batch.column("label"))
+            columns = [batch.column("rep"), batch.column("node"), label, batch.column("leader"), alike]
+            yield pa.record_batch(columns, names=["rep", "node", "label", "leader", "alike"])
 
     return run
 
@@ -195,20 +233,33 @@ def candidate_edges(classes: DataFrame, settings: Settings) -> DataFrame:
     """Edges that connect classes (rep, tokens) which met in a node and look alike."""
     spark = classes.sparkSession
     edges = spark.createDataFrame([], "a long, b long")
-    members = classes.select("rep", "tokens").mapInArrow(_children(settings, True), "rep long, node long")
-    for level in range(settings.levels):
+    tokens = classes.select("rep", "tokens")
+    members = tokens.mapInArrow(_children(settings, True), MEMBER)
+    for _ in range(settings.levels):
         members = stored(members)
-        sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("first")).where("n > 1")
-        sizes = stored(sizes)
-        full = members.join(sizes, "node").join(classes.select("rep", "tokens"), "rep")
-        leaf = full.where(F.col("n") <= settings.node_rows).select("node", "rep", "tokens")
+        own = F.min(F.when(F.col("label").isNull(), F.col("rep")))
+        sizes = members.groupBy("node").agg(
+            F.count(F.lit(1)).alias("n"), F.coalesce(own, F.min("rep")).alias("leader"),
+            F.count("label").alias("known"), F.min("label").alias("low"), F.max("label").alias("high"),
+        )
+        uniform = (F.col("known") == F.col("n")) & (F.col("low") == F.col("high"))
+        sizes = stored(sizes.where((F.col("n") > 1) & ~F.coalesce(uniform, F.lit(False))).select("node", "n", "leader"))
+        small = sizes.where(F.col("n") <= settings.node_rows).select("node")
+        leaf = members.join(small, "node").join(tokens, "rep").select("node", "rep", "label", "tokens")
         edges = edges.unionByName(
             leaf.repartition("node").sortWithinPartitions("node").mapInArrow(_leaves(settings), "a long, b long")
         )
-        if not sizes.where(F.col("n") > settings.node_rows).limit(1).count():
+        crowded = sizes.where(F.col("n") > settings.node_rows).select("node", "leader")
+        if not crowded.limit(1).count():
             return edges
-        large = full.where(F.col("n") > settings.node_rows)
-        members = large.select("node", "rep", "tokens").mapInArrow(_children(settings, False), "rep long, node long")
+        led = crowded.join(tokens.select(F.col("rep").alias("leader"), F.col("tokens").alias("leader_tokens")), "leader")
+        met = members.join(led, "node").join(tokens, "rep")
+        stars = stored(met.mapInArrow(_stars(settings), f"{MEMBER}, leader long, alike boolean"))
+        beams = stars.where(F.col("alike") & (F.col("rep") != F.col("leader")))
+        edges = edges.unionByName(beams.select(F.col("rep").alias("a"), F.col("leader").alias("b")))
+        mixed = stars.where(~F.col("alike")).select("node").distinct()
+        rest = stars.join(mixed, "node").join(tokens, "rep")
+        members = rest.select("node", "rep", "label", "tokens").mapInArrow(_children(settings, False), MEMBER)
     # What still shares so many picked tokens is taken as one candidate group.
     rest = stored(members)
     first = rest.groupBy("node").agg(F.min("rep").alias("b"))
@@ -216,22 +267,37 @@ def candidate_edges(classes: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _sets(settings):
-    """mapInArrow: the shingle set of each text as bytes, for each unit that compares it."""
+    """mapInArrow: the shingle set of each text as bytes, for each unit that compares it; other texts of its id fall out."""
 
     def run(batches):
         hasher, apart = Hasher(lower=True), separators()
         for batch in batches:
-            sets = []
-            for _, _, data, offsets in pieces(batch.column("text")):
-                sets += [s.tobytes() for s in shingle_sets(data, offsets, settings.words, hasher, apart)]
-            columns = [batch.column(c) for c in ("doc_id", "grp", "block", "blocks")]
+            sets, kept = [], []
+            for first, _, data, offsets in pieces(batch.column("text")):
+                for i, shingles in enumerate(shingle_sets(data, offsets, settings.words, hasher, apart), first):
+                    if len(shingles) == batch.column("n_shingles")[i].as_py():
+                        sets.append(shingles.tobytes())
+                        kept.append(i)
+            columns = [batch.column(c).take(pa.array(kept, pa.int64())) for c in ("rep", "grp", "block", "blocks")]
             yield pa.record_batch(
-                [*columns, pa.array(sets, pa.large_binary())], names=["doc_id", "grp", "block", "blocks", "shingles"]
+                [*columns, pa.array(sets, pa.large_binary())], names=["rep", "grp", "block", "blocks", "shingles"]
             )
 
     return run
 
 
+def _spread(near):
+    """Pairs (position, start of its set) that connect the sets of a symmetric relation."""
+    left, pairs = np.arange(len(near)), []
+    while len(left):
+        start, frontier, left = left[0], left[:1], left[1:]
+        while len(frontier) and len(left):
+            hit = near[np.ix_(frontier, left)].any(0)
+            frontier, left = left[hit], left[~hit]
+            pairs += [(x, int(start)) for x in frontier.tolist()]
+    return pairs
+
+
 def linked(sets, least, over, sides=None):
     """Pairs of positions that connect the linked sets; with ``sides``, only pairs of different sides.
 
@@ -239,7 +305,6 @@ def linked(sets, least, over, sides=None):
     least two sets hold; a pair is then decided with whole numbers.
     """
     n = np.array([len(s) for s in sets], np.int64)
-    union = Union(len(sets))
     if len(sets) == 2:
         shared = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return [(1, 0)] if over * shared >= least * (n[0] + n[1] - shared) else []
@@ -258,23 +323,20 @@ def linked(sets, least, over, sides=None):
         block = np.zeros((len(sets), int(min(width, often.sum() - start))), np.float32)
         block[row[a:b], column[a:b] - start] = 1
         shared += block @ block.T
-    pairs = []
-    for i in range(1, len(sets)):
-        exact = shared[i, :i].astype(np.int64)
-        near = over * exact >= least * (n[i] + n[:i] - exact)
+    near = np.zeros(shared.shape, bool)
+    for i in range(len(sets)):
+        exact = shared[i].astype(np.int64)
+        near[i] = over * exact >= least * (n[i] + n - exact)
         if sides is not None:
-            near &= sides[:i] != sides[i]
-        for j in np.flatnonzero(near).tolist():
-            if union.join(i, j):
-                pairs.append((i, j))
-    return pairs
+            near[i] &= sides != sides[i]
+    return _spread(near)
 
 
 def _verified(settings):
     def run(batches):
         for group in by_key(batches, "unit"):
-            ids = group.column("doc_id").to_numpy()
-            if len(ids) < 2:
+            reps = group.column("rep").to_numpy()
+            if len(reps) < 2:
                 continue
             sets = [np.frombuffer(s, np.uint64) for s in group.column("shingles").to_pylist()]
             side = group.column("block").to_numpy()
@@ -282,13 +344,16 @@ def _verified(settings):
             pairs = linked(sets, settings.least, settings.over, across)
             if pairs:
                 a, b = zip(*pairs, strict=True)
-                yield pa.record_batch([pa.array(ids[list(a)]), pa.array(ids[list(b)])], names=["a", "b"])
+                yield pa.record_batch([pa.array(reps[list(a)]), pa.array(reps[list(b)])], names=["a", "b"])
 
     return run
 
 
 def verified_edges(docs: DataFrame, groups: DataFrame, settings: Settings) -> DataFrame:
-    """Edges that connect the documents linked on their full sets; groups: (rep, grp, n_shingles)."""
+    """Edges that connect the classes linked on their full sets.
+
+    groups: (rep, grp, doc_id, text_hash, n_shingles), the row of ``docs`` that stands for class ``rep``.
+    """
     sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_shingles").alias("shingles"))
     half = F.ceil(
         F.greatest(F.col("rows") * 2 / settings.unit_rows, F.col("shingles") * 2 / F.lit(settings.unit_tokens))
@@ -296,15 +361,18 @@ def verified_edges(docs: DataFrame, groups: DataFrame, settings: Settings) -> Da
     fits = (F.col("rows") <= settings.unit_rows) & (F.col("shingles") <= settings.unit_tokens)
     sizes = sizes.select("grp", F.when(fits, 1).otherwise(half).cast("int").alias("blocks"))
     wanted = groups.join(sizes, "grp").select(
-        F.col("rep").alias("doc_id"),
+        "doc_id",
+        "text_hash",
+        "n_shingles",
+        "rep",
         "grp",
         "blocks",
         F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")).cast("int").alias("block"),
     )
     sets = (
-        texts(docs)
-        .join(wanted.hint("merge"), "doc_id")  # the same plan at every size
-        .mapInArrow(_sets(settings), "doc_id long, grp long, block int, blocks int, shingles binary")
+        _hashed(docs)
+        .join(wanted.hint("merge"), ["doc_id", "text_hash"])  # the same plan at every size
+        .mapInArrow(_sets(settings), "rep long, grp long, block int, blocks int, shingles binary")
     )
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     units = sets.withColumn("other", other).withColumn(
@@ -312,30 +380,70 @@ def verified_edges(docs: DataFrame, groups: DataFrame, settings: Settings) -> Da
     )
     # A block compared with itself is a unit of its own; others hold two blocks.
     return (
-        units.select("unit", "doc_id", "block", "shingles")
+        units.select("unit", "rep", "block", "shingles")
         .repartition("unit")
         .sortWithinPartitions("unit")
         .mapInArrow(_verified(settings), "a long, b long")
     )
 
 
-def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Every row with doc_id, n_shingles, component_id and kept."""
-    signed = stored(texts(docs).mapInArrow(_signatures(settings), SIGNATURE))
+def _hashed(docs):
+    return texts(docs).withColumn("text_hash", F.xxhash64("text"))
+
+
+SAME = ["f1", "f2", "n_shingles"]
+
+
+def grouped(docs: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): every row with its class key, and the classes (key, rep, first row, root of linked classes)."""
+    signed = stored(_hashed(docs).mapInArrow(_signatures(settings), SIGNATURE))
     classes = stored(
         signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-        .groupBy("f1", "f2", "n_shingles", "tokens")
-        .agg(F.min("doc_id").alias("rep"))
+        .groupBy(*SAME, "tokens")
+        .agg(F.min("doc_id").alias("doc_id"), F.min_by("text_hash", "doc_id").alias("text_hash"))
+        .select(*SAME, "tokens", F.struct("doc_id", "text_hash").alias("first"), F.monotonically_increasing_id().alias("rep"))
     )
     candidates = components(candidate_edges(classes, settings))
-    groups = candidates.join(classes.select("rep", "n_shingles"), F.col("node") == F.col("rep")).select(
-        "rep", F.col("root").alias("grp"), "n_shingles"
+    groups = candidates.join(classes.drop("tokens"), F.col("node") == F.col("rep")).select(
+        "rep", F.col("root").alias("grp"), "first.*", "n_shingles"
     )
     edges = verified_edges(docs, stored(groups), settings)
     roots = components(edges).select(F.col("node").alias("rep"), "root")
-    placed = classes.join(roots, "rep", "left").select("f1", "f2", "n_shingles", "rep", "root")
-    found = signed.select("doc_id", "n_shingles", "f1", "f2").join(placed, ["f1", "f2", "n_shingles"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id"))
-    return found.select("doc_id", "n_shingles", own.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    placed = classes.join(roots, "rep", "left").select(*SAME, "rep", "first", F.coalesce("root", "rep").alias("root"))
+    return signed.select("doc_id", "text_hash", *SAME), placed
+
+
+def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Every row with doc_id, n_shingles, component_id and kept."""
+    signed, classes = grouped(docs, settings)
+    found = stored(signed.join(classes.select(*SAME, "root"), SAME, "left").select("doc_id", "n_shingles", "root"))
+    # An id whose rows fell into several groups makes them one.
+    spans = found.where("doc_id is not null and root is not null").groupBy("doc_id")
+    spans = spans.agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    across = found.join(spans.drop("high"), "doc_id").select(F.col("root").alias("a"), F.col("low").alias("b"))
+    joined = components(across).select(F.col("node").alias("root"), F.col("root").alias("whole"))
+    least = stored(
+        classes.join(joined, "root", "left")
+        .groupBy("root", F.coalesce("whole", "root").alias("whole"))
+        .agg(F.min("first.doc_id").alias("low"))
     )
+    least = least.join(least.groupBy("whole").agg(F.min("low").alias("component")), "whole").select("root", "component")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return (
+        found.join(least, "root", "left")
+        .select("doc_id", "n_shingles", own.alias("component_id"))
+        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    )
+
+
+def surplus(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(doc_id, text_hash) of the rows that copy another row of ``docs``: all but the first of each group.
+
+    ``text_hash`` is the xxhash64 of the text.  Rows that share an id are judged each by its own text; rows equal in
+    both are one document and stay or go together.
+    """
+    signed, classes = grouped(docs, settings)
+    first = classes.groupBy("root").agg(F.min("first").alias("chosen"))
+    found = signed.join(classes.join(first, "root").select(*SAME, "chosen"), SAME)
+    same = F.struct("doc_id", "text_hash") == F.col("chosen")
+    return found.where(F.col("doc_id").isNotNull() & ~same).select("doc_id", "text_hash").distinct()

@@ -61,7 +61,7 @@ def copies(seed, n=120, length=60):
     return rows
 
 
-SPLIT = near_text.Settings(leaf=8, node_rows=20, unit_rows=16, levels=3)
+SPLIT = near_text.Settings(node_rows=20, unit_rows=16, levels=3)
 
 
 @pytest.mark.parametrize("settings", [near_text.Settings(), SPLIT], ids=["usual", "every group split"])
