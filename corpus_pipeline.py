@@ -23,9 +23,16 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 NEAR = replace(near_text.Settings(), words=5, least=80)
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not among ``ids``."""
-    return docs.join(ids.select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(*COLUMNS)
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` without the rows given by id and hash of the text: another text of the same id stays.
+
+    Rows without an id are never among them and need no join, so many of them make no hot key.
+    """
+    docs = docs.select(*COLUMNS)
+    gone = rows.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
+    named = docs.where("doc_id is not null").join(gone.hint("merge"), same, "left_anti")
+    return named.unionByName(docs.where("doc_id is null"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +44,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    found = near_text.near_duplicates(docs, NEAR)
-    return _without(docs, found.where("doc_id is not null and not kept"))
+    return _without(docs, near_text.surplus(docs, NEAR))
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
