@@ -5,10 +5,12 @@ so exact copies cost nothing further.  Classes are embedded as minwise tokens;
 in each of several independent trees a node picks a few token positions by its
 own hash and sends its members to one child per picked token, so similar sets
 meet and others part.  Small nodes are compared exhaustively on their tokens.
-A large node is compared with a leader first: members like it form a star and
-carry its label, and only a node with others in it branches again.  A node whose
-members share a label needs no comparison at all, so a group of near copies of any
-size ends where it is found.  The classes that met with a similar token vector form
+A large node is compared with a few leaders first: members like one
+of them form a star, and stars with a common member are one.  Members outside the
+largest such star are compared with all members of the node, in blocks; only if
+they are too many for that does the node branch again.  So a group of near copies of
+any size ends where it is found, at a cost in proportion to its size.
+The classes that met with a similar token vector form
 candidate groups; inside these, links are decided on the full shingle sets.
 A candidate group of more than ``unit_rows`` classes or ``unit_tokens`` shingles
 is split into blocks that are compared pair by pair of blocks, so no task holds
@@ -16,10 +18,9 @@ a whole large group and no link is left out.
 
 A pair of similarity s is together in a node of the first level of a tree with a
 probability of at least s, so t trees miss a share below (1 - s) ** t of the pairs
-that need no second level.  Below, nodes pick twice as many tokens, so a pair is
-expected in 2 s children of a node that holds it and the share that survives does
-not die out.  The estimate that a met pair must pass lies ``slack`` below the
-threshold, which 64 tokens miss with a probability near 1e-5.
+that need no second level; each further level costs about one factor of s for a
+tree.  The estimate that a met pair must pass lies ``slack`` below the threshold,
+which 64 tokens miss with a probability near 1e-5.
 
 Edge cases: null or empty texts have no shingles and link with nothing; a null
 id gets no component and is never kept; rows that share an id are one document
@@ -34,7 +35,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +56,7 @@ class Settings:
     trees: int = 6
     slack: float = 0.24
     node_rows: int = 1024
+    leaders: int = 16
     levels: int = 8
     unit_rows: int = 1024
     unit_tokens: int = 4 << 20
@@ -107,11 +108,11 @@ def _signatures(settings):
     return run
 
 
-def picked(node, tokens, threshold, factor=1):
-    """Token positions that ``node`` branches on: about factor / threshold of them, at least one."""
+def picked(node, tokens, threshold):
+    """Token positions that ``node`` branches on: about 1 / threshold of them, at least one."""
     with np.errstate(over="ignore"):
         draws = mix(np.uint64(node) + np.arange(tokens, dtype=np.uint64) * np.uint64(BASE))
-    chosen = np.flatnonzero(draws < np.uint64(min(1.0, factor / (threshold * tokens)) * (2**64 - 1)))
+    chosen = np.flatnonzero(draws < np.uint64(min(1.0, 1 / (threshold * tokens)) * (2**64 - 1)))
     return chosen if len(chosen) else np.array([int(draws.argmin())])
 
 
@@ -120,9 +121,6 @@ def child(node, position, values):
         return mix(mix(np.uint64(node) ^ np.uint64(position + 1)) + values.astype(np.uint64) * np.uint64(BASE))
 
 
-MEMBER = "rep long, node long, label long"
-
-
 def _tokens(column, settings):
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, settings.tokens)
 
@@ -139,50 +137,42 @@ def _children(settings, root):
             if root:
                 every = np.arange(len(tokens))
                 groups = [(mix(np.array([t + 1], np.uint64))[0], every) for t in range(settings.trees)]
-                label = pa.nulls(batch.num_rows, pa.int64())
             else:
                 nodes = batch.column("node").to_numpy()
                 groups = [(np.int64(n).view(np.uint64), np.flatnonzero(nodes == n)) for n in np.unique(nodes)]
-                label = batch.column("label")
             for node, members in groups:
-                for position in picked(node, settings.tokens, settings.threshold, 1 if root else 2):
+                for position in picked(node, settings.tokens, settings.threshold):
                     parts.append((members, child(node, position, tokens[members, position])))
-            rows = pa.array(np.concatenate([p[0] for p in parts]))
+            rows = np.concatenate([p[0] for p in parts])
             nodes = np.concatenate([p[1] for p in parts]).view(np.int64)
-            yield pa.record_batch(
-                [batch.column("rep").take(rows), pa.array(nodes), label.take(rows)], names=["rep", "node", "label"]
-            )
+            yield pa.record_batch([batch.column("rep").take(pa.array(rows)), pa.array(nodes)], names=["rep", "node"])
 
     return run
 
 
-def alike_pairs(tokens, least, labels=None):
+def equal_tokens(some, others):
+    """How many tokens each of ``some`` shares with each of ``others``."""
+    if len(some) * len(others) <= 1 << 12:
+        return (some[:, None, :] == others[None, :, :]).sum(2)
+    equal = np.zeros((len(some), len(others)), np.uint8)
+    for a, b in zip(some.T, np.ascontiguousarray(others.T), strict=True):
+        equal += a[:, None] == b[None, :]
+    return equal
+
+
+def alike_pairs(tokens, least):
     """Pairs (position, start of its set) that connect the members with ``least`` equal tokens.
 
     Sets are walked from member to member and only what no set holds yet is
-    compared, so a group that is like its first member costs one pass.  Members of
-    one label (0 and more) are known to belong together.
+    compared, so a group that is like its first member costs one pass.
     """
     left, pairs = np.arange(len(tokens)), []
     while len(left) > 1:
-        start, frontier, left = left[0], left[:1], left[1:]
-        pulled = np.zeros(0, np.int64)
+        start, frontier, left = int(left[0]), left[:1], left[1:]
         block = 1
         while len(frontier) and len(left):
-            if labels is not None:
-                mates = np.isin(labels[left], labels[frontier][labels[frontier] >= 0])
-                pulled, left = left[mates], left[~mates]
-                frontier = np.concatenate((frontier, pulled))
-                if not len(left):
-                    break
             some, frontier = frontier[:block], frontier[block:]
-            if len(some) * len(left) <= 1 << 12:
-                equal = (tokens[some][:, None, :] == tokens[left][None, :, :]).sum(2)
-            else:
-                equal = np.zeros((len(some), len(left)), np.uint8)
-                for a, b in zip(tokens[some].T, np.ascontiguousarray(tokens[left].T), strict=True):
-                    equal += a[:, None] == b[None, :]
-            hit = (equal >= least).any(0)
+            hit = (equal_tokens(tokens[some], tokens[left]) >= least).any(0)
             found, left = left[hit], left[~hit]
             pairs += [(x, start) for x in found.tolist()]
             frontier = np.concatenate((found, frontier))
@@ -200,12 +190,7 @@ def _leaves(settings):
             if group.num_rows < 2:
                 continue
             reps = group.column("rep").to_numpy()
-            known = group.column("label")
-            labels = None
-            if known.null_count < len(known):
-                coded = known.combine_chunks().dictionary_encode().indices
-                labels = coded.fill_null(-1).to_numpy(zero_copy_only=False)
-            found = alike_pairs(_tokens(group.column("tokens"), settings), _least(settings), labels)
+            found = alike_pairs(_tokens(group.column("tokens"), settings), _least(settings))
             if found:
                 a, b = (reps[list(side)] for side in zip(*found, strict=True))
                 yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
@@ -213,53 +198,163 @@ def _leaves(settings):
     return run
 
 
+STAR = "node long, rep long, mask long, a long, b long"
+
+
 def _stars(settings):
-    """mapInArrow: the members of large nodes, those like the leader of their node with its label."""
+    """mapInArrow over parts of nodes, leaders first: the mask of leaders each member is like, and edges to them.
+
+    Rows with a null mask connect the leaders that a member has in common.
+    """
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
+        for group in by_key(batches, "part"):
+            member = group.column("member").to_numpy()
+            reps, node = group.column("rep").to_numpy(), group.column("node")[0].as_py()
+            tokens = _tokens(group.column("tokens"), settings)
+            # A leader is there as such and as a member; each leader has one bit.
+            order = np.flatnonzero(~member)
+            leaders = order[np.argsort(reps[order])][:60]
+            mine = np.flatnonzero(member)
+            if not len(leaders) or not len(mine):
                 continue
-            equal = _tokens(batch.column("tokens"), settings) == _tokens(batch.column("leader_tokens"), settings)
-            alike = pa.array(equal.sum(1) >= _least(settings))
-            label = pc.if_else(alike, batch.column("leader"), batch.column("label"))
-            columns = [batch.column("rep"), batch.column("node"), label, batch.column("leader"), alike]
-            yield pa.record_batch(columns, names=["rep", "node", "label", "leader", "alike"])
+            alike = equal_tokens(tokens[mine], tokens[leaders]) >= _least(settings)
+            masks = (alike.astype(np.int64) << np.arange(len(leaders))).sum(1)
+            lowest = reps[leaders][alike.argmax(1)]
+            found = masks > 0
+            a, b = reps[mine], lowest
+            shown = pa.array(np.where(found, b, a))
+            rows = [pa.array(np.full(len(mine), node)), pa.array(a), pa.array(masks), pa.array(a), shown]
+            yield pa.record_batch(rows, names=["node", "rep", "mask", "a", "b"])
+            ties = [
+                (int(reps[leaders[bit]]), int(reps[leaders[first]]))
+                for mask in np.unique(masks[found]).tolist()
+                for first, *others in [[k for k in range(len(leaders)) if mask >> k & 1]]
+                for bit in others
+            ]
+            if ties:
+                one, two = zip(*set(ties), strict=True)
+                none = pa.nulls(len(one), pa.int64())
+                yield pa.record_batch(
+                    [pa.array([node] * len(one)), none, none, pa.array(one), pa.array(two)],
+                    names=["node", "rep", "mask", "a", "b"],
+                )
+
+    return run
+
+
+def _main_stars(batches):
+    """mapInArrow over nodes: of each mask, whether it belongs to the largest set of stars of its node."""
+    for group in by_key(batches, "node"):
+        masks, counts = group.column("mask").to_pylist(), group.column("n").to_pylist()
+        sets = []
+        for mask in masks:
+            touched = [s for s in sets if s & mask]
+            sets = [s for s in sets if not s & mask] + ([mask | sum_bits(touched)] if mask else [])
+        sizes = {s: sum(n for mask, n in zip(masks, counts, strict=True) if mask & s) for s in sets}
+        main = max(sets, key=lambda s: (sizes[s], s), default=0)
+        columns = [group.column("node").combine_chunks(), pa.array(masks), pa.array([bool(m & main) for m in masks])]
+        yield pa.record_batch(columns, names=["node", "mask", "main"])
+
+
+def sum_bits(masks):
+    out = 0
+    for mask in masks:
+        out |= mask
+    return out
+
+
+def _outsiders(settings):
+    """mapInArrow over parts of nodes: edges of the members outside the main stars with all others of the part."""
+
+    def run(batches):
+        for group in by_key(batches, "part"):
+            main = group.column("main").to_numpy()
+            reps, tokens = group.column("rep").to_numpy(), _tokens(group.column("tokens"), settings)
+            ours, theirs = np.flatnonzero(~main), np.flatnonzero(main)
+            a, b = [], []
+            if group.column("salt")[0].as_py() == 0:
+                pairs = alike_pairs(tokens[ours], _least(settings))
+                a += [reps[ours[x]] for x, _ in pairs]
+                b += [reps[ours[y]] for _, y in pairs]
+            step = max(1, (1 << 22) // max(1, len(theirs)))
+            for at in range(0, len(ours) if len(theirs) else 0, step):
+                some = ours[at : at + step]
+                alike = equal_tokens(tokens[some], tokens[theirs]) >= _least(settings)
+                hit = alike.any(1)  # the main stars hang together, so one edge is enough
+                a += reps[some[hit]].tolist()
+                b += reps[theirs[alike.argmax(1)[hit]]].tolist()
+            if a:
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _parts(rows, copied, settings, sizes):
+    """Rows of nodes dealt to parts of about 4 * ``node_rows``; rows where ``copied`` holds go to every part of theirs."""
+    salts = F.ceil(F.col("n") / F.lit(4 * settings.node_rows)).cast("int")
+    own = F.array(F.pmod(F.xxhash64("rep", F.lit(5)), salts).cast("int"))
+    everywhere = F.sequence(F.lit(0), salts - 1)
+    placed = rows.join(sizes.select("node", "n"), "node").withColumn(
+        "salt", F.explode(F.when(copied, everywhere).otherwise(own))
+    )
+    return placed.withColumn("part", F.xxhash64("node", "salt"))
+
+
+def crowded_edges(members: DataFrame, sizes: DataFrame, tokens: DataFrame, settings: Settings):
+    """(edges, members that must branch again) of the nodes in ``sizes`` (node, n)."""
+    full = members.join(sizes.select("node"), "node").join(tokens, "rep")
+    drawn = F.pmod(F.xxhash64("rep", "node", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    leads = full.join(sizes, "node").where(drawn < settings.leaders / F.col("n")).drop("n")
+    both = full.withColumn("member", F.lit(True)).unionByName(leads.withColumn("member", F.lit(False)))
+    parts = _parts(both, ~F.col("member"), settings, sizes).select("part", "node", "rep", "member", "tokens")
+    stars = stored(
+        parts.repartition("part").sortWithinPartitions("part", "member").mapInArrow(_stars(settings), STAR)
+    )
+    edges = stars.where("a != b").select("a", "b")
+    masks = stars.where("mask is not null").groupBy("node", "mask").agg(F.count(F.lit(1)).alias("n"))
+    main = masks.repartition("node").sortWithinPartitions("node", "mask").mapInArrow(
+        _main_stars, "node long, mask long, main boolean"
+    )
+    known = stars.where("mask is not null").select("node", "rep", "mask").join(main, ["node", "mask"]).drop("mask")
+    # A node in which the draw named no leader has no stars: all of its members are outside.
+    known = stored(
+        full.select("node", "rep").join(known, ["node", "rep"], "left").withColumn("main", F.coalesce("main", F.lit(False)))
+    )
+    outside = known.where("not main").groupBy("node").agg(F.count(F.lit(1)).alias("out"))
+    outside = stored(outside.join(sizes, "node"))
+    few = outside.where(F.col("out") <= 4 * settings.node_rows)
+    asked = known.join(few.select("node"), "node").join(tokens, "rep")
+    units = _parts(asked, ~F.col("main"), settings, few).select("part", "salt", "rep", "main", "tokens")
+    edges = edges.unionByName(
+        units.repartition("part").sortWithinPartitions("part", "salt").mapInArrow(_outsiders(settings), "a long, b long")
+    )
+    again = outside.where(F.col("out") > 4 * settings.node_rows).select("node")
+    return edges, full.join(again, "node").select("node", "rep", "tokens"), again
+
+
 def candidate_edges(classes: DataFrame, settings: Settings) -> DataFrame:
     """Edges that connect classes (rep, tokens) which met in a node and look alike."""
     spark = classes.sparkSession
     edges = spark.createDataFrame([], "a long, b long")
     tokens = classes.select("rep", "tokens")
-    members = tokens.mapInArrow(_children(settings, True), MEMBER)
+    members = tokens.mapInArrow(_children(settings, True), "rep long, node long")
     for _ in range(settings.levels):
         members = stored(members)
-        own = F.min(F.when(F.col("label").isNull(), F.col("rep")))
-        sizes = members.groupBy("node").agg(
-            F.count(F.lit(1)).alias("n"), F.coalesce(own, F.min("rep")).alias("leader"),
-            F.count("label").alias("known"), F.min("label").alias("low"), F.max("label").alias("high"),
-        )
-        uniform = (F.col("known") == F.col("n")) & (F.col("low") == F.col("high"))
-        sizes = stored(sizes.where((F.col("n") > 1) & ~F.coalesce(uniform, F.lit(False))).select("node", "n", "leader"))
+        sizes = stored(members.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
         small = sizes.where(F.col("n") <= settings.node_rows).select("node")
-        leaf = members.join(small, "node").join(tokens, "rep").select("node", "rep", "label", "tokens")
+        leaf = members.join(small, "node").join(tokens, "rep").select("node", "rep", "tokens")
         edges = edges.unionByName(
             leaf.repartition("node").sortWithinPartitions("node").mapInArrow(_leaves(settings), "a long, b long")
         )
-        crowded = sizes.where(F.col("n") > settings.node_rows).select("node", "leader")
-        if not crowded.limit(1).count():
+        crowded = sizes.where(F.col("n") > settings.node_rows)
+        if crowded.isEmpty():
+            return edges
+        found, rest, again = crowded_edges(members, crowded, tokens, settings)
+        edges = edges.unionByName(found)
+        if again.isEmpty():
             return edges
-        led = crowded.join(tokens.select(F.col("rep").alias("leader"), F.col("tokens").alias("leader_tokens")), "leader")
-        met = members.join(led, "node").join(tokens, "rep")
-        stars = stored(met.mapInArrow(_stars(settings), f"{MEMBER}, leader long, alike boolean"))
-        beams = stars.where(F.col("alike") & (F.col("rep") != F.col("leader")))
-        edges = edges.unionByName(beams.select(F.col("rep").alias("a"), F.col("leader").alias("b")))
-        mixed = stars.where(~F.col("alike")).select("node").distinct()
-        rest = stars.join(mixed, "node").join(tokens, "rep")
-        members = rest.select("node", "rep", "label", "tokens").mapInArrow(_children(settings, False), MEMBER)
+        members = rest.mapInArrow(_children(settings, False), "rep long, node long")
     # What still shares so many picked tokens is taken as one candidate group.
     rest = stored(members)
     first = rest.groupBy("node").agg(F.min("rep").alias("b"))
@@ -420,8 +515,10 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     # An id whose rows fell into several groups makes them one.
     spans = found.where("doc_id is not null and root is not null").groupBy("doc_id")
     spans = spans.agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    across = found.join(spans.drop("high"), "doc_id").select(F.col("root").alias("a"), F.col("low").alias("b"))
-    joined = components(across).select(F.col("node").alias("root"), F.col("root").alias("whole"))
+    spans = stored(spans.drop("high"))
+    across = found.join(spans, "doc_id").select(F.col("root").alias("a"), F.col("low").alias("b"))
+    across = across.where("false") if spans.isEmpty() else components(across).toDF("a", "b")
+    joined = across.toDF("root", "whole")
     least = stored(
         classes.join(joined, "root", "left")
         .groupBy("root", F.coalesce("whole", "root").alias("whole"))
