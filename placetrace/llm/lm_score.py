@@ -93,7 +93,9 @@ def returned(codes, sent, buckets):
     answers = {r["bucket"]: r["counts"] for r in sent or ()}
     for bucket, part in split_by(bucket_of(codes, buckets), buckets):
         if bucket in answers:
-            counts[:, part] = unpressed(answers[bucket], np.uint32).reshape(2, -1)
+            sent_back = unpressed(answers[bucket], np.uint8)
+            wide = len(sent_back) == 16 * len(part)  # counts above 32 bits come in 64
+            counts[:, part] = sent_back.view(np.uint64 if wide else np.uint32).reshape(2, -1)
     return counts
 
 
@@ -145,7 +147,8 @@ def _summed(least):
             sums = np.stack([np.bincount(inverse, np.concatenate([c[i] for c in counts])) for i in (0, 1)])
             known = sums[0] >= least
             totals = [int(known.sum()), *(int(s[known].sum()) for s in sums), *(int(s[~known].sum()) for s in sums)]
-            sums = np.minimum(np.where(known, sums, 0), 2**32 - 1).astype(np.uint32)
+            sums = np.where(known, sums, 0)
+            sums = sums.astype(np.uint32 if sums.max(initial=0) < 2**32 else np.uint64)
             chunk, bucket, payload, at = [None], [rows[0]["bucket"]], [None], 0
             for row, code in zip(rows, codes, strict=True):
                 chunk.append(row["chunk"])
