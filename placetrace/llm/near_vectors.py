@@ -20,7 +20,8 @@ grows with the square of the table.  Links that an audit finds are kept.  Inside
 each component links are counted exactly in blocks of rows.
 
 Edge cases: vectors that are null, empty, zero, hold null or non-finite components
-or have a length other than the most frequent one link with nothing; a null id
+link with nothing, and vectors of different lengths do not link: every length is
+searched for itself; a null id
 gets no component, is never kept and is not counted; rows that share an id count
 as one vector per distinct content; an empty table gives an empty result; other
 columns are ignored.
@@ -57,8 +58,15 @@ class Settings:
 
 
 def _matrix(column, width):
-    flat = b"".join(column if isinstance(column, list) else column.to_pylist())
-    return np.frombuffer(flat, np.float64).reshape(-1, width)
+    """The vectors of a binary Arrow column without nulls, as rows."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.binary())
+    if not len(column):
+        return np.zeros((0, width))
+    first = int(np.frombuffer(column.buffers()[1], np.int32, 1, 4 * column.offset)[0])
+    raw = np.frombuffer(column.buffers()[2], np.uint8, 8 * width * len(column), first)
+    return raw.copy().view(np.float64).reshape(-1, width)
 
 
 def _packed(batches):
@@ -166,18 +174,21 @@ def _join_neighbours(settings, width):
     """mapInArrow over centres: pairs of members of which one edge is new and which improve a list or link components."""
 
     def run(batches):
-        names = ("root", "worst_out", "worst_own", "limit_out", "limit_own", "unit")
         for group in by_key(batches, "centre"):
-            table = group.to_pandas()
-            table = table.groupby("member", as_index=False).agg({"fresh": "max"} | dict.fromkeys(names, "first"))
-            if len(table) < 2 or not table.fresh.any():
+            fresh = group.column("fresh").to_numpy()
+            if group.num_rows < 2 or not fresh.any():
                 continue
-            ids, x = table.member.to_numpy(), _matrix(table.unit.tolist(), width)
-            fresh = table.fresh.to_numpy(bool)
-            compared = (fresh[:, None] | fresh[None, :]) & ~np.eye(len(ids), dtype=bool)
-            limits = int(table.limit_out.max()), int(table.limit_own.max())
-            worst = table.worst_out.to_numpy(), table.worst_own.to_numpy()
-            out = _edges(ids, table.root.to_numpy(), x @ x.T, compared, limits, worst, settings)
+            every, first, which = np.unique(group.column("member").to_numpy(), return_index=True, return_inverse=True)
+            if len(every) < 2:
+                continue
+            table = group.take(pa.array(first))
+            new = np.zeros(len(every), bool)
+            new[which[fresh.astype(bool)]] = True
+            x = _matrix(table.column("unit"), width)
+            compared = (new[:, None] | new[None, :]) & ~np.eye(len(every), dtype=bool)
+            limits = tuple(int(table.column(f"limit_{k}").to_numpy().max()) for k in ("out", "own"))
+            worst = tuple(table.column(f"worst_{k}").to_numpy() for k in ("out", "own"))
+            out = _edges(every, table.column("root").to_numpy(), x @ x.T, compared, limits, worst, settings)
             if out.num_rows:
                 yield out
 
@@ -415,24 +426,30 @@ def near_vectors(embeddings: DataFrame, settings: Settings = Settings()) -> Data
         F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector")
     )
     packed = stored(rows.mapInArrow(_packed, "vec_id long, unit binary"))
-    usual = (
-        packed.where(F.col("unit").isNotNull())
-        .groupBy(F.octet_length("unit").alias("bytes"))
-        .count()
-        .orderBy(F.desc("count"), "bytes")
-        .first()
-    )
-    usable = (F.octet_length("unit") == F.lit(usual.bytes if usual else 0)) & F.col("vec_id").isNotNull()
+    usable = F.col("unit").isNotNull() & F.col("vec_id").isNotNull()
     vectors = stored(
-        packed.where(usable).groupBy("unit").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+        packed.where(usable)
+        .groupBy("unit")
+        .agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+        .withColumn("bytes", F.octet_length("unit"))
     )
-    width = usual.bytes // 8 if usual else 1
-    roots = searched_components(vectors, vectors.count(), width, settings)
-    links = link_counts(vectors, roots, width, settings)
-    classes = (
-        vectors.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
-        .join(links, "rep", "left")
-        .select("unit", "copies", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    # A row for each length of vectors; where there is one class there is nothing to search.
+    lengths = vectors.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy("bytes").collect()
+    placed = []
+    for length in lengths:
+        width = length.bytes // 8
+        mine = vectors.where(F.col("bytes") == length.bytes).drop("bytes")
+        roots = searched_components(mine, length.n, width, settings)
+        links = link_counts(mine, roots, width, settings)
+        placed.append(
+            mine.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
+            .join(links, "rep", "left")
+            .select("unit", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+        )
+    none = vectors.where("false").select("unit", F.col("rep").alias("root"), F.lit(0).cast("long").alias("links"))
+    joined = reduce(DataFrame.unionByName, placed, none)
+    classes = vectors.join(joined, "unit", "left").select(
+        "unit", "copies", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links")
     )
     found = packed.join(classes, "unit", "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce(F.when(usable, F.col("root")), F.col("vec_id")))
