@@ -8,10 +8,11 @@ smaller doc_id, or earlier in the same document) covers it.
    ``gram``-byte strings, the same in every copy of the window.  Anchors that occur
    once in the corpus rule out their windows; only others go on.  Counts are
    combined per chunk before they are shuffled.
-3. For each remaining anchor the bytes of its windows form a context.  Equal
-   contexts of a chunk are reduced to the first; contexts then go to the bin of
-   their anchor.  An anchor with very many different contexts is cut into single
-   windows, keyed by their own bytes, so no bin holds an unbounded group.
+3. For each remaining anchor the bytes of its windows form a context.  Contexts
+   that are equal, byte for byte, are reduced to the first, in the chunk and in the
+   bin of their anchor.  An anchor with very many different contexts is cut into
+   single windows, binned by a hash of their own bytes, so no bin holds an unbounded
+   group.  Hashes only bring strings together: what is removed was compared.
 4. A bin splits its different contexts into shards, builds the transform of each,
    and merges them by iterative interleave refinement: the interleave sorted by
    the first j bytes is dealt stably by the two bytes before each suffix, which
@@ -174,6 +175,17 @@ def _pieces(values, starts, ends):
     return values[index]
 
 
+def _same_as_before(data, at, size, alike):
+    """Of the strings (at, size) marked ``alike`` by hash, those whose bytes equal those of the string before."""
+    i = np.flatnonzero(alike)
+    i = i[size[i] == size[i - 1]]
+    out = np.zeros(len(alike), bool)
+    if len(i):
+        other = _pieces(data, at[i], at[i] + size[i]) != _pieces(data, at[i - 1], at[i - 1] + size[i])
+        out[i] = ~np.logical_or.reduceat(other, np.concatenate(([0], np.cumsum(size[i])[:-1])))
+    return out
+
+
 def _contexts(settings, buckets, bins):
     """mapInArrow: contexts for the bins (bin >= 0), and windows whose copy the chunk itself holds (bin -1)."""
 
@@ -210,6 +222,7 @@ def _context_rows(chunk, flag, settings, bins):
     low, high, key, key2, doc = (v[order] for v in (low, high, key, key2, doc))
     again = np.zeros(len(low), bool)
     again[1:] = (key[1:] == key[:-1]) & (key2[1:] == key2[:-1])
+    again = _same_as_before(chunk.data, low, high - low + settings.length, again)
     rows = []
     at = chunk.offsets[doc]
     if again.any():
@@ -328,6 +341,7 @@ def _binned(settings):
             new_key[1:] = key[1:] != key[:-1]
             again = np.zeros(len(key), bool)
             again[1:] = ~new_key[1:] & (key2[1:] == key2[:-1])
+            again = _same_as_before(body, at, size, again)
             owner = np.cumsum(new_key) - 1
             kinds = np.bincount(owner, ~again)
             several = (kinds[owner] > 1) & ~again
