@@ -42,3 +42,13 @@ def month_text(at: Column) -> Column:
 def valid_trip(started: Column, ended: Column) -> Column:
     """Both times known and not reversed; a zero duration is valid."""
     return F.coalesce(ended >= started, F.lit(False))
+
+
+def trip_state(started: Column, ended: Column) -> Column:
+    """untimed, reversed, zero or forward; the last two are valid trips."""
+    return (
+        F.when(started.isNull() | ended.isNull(), "untimed")
+        .when(ended < started, "reversed")
+        .when(ended == started, "zero")
+        .otherwise("forward")
+    )

@@ -22,12 +22,8 @@ def entity_ids(clustered: DataFrame) -> DataFrame:
     )
 
 
-def near_pairs(entities: DataFrame, clustered: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
-    """Pairs of one class within alias distance; ``source_id`` is the first shared id.
-
-    Blocked by class and grid cell, so only neighbours meet.  ``a`` precedes
-    ``b`` in (name key, cluster) order.
-    """
+def _placed(entities: DataFrame, clustered: DataFrame) -> DataFrame:
+    """Located entities with their (name key, cluster) order and their ids."""
     order = clustered.groupBy("station_key").agg(
         F.min(F.struct("name_key", "cluster_no")).alias("idx")
     )
@@ -44,16 +40,42 @@ def near_pairs(entities: DataFrame, clustered: DataFrame, rules: Rules = DEFAULT
         .join(order, "station_key")
         .join(entity_ids(clustered), "station_key", "left")
     )
-    rows = checkpoint(rows)
+    return checkpoint(rows)
+
+
+def _shared_id_pairs(rows: DataFrame, rules: Rules) -> DataFrame:
+    """Pairs within alias distance that share an id: only rows of one id, class and cell meet."""
+    by_id = rows.withColumn("source_id", F.explode("ids"))
     pairs = distance_join(
-        rows, rows, rules.alias_metres, "station_key", "station_key", keys=["station_type"]
+        by_id, by_id, rules.alias_metres, "station_key", "station_key", keys=["station_type", "source_id"]
     ).filter(F.col("a_idx") < F.col("b_idx"))
-    return pairs.withColumn("source_id", F.array_min(F.array_intersect("a_ids", "b_ids")))
+    first_shared = F.array_min(F.array_intersect("a_ids", "b_ids"))
+    # A pair with several ids comes once for each; it counts at its first.
+    return pairs.filter(F.col("a_source_id") == first_shared).withColumnRenamed("a_source_id", "source_id").drop("b_source_id")
 
 
 def alias_edges(entities: DataFrame, clustered: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
-    """Pairs that share an id, a class and a place: possible renames."""
-    return near_pairs(entities, clustered, rules).filter("source_id IS NOT NULL")
+    """Pairs that share an id, a class and a place: possible renames.
+
+    ``a`` precedes ``b`` in (name key, cluster) order; ``source_id`` is the first shared id.
+    """
+    return _shared_id_pairs(_placed(entities, clustered), rules)
+
+
+def near_pairs(entities: DataFrame, clustered: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
+    """Pairs of one class within alias distance among the entities that have an alias edge.
+
+    The edges come first, so entities without one - however many stand on one
+    spot - are left out before any pair by distance is formed.
+    """
+    rows = _placed(entities, clustered)
+    edges = checkpoint(_shared_id_pairs(rows, rules).select("a_station_key", "b_station_key"))
+    active = edges.select(F.explode(F.array("a_station_key", "b_station_key")).alias("station_key")).distinct()
+    rows = checkpoint(rows.join(active, "station_key", "left_semi"))
+    pairs = distance_join(
+        rows, rows, rules.alias_metres, "station_key", "station_key", keys=["station_type"]
+    ).filter(F.col("a_idx") < F.col("b_idx"))
+    return pairs.withColumn("source_id", F.array_min(F.array_intersect("a_ids", "b_ids")))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

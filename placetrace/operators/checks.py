@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placetrace.operators.entities import first_trip
+from placetrace.operators.joins import require_none
 from placetrace.operators.observe import endpoints
 from placetrace.operators.profile import month_gaps, rows_by_month
 from placetrace.params import DEFAULT, INVENTORY_COLUMNS, Rules
@@ -245,7 +246,36 @@ def reconciliation_checks(
     )
 
 
-def inventory_checks(inventory: DataFrame, city: DataFrame, public: DataFrame, id_header: str = "id") -> DataFrame:
+def changed_cells(inventory: DataFrame, city: DataFrame, names: Mapping[str, str] | None = None) -> DataFrame:
+    """Inventory rows of which a cell differs from the field of the city row that it comes from.
+
+    ``names`` maps fields to headers.  A field that no row of the feed has must be NULL; nested fields are compared as
+    the JSON text that stands in their cell.
+    """
+    names = dict(names) if names else {c: c for c in city.columns}
+    nested = {f.name for f in city.schema if f.dataType.typeName() in ("struct", "array", "map")}
+
+    def raw(field: str) -> Column:
+        if field not in city.columns:
+            return F.lit(None).cast("string")
+        return F.to_json(F.col(f"`{field}`")) if field in nested else F.col(f"`{field}`")
+
+    fields = list(names)
+    cells = [F.col(f"`{names[f]}`").alias(f"__m{i}") for i, f in enumerate(fields)]
+    theirs = city.select(F.col("id").alias("__id"), *[raw(f).alias(f"__r{i}") for i, f in enumerate(fields)])
+    mine = inventory.select(F.col(f"`{names['id']}`").alias("__key"), *cells)
+    same = [F.col(f"__m{i}").eqNullSafe(F.col(f"__r{i}")) for i in range(len(fields))]
+    joined = mine.join(theirs, F.col("__key") == F.col("__id"), "left")
+    return joined.filter(~reduce(lambda a, b: a & b, same)).select("__key")
+
+
+def inventory_checks(
+    inventory: DataFrame,
+    city: DataFrame,
+    public: DataFrame,
+    id_header: str = "id",
+    names: Mapping[str, str] | None = None,
+) -> DataFrame:
     ids = city.select(F.col("id").alias(id_header))
     lost = ids.join(inventory.select(id_header), id_header, "left_anti")
     linked = public.select("city_station_id", *[F.col(c).alias(f"__{c}") for c in INVENTORY_COLUMNS])
@@ -258,6 +288,7 @@ def inventory_checks(inventory: DataFrame, city: DataFrame, public: DataFrame, i
                 lost.unionByName(repeated(inventory, id_header).drop("n")),
                 "inventory_preserves_city_rows",
             ),
+            count_as_check(changed_cells(inventory, city, names), "inventory_preserves_city_cells"),
             count_as_check(wrong, "inventory_joins_published_reference_exactly"),
         ]
     )
@@ -286,10 +317,11 @@ def sample_entities(
 
 
 def spot_check(samples: DataFrame, trips: DataFrame) -> DataFrame:
-    """Re-find the first event of each sample in the trips.
+    """Re-find the first event of each sample in the trips, with the raw row as evidence.
 
-    ``verified`` needs a trip end of that file, id and role at the stated time.
-    The samples are few, so Spark ships them to the scan when their size allows.
+    ``verified`` needs a trip end of that file, trip id and role at the stated
+    time; its id, name and point are the evidence.  The samples are few, so Spark
+    ships them to the scan when their size allows.
     """
     ends = endpoints(trips).select(
         F.col("archive").alias("first_trip_archive"),
@@ -297,16 +329,26 @@ def spot_check(samples: DataFrame, trips: DataFrame) -> DataFrame:
         F.col("trip_id").alias("first_trip_id"),
         F.col("role").alias("first_trip_role"),
         "event_at",
+        F.struct("station_id", "station_name", "lat", "lon").alias("raw"),
     )
     keys = ["first_trip_archive", "first_trip_member", "first_trip_id", "first_trip_role"]
-    wanted = samples.select("station_key", "station_name", "station_first_trip_at", *keys)
+    wanted = samples.select("station_key", "station_name", "station_first_trip_at", "station_lat", "station_lon", *keys)
+    at_time = F.col("event_at") == F.col("station_first_trip_at")
     found = ends.join(wanted, keys).groupBy("station_key").agg(
         F.count(F.lit(1)).alias("rows_found"),
-        F.count_if(F.col("event_at") == F.col("station_first_trip_at")).alias("rows_at_time"),
+        F.count_if(at_time).alias("rows_at_time"),
+        F.min(F.when(at_time, F.col("raw"))).alias("raw"),
     )
     return (
         wanted.join(found, "station_key", "left")
         .withColumn("rows_found", F.coalesce("rows_found", F.lit(0)))
         .withColumn("verified", F.coalesce(F.col("rows_at_time") > 0, F.lit(False)))
-        .drop("rows_at_time")
+        .withColumns({f"source_{name}": F.col(f"raw.{name}") for name in ("station_id", "station_name", "lat", "lon")})
+        .drop("rows_at_time", "raw")
     )
+
+
+def require_evidence(spots: DataFrame) -> None:
+    """Raise when a sampled first event is not in the trips."""
+    missing = spots.filter("NOT verified").select("station_key", "first_trip_archive", "first_trip_member", "first_trip_id")
+    require_none(missing, "no source evidence for first trips")

@@ -167,71 +167,124 @@ def assign_located(located: DataFrame, anchors: DataFrame, metres: float, grid:
     )
 
 
+def _reachable(bound: DataFrame, homes: DataFrame, rules: Rules) -> DataFrame:
+    """(name_key, station_id, coarse_lat, coarse_lon, home): homes of that id that a coarse point accepts.
+
+    Both meet in cells of the coarse grid.  Anchors of a name keep their distance,
+    so a cell holds a bounded number of them, however many the name has.
+    """
+    metres, cell_side = rules.match_metres, 2 * rules.coarse_half_cell
+    up = rules.coarse_half_cell + 1.001 * metres / METRES_PER_DEGREE
+    widest = max(abs(rules.box.lat_min), abs(rules.box.lat_max)) + 2 * cell_side
+    aside = rules.coarse_half_cell + 1.001 * metres / (METRES_PER_DEGREE * math.cos(math.radians(widest)))
+
+    def around(value: Column, reach: float) -> Column:
+        low, high = cell(value - reach, cell_side), cell(value + reach, cell_side)
+        return F.explode(F.sequence(low, high))
+
+    asked = bound.withColumn("cy", around(F.col("coarse_lat"), up)).withColumn("cx", around(F.col("coarse_lon"), aside))
+    placed = homes.withColumn("cy", cell(F.col("home.lat"), cell_side)).withColumn("cx", cell(F.col("home.lon"), cell_side))
+    met = join_null_safe(asked, placed, ["name_key", "station_id", "cy", "cx"], "inner")
+    none = F.lit(0).cast("long")
+    fits = coarse_cell_contains(
+        F.col("coarse_lat"), F.col("coarse_lon"), none, F.col("home.lat"), F.col("home.lon"), rules
+    )
+    return met.filter(fits).drop("cy", "cx")
+
+
+def _two_first(present: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each group, the first home that is there (``one``) and when the second is (``two``)."""
+    ranked = present.withColumn(
+        "place", F.row_number().over(Window.partitionBy(*keys).orderBy("since", "home"))
+    ).filter("place <= 2")
+
+    def at(place: int, column: str) -> Column:
+        return F.max(F.when(F.col("place") == place, F.col(column)))
+
+    return ranked.groupBy(*keys).agg(at(1, "home").alias("one"), at(1, "since").alias("one_since"), at(2, "since").alias("two_since"))
+
+
 def attach_unlocated(missing: DataFrame, homed: DataFrame, anchors: DataFrame, rules: Rules) -> DataFrame:
-    """Adds ``home`` to rows without a location; NULL leaves them unlocated."""
+    """Adds ``home`` to rows without a location; NULL leaves them unlocated.
+
+    Rows ask for counts and minima only: how many homes of their name and id they
+    accept, and which if it is one.  A row without a coarse point accepts all, so
+    totals per (name, id) answer; the others are asked once per coarse point.
+    """
+    point, named_id = ["coarse_lat", "coarse_lon"], ["name_key", "station_id"]
     named = anchors.groupBy("name_key").agg(
         F.count(F.lit(1)).alias("anchors"), F.min(F.struct("ord", "lat", "lon")).alias("only")
     )
-    by_id = homed.groupBy("name_key", "station_id").agg(F.collect_set("home").alias("id_homes"))
-
-    def accepts(home: Column) -> Column:
-        return coarse_cell_contains(
-            F.col("coarse_lat"),
-            F.col("coarse_lon"),
-            F.col("coordinate_count"),
-            home["lat"],
-            home["lon"],
-            rules,
-        )
-
-    rows = missing.withColumn("pos", file_order()).join(named, "name_key", "left")
-    rows = join_null_safe(rows, by_id, ["name_key", "station_id"])
-    rows = rows.withColumn("fits_only", accepts(F.col("only"))).withColumn(
-        "matches", F.filter("id_homes", accepts)
+    homes = checkpoint(homed.select(*named_id, "archive", "home").distinct())
+    by_id = homes.select(*named_id, "home").distinct()
+    of_id = by_id.groupBy(*named_id).agg(F.count(F.lit(1)).alias("id_homes"), F.min("home").alias("id_home"))
+    free = F.col("coarse_lat").isNull() | (F.coalesce("coordinate_count", F.lit(0)) > 0)
+    only = F.col("only")
+    fits_only = coarse_cell_contains(
+        F.col("coarse_lat"), F.col("coarse_lon"), F.col("coordinate_count"), only["lat"], only["lon"], rules
     )
+    rows = missing.withColumn("pos", file_order()).withColumn("free", free).join(named, "name_key", "left")
+    rows = join_null_safe(rows, of_id, named_id).withColumn("fits_only", fits_only)
     rows = checkpoint(rows)
 
+    bound = rows.filter("NOT free AND anchors > 1 AND id_homes IS NOT NULL").select(*named_id, *point).distinct()
+    reachable = checkpoint(_reachable(bound, by_id, rules))
+    reached = reachable.groupBy(*named_id, *point).agg(F.count(F.lit(1)).alias("n_near"), F.min("home").alias("near_home"))
+    nullable = frozenset({"station_id", *point})
+    rows = join_null_safe(rows, reached, [*named_id, *point], nullable=nullable)
+    accepted = F.when(F.col("free"), F.col("id_homes")).otherwise(F.col("n_near"))
+    match = F.when(F.col("free"), F.col("id_home")).otherwise(F.col("near_home"))
+    rows = checkpoint(rows.withColumn("matches", F.coalesce(accepted, F.lit(0))).withColumn("match", match))
+
     # One anchor: rows are attached freely until the first that does not fit;
     # later ones need an id that some attached row already has.
     single = rows.filter("anchors = 1")
     first_misfit = (
         single.filter("NOT fits_only").groupBy("name_key").agg(F.min("pos").alias("misfit"))
     )
-    id_first = single.groupBy("name_key", "station_id").agg(F.min("pos").alias("id_pos"))
+    id_first = single.groupBy(*named_id).agg(F.min("pos").alias("id_pos"))
 
-    # Several anchors: rows with one match lend their (archive, id) to it.
+    # Several anchors: rows with one match lend their (archive, id) to it, from
+    # their position on; homes of located rows are there from the start.
+    with_archive = ["name_key", "archive", "station_id"]
     lent = (
-        rows.filter("anchors > 1 AND size(matches) = 1")
-        .groupBy("name_key", "archive", "station_id", F.col("matches")[0].alias("home"))
-        .agg(F.min("pos").alias("since"))
+        rows.filter("anchors > 1 AND matches = 1")
+        .groupBy(*with_archive, F.col("match").alias("home"))
+        .agg(F.min("pos").alias("pos"))
     )
-    always = homed.select(
-        "name_key", "archive", "station_id", "home", F.lit(None).cast(dict(rows.dtypes)["pos"]).alias("since")
-    ).distinct()
-    present = (
-        always.unionByName(lent)
-        .groupBy("name_key", "archive", "station_id")
-        .agg(F.collect_list(F.struct("home", "since")).alias("present"))
+    nowhere = F.lit(None).cast(dict(rows.dtypes)["pos"])
+    present = homes.select(*with_archive, "home", F.struct(F.lit(0).alias("lent"), nowhere.alias("pos")).alias("since")).unionByName(
+        lent.select(*with_archive, "home", F.struct(F.lit(1).alias("lent"), F.col("pos")).alias("since"))
     )
+    present = checkpoint(present.groupBy(*with_archive, "home").agg(F.min("since").alias("since")))
+    of_archive = _two_first(present, with_archive)
+    several = rows.filter("anchors > 1 AND matches > 1 AND NOT free").select(*with_archive, *point).distinct()
+    near_present = join_null_safe(several, reachable, [*named_id, *point], "inner", nullable)
+    near_present = join_null_safe(near_present, present, [*with_archive, "home"], "inner")
+    of_point = _two_first(near_present, [*with_archive, *point])
 
     judged = rows.join(first_misfit, "name_key", "left")
-    judged = join_null_safe(judged, id_first, ["name_key", "station_id"])
-    judged = join_null_safe(judged, present, ["name_key", "archive", "station_id"])
+    judged = join_null_safe(judged, id_first, named_id)
+    judged = join_null_safe(judged, of_archive.select(*with_archive, F.struct("one", "one_since", "two_since").alias("all_there")), with_archive)
+    judged = join_null_safe(
+        judged,
+        of_point.select(*with_archive, *point, F.struct("one", "one_since", "two_since").alias("near_there")),
+        [*with_archive, *point],
+        nullable=nullable,
+    )
     known_id = F.col("id_homes").isNotNull() | (F.col("id_pos") < F.col("misfit"))
     before_misfit = F.col("misfit").isNull() | (F.col("pos") < F.col("misfit"))
     joins_only = before_misfit | (F.col("fits_only") & F.coalesce(known_id, F.lit(False)))
+    judged = judged.withColumn("there", F.when(F.col("free"), F.col("all_there")).otherwise(F.col("near_there")))
 
-    def is_present(home: Column) -> Column:
-        return F.exists(
-            "present",
-            lambda p: (p["home"] == home) & (p["since"].isNull() | (p["since"] < F.col("pos"))),
-        )
+    def by_then(since: Column) -> Column:
+        return F.coalesce((since["lent"] == 0) | (since["pos"] < F.col("pos")), F.lit(False))
 
-    judged = judged.withColumn("current", F.filter("matches", is_present))
+    alone = by_then(F.col("there.one_since")) & ~by_then(F.col("there.two_since"))
     home = (
         F.when((F.col("anchors") == 1) & joins_only, F.col("only"))
-        .when((F.col("anchors") > 1) & (F.size("current") == 1), F.col("current")[0])
-        .when((F.col("anchors") > 1) & (F.size("matches") == 1), F.col("matches")[0])
+        .when((F.col("anchors") > 1) & (F.col("matches") == 1), F.col("match"))
+        .when((F.col("anchors") > 1) & (F.col("matches") > 1) & alone, F.col("there.one"))
     )
     return judged.select(*missing.columns, home.alias("home"))
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placetrace.session import checkpoint
+
 # Rows of one key that a single task may pair with the other side.
 PAIR_BLOCK = 2048
 
@@ -54,27 +56,43 @@ def split_join(
     row_id: Sequence[str],
     condition: Column | None = None,
     block: int = PAIR_BLOCK,
+    right_id: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Inner equi-join whose hot left keys are spread over several tasks.
-
-    A key with n left rows is split into ceil(n / block) blocks; the right rows
-    of that key are copied once per block.  Keys below the block size are
-    joined as usual, so ordinary data pays one extra count.
+    """Inner equi-join whose hot keys are spread over several tasks, whichever side they are hot on.
+
+    The rows of a key form a matrix of ceil(n / block) left by ceil(m / block)
+    right blocks, and every field of it is a join key of its own: no task meets
+    more than about block x block pairs of one key.  Left rows are copied once
+    per right block and the other way round; keys below the block size on both
+    sides are joined as usual.  ``right_id`` deals the right rows out (all columns
+    unless given).
     """
     keys = list(keys)
-    hot = hot_counts(left, keys, block)
-    salted_left = with_blocks(left, keys, hot).withColumn(
-        "__salt", F.pmod(F.xxhash64(*row_id), F.col("__blocks")).cast("int")
-    )
-    salted_right = with_blocks(right, keys, hot).withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))
+    hot = hot_counts(left, keys, block).withColumnRenamed("__blocks", "__p_blocks").join(
+        hot_counts(right, keys, block).withColumnRenamed("__blocks", "__q_blocks"), keys, "full_outer"
     )
-    joined = salted_left.drop("__blocks").join(
-        salted_right.drop("__blocks"), [*keys, "__salt"], "inner"
+    hot = checkpoint(hot)
+    if hot.isEmpty():
+        joined = left.join(right, keys, "inner")
+        return joined if condition is None else joined.filter(condition)
+    one = F.lit(1)
+    p_blocks, q_blocks = F.coalesce("__p_blocks", one), F.coalesce("__q_blocks", one)
+
+    def placed(df: DataFrame, own: str, own_blocks: Column, dealt: Sequence[str], other: str, blocks: Column) -> DataFrame:
+        mine = F.pmod(F.xxhash64(*dealt), own_blocks).cast("int")
+        return (
+            df.join(hot, keys, "left")
+            .withColumn(own, mine)
+            .withColumn(other, F.explode(F.sequence(F.lit(0), blocks - 1)))
+            .drop("__p_blocks", "__q_blocks")
+        )
+
+    joined = placed(left, "__p", p_blocks, row_id, "__q", q_blocks).join(
+        placed(right, "__q", q_blocks, right_id or right.columns, "__p", p_blocks), [*keys, "__p", "__q"], "inner"
     )
     if condition is not None:
         joined = joined.filter(condition)
-    return joined.drop("__salt")
+    return joined.drop("__p", "__q")
 
 
 def pairs_within(

@@ -37,17 +37,21 @@ def feed_rows(
     status: DataFrame,
     boundary: DataFrame | None = None,
 ) -> DataFrame:
-    """Both current inventories under one schema."""
+    """Both current inventories under one schema; fields that a feed may leave out are blank or NULL."""
+
+    def field(df: DataFrame, name: str) -> Column:
+        return F.col(name) if name in df.columns else F.lit(None).cast("string")
+
     city_rows = city.select(
         F.lit("city").alias("source"),
         F.col("id").alias("feed_station_id"),
-        F.coalesce("short_name", F.lit("")).alias("short_name"),
+        F.coalesce(field(city, "short_name"), F.lit("")).alias("short_name"),
         "station_name",
         F.col("latitude").cast("double").alias("lat"),
         F.col("longitude").cast("double").alias("lon"),
-        "status",
+        field(city, "status").alias("status"),
         F.lit("").alias("feed_station_type"),
-        F.col("total_docks").cast("int").alias("capacity"),
+        field(city, "total_docks").cast("int").alias("capacity"),
     )
     operator_rows = information.join(
         status.select("station_id", "is_installed", "is_renting", "is_returning"), "station_id", "left"

@@ -1,20 +1,36 @@
-"""Trip ends, and their roll-up to one observation per file, id, name and role."""
+"""Trip ends, their census by place and point, and the roll-up to one observation per file, id, name and role.
+
+The census is the only step that reads trips.  It counts equal ends, so repeated
+points shrink before the first shuffle, and it holds all that the roll-up and the
+profile of files need.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placetrace.functions.geo import in_box, is_coarse
 from placetrace.functions.text import normalize_name
-from placetrace.functions.times import valid_trip
-from placetrace.operators.quantiles import grouped_quantiles
+from placetrace.functions.times import trip_state, valid_trip
+from placetrace.operators.quantiles import grouped_quantiles, interpolated
 from placetrace.params import DEFAULT, Rules
+from placetrace.session import checkpoint
 
 PLACE = ("station_id", "station_name", "role")
 LINEAGE = ("archive", "member", "schema")
+POINT = ("lat", "lon", "state")
+# Points of one place that a single task may sort.
+LIGHT = 1 << 20
+# Quantiles of each axis: of coarse points and of fine ones.
+SPOTS = {
+    "coarse_lat": {"coarse_lat": 0.5},
+    "coarse_lon": {"coarse_lon": 0.5},
+    "fine_lat": {"lat": 0.5, "lat_p05": 0.05, "lat_p95": 0.95},
+    "fine_lon": {"lon": 0.5, "lon_p05": 0.05, "lon_p95": 0.95},
+}
 
 
 def endpoints(trips: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
@@ -41,50 +57,122 @@ def endpoints(trips: DataFrame, rules: Rules = DEFAULT) -> DataFrame:
     )
 
 
-def observe(trips: DataFrame, by: Sequence[str] = LINEAGE, rules: Rules = DEFAULT) -> DataFrame:
-    """One row per file, station id, station name and role.
+def census(trips: DataFrame, by: Sequence[str] = LINEAGE) -> DataFrame:
+    """Trip ends counted by place, point and state of their trip.
 
-    Only valid trips count for times and coordinates.  Missing ids and names
-    stay as groups of their own, so that every endpoint is accounted for.
+    ``n`` ends, how many of them have a time and a trip id, the least and the
+    greatest time, and the id of the first trip.  Missing ids, names and
+    coordinates are values of their own.
     """
     by = [name for name in by if name in trips.columns]
-    keys = [*by, *PLACE]
-    # One struct key: NULL ids and names are equal in it, and plans stay small.
-    ends = endpoints(trips, rules).withColumn("place", F.struct(*keys)).drop(*keys)
-    valid = F.col("valid_trip")
-    fine = valid & F.col("in_region") & ~F.col("coarse")
-    coarse = valid & F.col("in_region") & F.col("coarse")
-    first = F.min(
-        F.when(valid & F.col("trip_id").isNotNull(), F.struct("event_at", "trip_id"))
-    )
-    counts = ends.groupBy("place").agg(
-        F.count(F.lit(1)).alias("endpoint_count"),
-        F.count_if(valid).alias("valid_endpoint_count"),
-        F.min(F.when(valid, F.col("event_at"))).alias("first_at"),
-        F.max(F.when(valid, F.col("event_at"))).alias("last_at"),
-        first.getField("trip_id").alias("first_trip_id"),
-        F.count_if(fine).alias("coordinate_count"),
-        F.count_if(coarse).alias("coarse_coordinate_count"),
+
+    def end(role: str, at: str):
+        return F.struct(
+            F.col(f"{role}_station_id").alias("station_id"),
+            F.col(f"{role}_station_name").alias("station_name"),
+            F.lit(role).alias("role"),
+            F.col(f"{role}_lat").alias("lat"),
+            F.col(f"{role}_lon").alias("lon"),
+            F.col(at).alias("event_at"),
+        )
+
+    state = trip_state(F.col("started_at"), F.col("ended_at")).alias("state")
+    ends = trips.select(*by, "trip_id", state, F.inline(F.array(end("start", "started_at"), end("end", "ended_at"))))
+    first = F.min(F.when(F.col("trip_id").isNotNull(), F.struct("event_at", "trip_id")))
+    return ends.groupBy(*by, *PLACE, *POINT).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("event_at").alias("timed"),
+        F.count("trip_id").alias("named"),
+        F.min("event_at").alias("first_at"),
+        F.max("event_at").alias("last_at"),
+        first.alias("first"),
     )
-    series = F.when(F.col("coarse"), "coarse").otherwise("fine")
-    values = ends.filter(valid & F.col("in_region")).select(
+
+
+def _place_code(keys: Sequence[str]):
+    """128 bits that stand for the key columns, NULLs told apart."""
+    blanks = F.concat(*[F.when(F.col(k).isNull(), "0").otherwise("1") for k in keys])
+    return F.xxhash64(*keys, blanks).alias("code_a"), F.xxhash64(F.lit("place"), *keys, blanks).alias("code_b")
+
+
+def _totals(keys: Sequence[str]):
+    """Aggregates over the points of one place; its key columns are the same in all of them."""
+    valid, fine, coarse = F.col("valid"), F.col("series") == "fine", F.col("series") == "coarse"
+
+    def total(condition):
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0).cast("long"))
+
+    return [
+        *[F.first(k).alias(k) for k in keys],
+        F.sum("n").alias("endpoint_count"),
+        total(valid).alias("valid_endpoint_count"),
+        F.min(F.when(valid, F.col("first_at"))).alias("first_at"),
+        F.max(F.when(valid, F.col("last_at"))).alias("last_at"),
+        F.min(F.when(valid, F.col("first"))).getField("trip_id").alias("first_trip_id"),
+        total(fine).alias("coordinate_count"),
+        total(coarse).alias("coarse_coordinate_count"),
+    ]
+
+
+def _light(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Totals and quantiles of places whose points a task can sort: all windows in one shuffle by place."""
+    code = ["code_a", "code_b"]
+    group = Window.partitionBy(*code, "series")
+    ranked = points.repartition(*code).withColumn("total", F.sum("n").over(group))
+    for axis in ("lat", "lon"):
+        upto = group.orderBy(axis).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranked = ranked.withColumn(f"{axis}_upto", F.sum("n").over(upto))
+    picks = []
+    for series, named in SPOTS.items():
+        kind, axis = series.split("_")
+        upto = F.col(f"{axis}_upto")
+        for column, p in named.items():
+            value = interpolated(F.col("series") == kind, F.col(axis), upto - F.col("n"), upto, F.col("total"), p)
+            picks.append(value.alias(column))
+    return ranked.groupBy(*code).agg(*_totals(keys), *picks).drop(*code)
+
+
+def _heavy(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The same for places of any size: combined before the shuffle, ranks found in buckets of values."""
+    place = points.withColumn("place", F.struct("code_a", "code_b"))
+    located = place.filter("series IS NOT NULL")
+    values = located.select(
         "place",
+        "n",
         F.inline(
             F.array(
-                F.struct(F.concat(series, F.lit("_lat")).alias("series"), F.col("lat").alias("value")),
-                F.struct(F.concat(series, F.lit("_lon")).alias("series"), F.col("lon").alias("value")),
+                *[F.struct(F.concat("series", F.lit(f"_{axis}")).alias("series"), F.col(axis).alias("value")) for axis in ("lat", "lon")]
             )
         ),
     )
-    spots = grouped_quantiles(
-        values,
-        "place",
-        {
-            "coarse_lat": {"coarse_lat": 0.5},
-            "coarse_lon": {"coarse_lon": 0.5},
-            "fine_lat": {"lat": 0.5, "lat_p05": 0.05, "lat_p95": 0.95},
-            "fine_lon": {"lon": 0.5, "lon_p05": 0.05, "lon_p95": 0.95},
-        },
-    )
-    joined = counts.join(spots, "place", "left").select("place.*", "*").drop("place")
-    return joined.withColumn("name_key", normalize_name(F.col("station_name")))
+    spots = grouped_quantiles(values, "place", SPOTS, weight="n")
+    return place.groupBy("place").agg(*_totals(keys)).join(spots, "place", "left").drop("place")
+
+
+def observe_census(counted: DataFrame, rules: Rules = DEFAULT, light: int = LIGHT) -> DataFrame:
+    """The observations of a stored census."""
+    by = [name for name in LINEAGE if name in counted.columns]
+    keys = [*by, *PLACE]
+    lat, lon = F.col("lat"), F.col("lon")
+    valid = F.col("state").isin("zero", "forward")
+    spot = valid & in_box(lat, lon, rules.box)
+    series = F.when(spot, F.when(is_coarse(lat, lon, rules), "coarse").otherwise("fine"))
+    points = counted.select("*", valid.alias("valid"), series.alias("series"), *_place_code(keys))
+    code = ["code_a", "code_b"]
+    crowded = checkpoint(points.groupBy(*code).agg(F.count(F.lit(1)).alias("points")).filter(F.col("points") > light))
+    if crowded.limit(1).count():
+        few = points.join(crowded, code, "left_anti")
+        many = points.join(crowded.drop("points"), code, "left_semi")
+        rows = _light(few, keys).unionByName(_heavy(many, keys))
+    else:
+        rows = _light(points, keys)
+    return rows.withColumn("name_key", normalize_name(F.col("station_name")))
+
+
+def observe(trips: DataFrame, by: Sequence[str] = LINEAGE, rules: Rules = DEFAULT) -> DataFrame:
+    """One row per file, station id, station name and role.
+
+    Only valid trips count for times and coordinates.  Missing ids and names
+    stay as groups of their own, so that every endpoint is accounted for.
+    """
+    return observe_census(checkpoint(census(trips, by)), rules)

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from placetrace.functions.geo import in_box
 from placetrace.functions.times import month_text
 from placetrace.operators.joins import join_null_safe
+from placetrace.operators.observe import census
 from placetrace.params import DEFAULT, Rules
+from placetrace.session import checkpoint
 
 FILE = ("archive", "member")
 
@@ -33,60 +35,55 @@ ADDITIVE = (
 )
 
 
-def profile_trips(trips: DataFrame, by: Sequence[str] = FILE, rules: Rules = DEFAULT) -> DataFrame:
+def profile_trips(
+    trips: DataFrame, by: Sequence[str] = FILE, rules: Rules = DEFAULT, ends: DataFrame | None = None
+) -> DataFrame:
     """Twenty-one measures per group.
 
-    All but the distinct counts come from one hash aggregate.  The distinct
-    counts group by (file, value) first: that combines on the map side and keeps
-    a huge file from being counted in one task, and needs no row expansion.
+    All but the distinct trip ids come from the census of trip ends (``ends``,
+    made here unless given); trips themselves are read for their ids only.
+    Distinct values are grouped by (file, value) first: that combines on the map
+    side and keeps a huge file from being counted in one task.
     """
     by = list(by)
-
-    def missing(*names: str):
-        condition = F.lit(False)
-        for name in names:
-            condition = condition | F.col(name).isNull()
-        return F.count_if(condition)
-
-    def outside(end: str):
-        lat, lon = F.col(f"{end}_lat"), F.col(f"{end}_lon")
-        return F.count_if(lat.isNotNull() & lon.isNotNull() & ~in_box(lat, lon, rules.box))
-
-    plain = trips.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.min("started_at").alias("earliest_start"),
-        F.max("started_at").alias("latest_start"),
-        F.min("ended_at").alias("earliest_end"),
-        F.max("ended_at").alias("latest_end"),
-        missing("trip_id").alias("missing_trip_ids"),
-        missing("started_at").alias("invalid_start_time"),
-        missing("ended_at").alias("invalid_end_time"),
-        F.count_if(F.col("ended_at") < F.col("started_at")).alias("reversed_trips"),
-        F.count_if(F.col("ended_at") == F.col("started_at")).alias("zero_duration_trips"),
-        missing("start_station_id").alias("missing_start_id"),
-        missing("end_station_id").alias("missing_end_id"),
-        missing("start_station_name").alias("missing_start_name"),
-        missing("end_station_name").alias("missing_end_name"),
-        missing("start_lat", "start_lon").alias("missing_start_coordinates"),
-        missing("end_lat", "end_lon").alias("missing_end_coordinates"),
-        outside("start").alias("invalid_start_coordinates"),
-        outside("end").alias("invalid_end_coordinates"),
-    )
-
-    def distinct(column: str, alias: str) -> DataFrame:
-        values = trips.groupBy(*by, column).agg(F.count(F.lit(1)).alias("n"))
-        return values.groupBy(*by).agg(F.count(column).alias(alias))
-
+    if ends is None:
+        ends = checkpoint(census(trips, by))
+    lat, lon, role, state = F.col("lat"), F.col("lon"), F.col("role"), F.col("state")
+    located = lat.isNotNull() & lon.isNotNull()
+    start = role == "start"
+
+    def total(condition, value="n"):
+        return F.coalesce(F.sum(F.when(condition, F.col(value))), F.lit(0).cast("long"))
+
+    measures = [
+        total(start).alias("rows"),
+        (total(start) - total(start, "named")).alias("missing_trip_ids"),
+        total(start & (state == "reversed")).alias("reversed_trips"),
+        total(start & (state == "zero")).alias("zero_duration_trips"),
+    ]
+    for end in ("start", "end"):
+        here = role == end
+        measures += [
+            F.min(F.when(here, F.col("first_at"))).alias(f"earliest_{end}"),
+            F.max(F.when(here, F.col("last_at"))).alias(f"latest_{end}"),
+            (total(here) - total(here, "timed")).alias(f"invalid_{end}_time"),
+            total(here & F.col("station_id").isNull()).alias(f"missing_{end}_id"),
+            total(here & F.col("station_name").isNull()).alias(f"missing_{end}_name"),
+            total(here & ~located).alias(f"missing_{end}_coordinates"),
+            total(here & located & ~in_box(lat, lon, rules.box)).alias(f"invalid_{end}_coordinates"),
+        ]
+    plain = ends.groupBy(*by).agg(*measures)
+    ids = ends.filter("station_id IS NOT NULL").groupBy(*by, "role", "station_id").agg(F.count(F.lit(1)).alias("points"))
+    ids = ids.groupBy(*by).agg(*[F.count_if(role == end).alias(f"distinct_{end}_ids") for end in ("start", "end")])
+    named = trips.groupBy(*by, "trip_id").agg(F.count(F.lit(1)).alias("uses"))
+    named = named.groupBy(*by).agg(F.count("trip_id").alias("distinct_trip_ids"))
     out = plain
-    for column, alias in (
-        ("trip_id", "distinct_trip_ids"),
-        ("start_station_id", "distinct_start_ids"),
-        ("end_station_id", "distinct_end_ids"),
-    ):
-        counts = distinct(column, alias)
+    for counts in (ids, named):
         out = join_null_safe(out, counts, by, nullable=frozenset(by)) if by else out.crossJoin(counts)
-    repeated = F.col("rows") - F.col("distinct_trip_ids")
-    return out.withColumn("duplicate_or_missing_trip_ids", repeated).drop("distinct_trip_ids")
+    none = F.lit(0).cast("long")
+    distinct = [F.coalesce(f"distinct_{end}_ids", none).alias(f"distinct_{end}_ids") for end in ("start", "end")]
+    repeated = (F.col("rows") - F.col("distinct_trip_ids")).alias("duplicate_or_missing_trip_ids")
+    return out.select(*[c for c in plain.columns], *distinct, repeated)
 
 
 def profile_totals(profiles: DataFrame) -> DataFrame:

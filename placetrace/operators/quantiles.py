@@ -19,11 +19,24 @@ def _ranks(total: Column, p: float) -> tuple[Column, Column, Column]:
     return low, F.ceil(position), position - low
 
 
+def _holds(low_edge: Column, high_edge: Column, rank: Column) -> Column:
+    return (rank >= low_edge) & (rank < high_edge)
+
+
+def interpolated(chosen: Column, value: Column, start: Column, end: Column, total: Column, p: float) -> Column:
+    """Aggregate: the ``p`` quantile of the chosen rows, each of which holds the ranks [start, end) of ``total``."""
+    low, high, fraction = _ranks(total, p)
+    at_low = F.max(F.when(chosen & _holds(start, end, low), value))
+    at_high = F.max(F.when(chosen & _holds(start, end, high), value))
+    return at_low + (at_high - at_low) * F.max(F.when(chosen, fraction))
+
+
 def grouped_quantiles(
     values: DataFrame,
     key: str,
     wanted: Mapping[str, Mapping[str, float]],
     bucket: float = BUCKET,
+    weight: str | None = None,
 ) -> DataFrame:
     """Linear-interpolation quantiles of several value series at once.
 
@@ -33,13 +46,13 @@ def grouped_quantiles(
     ``percentile`` ships a map of all values of a group to one task, which a hot
     group breaks.  Here equal values are combined before the first shuffle,
     ranks are located in bucket totals, and only the buckets that hold a wanted
-    rank are sorted - each on its own.
+    rank are sorted - each on its own.  With ``weight``, a row stands for so many.
     """
     group = [key, "series"]
     counted = (
         values.filter(F.col("value").isNotNull())
         .groupBy(*group, F.floor(F.col("value") / bucket).alias("bucket"), "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n"))
     )
     running = Window.partitionBy(*group).orderBy("bucket")
     totals = (
@@ -50,9 +63,6 @@ def grouped_quantiles(
         .withColumn("before", F.col("upto") - F.col("held"))
     )
 
-    def holds(low_edge: Column, high_edge: Column, rank: Column) -> Column:
-        return (rank >= low_edge) & (rank < high_edge)
-
     total = F.col("total")
     probabilities = [
         (series, column, p) for series, named in wanted.items() for column, p in named.items()
@@ -62,7 +72,7 @@ def grouped_quantiles(
         hits = []
         for series, _, p in probabilities:
             low, high, _frac = _ranks(total, p)
-            hit = holds(low_edge, high_edge, low) | holds(low_edge, high_edge, high)
+            hit = _holds(low_edge, high_edge, low) | _holds(low_edge, high_edge, high)
             hits.append((F.col("series") == series) & hit)
         return reduce(lambda a, b: a | b, hits)
 
@@ -76,12 +86,8 @@ def grouped_quantiles(
         .withColumn("start", F.col("end") - F.col("n"))
         .filter(any_rank(F.col("start"), F.col("end")))
     )
-    picks = []
-    for series, column, p in probabilities:
-        low, high, fraction = _ranks(total, p)
-        this = F.col("series") == series
-        at_low = F.max(F.when(this & holds(F.col("start"), F.col("end"), low), F.col("value")))
-        at_high = F.max(F.when(this & holds(F.col("start"), F.col("end"), high), F.col("value")))
-        share = F.max(F.when(this, fraction))
-        picks.append((at_low + (at_high - at_low) * share).alias(column))
+    picks = [
+        interpolated(F.col("series") == series, F.col("value"), F.col("start"), F.col("end"), total, p).alias(column)
+        for series, column, p in probabilities
+    ]
     return ranked.groupBy(key).agg(*picks)

@@ -85,8 +85,8 @@ def flag(name: str, condition: str) -> str:
     return f"CASE WHEN {condition} THEN '{name}' END"
 
 
-def entities_sql(clustered: str) -> str:
-    """The entity summary of a clustered relation."""
+def entities_sql(clustered: str, merged: bool = False) -> str:
+    """The entity summary of a clustered relation; a merged one has a ``key_name`` and a mark of its own."""
     first = (
         "struct_pack(a := first_at, b := coalesce(first_trip_id, ''), c := role,"
         " d := archive, e := member)"
@@ -118,6 +118,7 @@ def entities_sql(clustered: str) -> str:
             flag("operational_station", operational(words)),
             flag("conflicting_reported_online_dates", "online_days > 1"),
             flag("name_has_multiple_locations", "several"),
+            *([flag("nearby_name_aliases_merged", "was_merged")] if merged else []),
         ]
     )
     return f"""
@@ -145,7 +146,7 @@ def entities_sql(clustered: str) -> str:
       FROM (
         SELECT g.*, g.spot.lat AS lat, g.spot.lon AS lon, o.* EXCLUDE (station_key)
         FROM (
-          SELECT station_key, min(name_key) AS name_key, min(anchor_lat) AS anchor_lat,
+          SELECT station_key, min({'key_name' if merged else 'name_key'}) AS name_key, min(anchor_lat) AS anchor_lat,
             min(anchor_lon) AS anchor_lon,
             arg_min(struct_pack(first_at := first_at, first_trip_id := first_trip_id, role := role,
               archive := archive, member := member), {first}) AS first,
@@ -167,6 +168,7 @@ def entities_sql(clustered: str) -> str:
             bool_or(coarse_coordinate_count > 0) AS has_coarse,
             bool_or(starts_with(coordinate_source, 'current_feed_')) AS from_feed,
             bool_or(name_recovered) AS has_recovered, bool_or(many_locations) AS several
+            {', bool_or(merged) AS was_merged' if merged else ''}
           FROM {clustered} GROUP BY station_key) g
         LEFT JOIN (
           SELECT e.station_key, min(c.reported_online_at) AS reported_online_at,
@@ -201,32 +203,47 @@ PARTS["city_rows"] = f"SELECT * FROM {adapters.sql(adapters.CITY, 'supplier')}"
 PARTS["information_rows"] = f"SELECT * FROM {adapters.sql(adapters.INFORMATION, 'part')}"
 PARTS["status_rows"] = f"SELECT * FROM {adapters.sql(adapters.STATUS, 'part')}"
 PARTS["edges"] = edges_values()
-PARTS["ends"] = f"""
-  SELECT *, {box("lat", "lon")} AS in_region,
-    coalesce(abs(lat - round(lat, 2)) < 1e-9 AND abs(lon - round(lon, 2)) < 1e-9, false) AS coarse
-  FROM (
-    SELECT archive, member, schema, trip_id, started_at AS event_at, start_station_id AS station_id,
-      start_station_name AS station_name, start_lat AS lat, start_lon AS lon, 'start' AS role,
-      coalesce(ended_at >= started_at, false) AS valid_trip FROM trips
-    UNION ALL
-    SELECT archive, member, schema, trip_id, ended_at, end_station_id, end_station_name, end_lat,
-      end_lon, 'end', coalesce(ended_at >= started_at, false) FROM trips)"""
-_FINE = "FILTER (WHERE in_region AND NOT coarse AND valid_trip)"
-_COARSE = "FILTER (WHERE in_region AND coarse AND valid_trip)"
-PARTS["obs"] = f"""
-  SELECT *, {norm("station_name")} AS name_key FROM (
-  SELECT archive, member, schema, station_id, station_name, role,
-    count(*) AS endpoint_count, count(*) FILTER (WHERE valid_trip) AS valid_endpoint_count,
-    min(event_at) FILTER (WHERE valid_trip) AS first_at,
-    max(event_at) FILTER (WHERE valid_trip) AS last_at,
-    arg_min(trip_id, struct_pack(t := event_at, id := trip_id))
-      FILTER (WHERE valid_trip AND trip_id IS NOT NULL) AS first_trip_id,
-    count(*) {_FINE} AS coordinate_count, count(*) {_COARSE} AS coarse_coordinate_count,
-    median(lat) {_COARSE} AS coarse_lat, median(lon) {_COARSE} AS coarse_lon,
-    median(lat) {_FINE} AS lat, median(lon) {_FINE} AS lon,
-    quantile_cont(lat, 0.05) {_FINE} AS lat_p05, quantile_cont(lat, 0.95) {_FINE} AS lat_p95,
-    quantile_cont(lon, 0.05) {_FINE} AS lon_p05, quantile_cont(lon, 0.95) {_FINE} AS lon_p95
-  FROM ends GROUP BY archive, member, schema, station_id, station_name, role)"""
+
+
+def _ends_sql() -> str:
+    """One branch per trip end: the columns of that end under names without it."""
+    common = ["archive", "member", "schema", "trip_id", "NOT (started_at > ended_at) AS ordered"]
+    branches = []
+    for role, at in (("start", "started_at"), ("end", "ended_at")):
+        own = [f"{role}_{name} AS {name}" for name in ("station_id", "station_name", "lat", "lon")]
+        branches.append(f"SELECT {', '.join([*common, *own])}, {at} AS event_at, '{role}' AS role FROM trips")
+    grid = " AND ".join(f"abs({axis} * 100 - round({axis} * 100)) < 1e-7" for axis in ("lat", "lon"))
+    return f"""SELECT * EXCLUDE (ordered), coalesce(ordered, false) AS valid_trip, {box("lat", "lon")} AS in_region,
+      coalesce({grid}, false) AS coarse FROM ({' UNION ALL '.join(branches)})"""
+
+
+def _obs_sql() -> str:
+    """Counts by place from per-end columns; quantiles by the ranks of sorted lists."""
+    by = "archive, member, schema, station_id, station_name, role"
+    lists = [f"list_sort(list({axis}) FILTER (WHERE kind = '{kind}')) AS {kind}_{axis}s" for kind in ("fine", "coarse") for axis in ("lat", "lon")]
+
+    def quantile(values: str, p: float) -> str:
+        place = f"({p} * (len({values}) - 1))"
+        low, high = (f"{values}[1 + {side}({place})::BIGINT]" for side in ("floor", "ceil"))
+        return f"{low} + ({high} - {low}) * ({place} - floor({place}))"
+
+    spots = [f"{quantile(f'coarse_{axis}s', 0.5)} AS coarse_{axis}" for axis in ("lat", "lon")]
+    for axis in ("lat", "lon"):
+        spots += [f"{quantile(f'fine_{axis}s', p)} AS {axis}{name}" for name, p in (("", 0.5), ("_p05", 0.05), ("_p95", 0.95))]
+    return f"""
+      SELECT * EXCLUDE (fine_lats, fine_lons, coarse_lats, coarse_lons, firsts), {norm("station_name")} AS name_key,
+        firsts.id AS first_trip_id, coalesce(len(fine_lats), 0)::BIGINT AS coordinate_count,
+        coalesce(len(coarse_lats), 0)::BIGINT AS coarse_coordinate_count, {", ".join(spots)}
+      FROM (SELECT {by}, count(*) AS endpoint_count, count(used_at) AS valid_endpoint_count, min(used_at) AS first_at,
+          max(used_at) AS last_at, min(CASE WHEN trip_id IS NOT NULL AND used_at IS NOT NULL
+            THEN {{'at': used_at, 'id': trip_id}} END) AS firsts, {", ".join(lists)}
+        FROM (SELECT *, CASE WHEN valid_trip THEN event_at END AS used_at,
+            CASE WHEN NOT (valid_trip AND in_region) THEN 'none' WHEN coarse THEN 'coarse' ELSE 'fine' END AS kind FROM ends)
+        GROUP BY ALL)"""
+
+
+PARTS["ends"] = _ends_sql()
+PARTS["obs"] = _obs_sql()
 PARTS["single_names"] = f"""
   SELECT archive, station_id, min(name_key) AS only_key, min(station_name) AS only_name FROM obs
   WHERE station_id IS NOT NULL AND name_key <> '' AND NOT {placeholder("name_key")}
@@ -388,7 +405,7 @@ PARTS["sizes"] = """
   SELECT s.name_key, coalesce(max(len(a.anchors)), 0) AS anchors,
     coalesce(max(len(a.anchors)), 0) + max(CASE WHEN s.home IS NULL THEN 1 ELSE 0 END) AS clusters
   FROM settled s LEFT JOIN anchored a ON s.name_key = a.name_key GROUP BY s.name_key"""
-PARTS["clustered"] = f"""
+PARTS["clusters"] = f"""
   SELECT *, {entity_key("name_key", "anchor_lat", "anchor_lon")} AS station_key FROM (
     SELECT s.* EXCLUDE (home), coalesce(s.home, z.anchors)::BIGINT AS cluster_no,
       a.anchors[s.home + 1].lat AS anchor_lat, a.anchors[s.home + 1].lon AS anchor_lon,
@@ -399,7 +416,74 @@ PARTS["by_name"] = f"""
   SELECT *, NULL::DOUBLE AS anchor_lat, NULL::DOUBLE AS anchor_lon, 0::BIGINT AS cluster_no,
     false AS ambiguous, false AS many_locations,
     {entity_key("name_key", "NULL", "NULL")} AS station_key FROM kept"""
-PARTS["entities"] = entities_sql("clustered")
+PARTS["singles"] = entities_sql("clusters")
+PARTS["alias_pairs"] = f"""
+  SELECT * FROM (
+    SELECT a.station_key AS station_key_a, b.station_key AS station_key_b,
+      list_sort(list_intersect(a.ids, b.ids))[1] AS source_id,
+      {hav("a.station_lat", "a.station_lon", "b.station_lat", "b.station_lon")} AS metres
+    FROM singles a JOIN singles b ON a.station_type = b.station_type
+    JOIN (SELECT station_key, min(struct_pack(n := name_key, c := cluster_no)) AS idx FROM clusters
+      GROUP BY 1) i ON i.station_key = a.station_key
+    JOIN (SELECT station_key, min(struct_pack(n := name_key, c := cluster_no)) AS idx FROM clusters
+      GROUP BY 1) j ON j.station_key = b.station_key
+    WHERE i.idx < j.idx AND list_has_any(a.ids, b.ids)) WHERE metres <= 35"""
+PARTS["spot_order"] = """
+  SELECT e.*, idx FROM singles e JOIN (
+    SELECT station_key, min(struct_pack(n := name_key, c := cluster_no)) AS idx FROM clusters GROUP BY 1) i
+  ON e.station_key = i.station_key"""
+# Edges one after another: an edge joins two groups if every pair across them is near.
+PARTS["merge_steps"] = """
+  SELECT row_number() OVER (ORDER BY p.source_id, a.idx, b.idx) AS nth, p.source_id,
+    p.station_key_a AS one, p.station_key_b AS two
+  FROM alias_pairs p JOIN spot_order a ON a.station_key = p.station_key_a
+  JOIN spot_order b ON b.station_key = p.station_key_b"""
+PARTS["close_by"] = f"""
+  SELECT list(struct_pack(one := a.station_key, two := b.station_key)) AS held
+  FROM spot_order a JOIN spot_order b ON a.station_type = b.station_type AND a.idx < b.idx
+  WHERE {hav("a.station_lat", "a.station_lon", "b.station_lat", "b.station_lon")} <= 35"""
+PARTS["merge_walk"] = """
+  SELECT 0::BIGINT AS nth, (SELECT map_from_entries(list(DISTINCT struct_pack(k := key, v := key)))
+    FROM (SELECT unnest([one, two]) AS key FROM merge_steps)) AS group_of, []::BIGINT[] AS taken
+  UNION ALL
+  SELECT nth, CASE WHEN fits THEN map_from_entries(list_transform(map_entries(group_of),
+      lambda x: struct_pack(k := x.key, v := CASE WHEN x.value = b THEN a ELSE x.value END))) ELSE group_of END,
+    CASE WHEN fits THEN list_append(taken, nth) ELSE taken END
+  FROM (SELECT *, a <> b AND len(list_filter(held, lambda p: (group_of[p.one] = a AND group_of[p.two] = b)
+        OR (group_of[p.one] = b AND group_of[p.two] = a)))
+      = len(list_filter(map_values(group_of), lambda v: v = a)) * len(list_filter(map_values(group_of), lambda v: v = b))
+      AS fits
+    FROM (SELECT s.nth, w.group_of, w.taken, held, group_of[s.one] AS a, group_of[s.two] AS b
+      FROM merge_walk w JOIN merge_steps s ON s.nth = w.nth + 1 CROSS JOIN close_by))"""
+PARTS["merge_end"] = "SELECT * FROM merge_walk ORDER BY nth DESC LIMIT 1"
+PARTS["merge_groups"] = """
+  SELECT entry.key AS station_key, entry.value AS joint
+  FROM (SELECT unnest(map_entries(group_of)) AS entry FROM merge_end)"""
+PARTS["merge_heads"] = """
+  SELECT joint, arg_min(g.station_key, struct_pack(t := station_first_trip_at, k := g.station_key)) AS merged_station_key
+  FROM merge_groups g JOIN singles e ON e.station_key = g.station_key GROUP BY joint HAVING count(*) > 1"""
+PARTS["merges"] = """
+  SELECT s.source_id, s.one AS station_key_a, a.station_name AS station_name_a, s.two AS station_key_b,
+    b.station_name AS station_name_b, h.merged_station_key, 'shared_source_id_and_within_35m' AS reason
+  FROM merge_steps s JOIN merge_end w ON list_contains(w.taken, s.nth)
+  JOIN singles a ON a.station_key = s.one JOIN singles b ON b.station_key = s.two
+  JOIN merge_groups g ON g.station_key = s.one JOIN merge_heads h ON h.joint = g.joint"""
+PARTS["reach"] = """
+  SELECT station_key_a AS node, station_key_a AS other FROM alias_pairs
+  UNION SELECT station_key_b, station_key_b FROM alias_pairs
+  UNION
+  SELECT r.node, CASE WHEN p.station_key_a = r.other THEN p.station_key_b ELSE p.station_key_a END
+  FROM reach r JOIN alias_pairs p ON r.other IN (p.station_key_a, p.station_key_b)"""
+# What a merge changes: the rows of a joint group take key, name and anchor of its head.
+PARTS["clustered"] = """
+  SELECT c.* REPLACE (coalesce(h.station_key, c.station_key) AS station_key,
+      CASE WHEN h.station_key IS NULL THEN c.anchor_lat ELSE h.anchor_lat END AS anchor_lat,
+      CASE WHEN h.station_key IS NULL THEN c.anchor_lon ELSE h.anchor_lon END AS anchor_lon,
+      c.ambiguous AND h.station_key IS NULL AS ambiguous, c.many_locations AND h.station_key IS NULL AS many_locations),
+    h.station_key IS NOT NULL AS merged, coalesce(h.name_key, c.name_key) AS key_name
+  FROM clusters c LEFT JOIN merge_groups g ON g.station_key = c.station_key
+  LEFT JOIN merge_heads m ON m.joint = g.joint LEFT JOIN singles h ON h.station_key = m.merged_station_key"""
+PARTS["entities"] = entities_sql("clustered", merged=True)
 PARTS["old_entities"] = entities_sql("by_name")
 PARTS["review"] = f"""
   SELECT source_id, station_key_a, station_name_a, first_trip_at_a, station_key_b, station_name_b,
@@ -526,63 +610,6 @@ PARTS["reconciled"] = f"""
   LEFT JOIN earlier w ON e.station_key = w.station_key"""
 PARTS["public_rows"] = """
   SELECT * FROM reconciled WHERE coalesce(in_city, false) AND station_type <> 'operational'"""
-PARTS["alias_pairs"] = f"""
-  SELECT * FROM (
-    SELECT a.station_key AS station_key_a, b.station_key AS station_key_b,
-      list_sort(list_intersect(a.ids, b.ids))[1] AS source_id,
-      {hav("a.station_lat", "a.station_lon", "b.station_lat", "b.station_lon")} AS metres
-    FROM entities a JOIN entities b ON a.station_type = b.station_type
-    JOIN (SELECT station_key, min(struct_pack(n := name_key, c := cluster_no)) AS idx FROM clustered
-      GROUP BY 1) i ON i.station_key = a.station_key
-    JOIN (SELECT station_key, min(struct_pack(n := name_key, c := cluster_no)) AS idx FROM clustered
-      GROUP BY 1) j ON j.station_key = b.station_key
-    WHERE i.idx < j.idx AND list_has_any(a.ids, b.ids)) WHERE metres <= 35"""
-PARTS["spot_order"] = """
-  SELECT e.*, idx FROM entities e JOIN (
-    SELECT station_key, min(struct_pack(n := name_key, c := cluster_no)) AS idx FROM clustered GROUP BY 1) i
-  ON e.station_key = i.station_key"""
-# Edges one after another: an edge joins two groups if every pair across them is near.
-PARTS["merge_steps"] = """
-  SELECT row_number() OVER (ORDER BY p.source_id, a.idx, b.idx) AS nth, p.source_id,
-    p.station_key_a AS one, p.station_key_b AS two
-  FROM alias_pairs p JOIN spot_order a ON a.station_key = p.station_key_a
-  JOIN spot_order b ON b.station_key = p.station_key_b"""
-PARTS["close_by"] = f"""
-  SELECT list(struct_pack(one := a.station_key, two := b.station_key)) AS held
-  FROM spot_order a JOIN spot_order b ON a.station_type = b.station_type AND a.idx < b.idx
-  WHERE {hav("a.station_lat", "a.station_lon", "b.station_lat", "b.station_lon")} <= 35"""
-PARTS["merge_walk"] = """
-  SELECT 0::BIGINT AS nth, (SELECT map_from_entries(list(DISTINCT struct_pack(k := key, v := key)))
-    FROM (SELECT unnest([one, two]) AS key FROM merge_steps)) AS group_of, []::BIGINT[] AS taken
-  UNION ALL
-  SELECT nth, CASE WHEN fits THEN map_from_entries(list_transform(map_entries(group_of),
-      lambda x: struct_pack(k := x.key, v := CASE WHEN x.value = b THEN a ELSE x.value END))) ELSE group_of END,
-    CASE WHEN fits THEN list_append(taken, nth) ELSE taken END
-  FROM (SELECT *, a <> b AND len(list_filter(held, lambda p: (group_of[p.one] = a AND group_of[p.two] = b)
-        OR (group_of[p.one] = b AND group_of[p.two] = a)))
-      = len(list_filter(map_values(group_of), lambda v: v = a)) * len(list_filter(map_values(group_of), lambda v: v = b))
-      AS fits
-    FROM (SELECT s.nth, w.group_of, w.taken, held, group_of[s.one] AS a, group_of[s.two] AS b
-      FROM merge_walk w JOIN merge_steps s ON s.nth = w.nth + 1 CROSS JOIN close_by))"""
-PARTS["merge_end"] = "SELECT * FROM merge_walk ORDER BY nth DESC LIMIT 1"
-PARTS["merge_groups"] = """
-  SELECT entry.key AS station_key, entry.value AS joint
-  FROM (SELECT unnest(map_entries(group_of)) AS entry FROM merge_end)"""
-PARTS["merge_heads"] = """
-  SELECT joint, arg_min(g.station_key, struct_pack(t := station_first_trip_at, k := g.station_key)) AS merged_station_key
-  FROM merge_groups g JOIN entities e ON e.station_key = g.station_key GROUP BY joint HAVING count(*) > 1"""
-PARTS["merges"] = """
-  SELECT s.source_id, s.one AS station_key_a, a.station_name AS station_name_a, s.two AS station_key_b,
-    b.station_name AS station_name_b, h.merged_station_key, 'shared_source_id_and_within_35m' AS reason
-  FROM merge_steps s JOIN merge_end w ON list_contains(w.taken, s.nth)
-  JOIN entities a ON a.station_key = s.one JOIN entities b ON b.station_key = s.two
-  JOIN merge_groups g ON g.station_key = s.one JOIN merge_heads h ON h.joint = g.joint"""
-PARTS["reach"] = """
-  SELECT station_key_a AS node, station_key_a AS other FROM alias_pairs
-  UNION SELECT station_key_b, station_key_b FROM alias_pairs
-  UNION
-  SELECT r.node, CASE WHEN p.station_key_a = r.other THEN p.station_key_b ELSE p.station_key_a END
-  FROM reach r JOIN alias_pairs p ON r.other IN (p.station_key_a, p.station_key_b)"""
 PARTS["links"] = """
   SELECT o.station_key AS old_station_key, n.station_key AS new_station_key,
     o.valid_endpoint_count AS old_valid, n.valid_endpoint_count AS new_valid
@@ -596,7 +623,7 @@ PARTS["risks"] = """
     AND a.station_first_trip_at < s.station_first_trip_at GROUP BY ALL"""
 
 _HEAVY = {
-    "trips", "obs", "located", "spotted", "loose", "clustered", "entities", "old_entities",
+    "trips", "obs", "located", "spotted", "loose", "clusters", "singles", "clustered", "entities", "old_entities",
     "feeds", "candidates", "resolved", "reconciled", "review", "catalog", "alias_pairs",
     "merge_steps", "close_by", "merge_end",
 }

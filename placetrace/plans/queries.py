@@ -6,9 +6,7 @@ arrays are joined to text, so that both engines give comparable rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placetrace.functions import geo, rules, text, times
@@ -28,26 +26,11 @@ from placetrace.operators import (
 )
 from placetrace.operators.cluster import entity_key
 from placetrace.plans import oracle_parts as o
+from placetrace.plans import reports
+from placetrace.plans.registry import ORACLE, QUERIES, register, rounded
 from placetrace.plans.stages import Stages
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def add(build: Callable[[Stages], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: build(Stages(spark, sf_dir))
-        if sql is not None:
-            ORACLE[name] = o.query(sql)
-        return build
-
-    return add
-
-
-def rounded(df: DataFrame, **places: int) -> DataFrame:
-    return df.withColumns({name: F.round(name, n) for name, n in places.items()})
-
+__all__ = ["ORACLE", "QUERIES"]
 
 OBS_KEYS = "archive, member, role, station_id, original_station_name"
 
@@ -229,7 +212,7 @@ _PROFILE = _profile_sql()
 
 @register("trip_profile", f"SELECT {_PROFILE} FROM trips GROUP BY archive, member")
 def _(s: Stages) -> DataFrame:
-    return profile.profile_trips(s.trips())
+    return s.profiles()
 
 
 @register(
@@ -239,7 +222,7 @@ def _(s: Stages) -> DataFrame:
     + f" FROM (SELECT {_PROFILE} FROM trips GROUP BY archive, member)",
 )
 def _(s: Stages) -> DataFrame:
-    return profile.profile_totals(profile.profile_trips(s.trips()))
+    return profile.profile_totals(s.profiles())
 
 
 @register(
@@ -288,7 +271,7 @@ _SPOTS = ("coarse_lat", "coarse_lon", "lat", "lon", "lat_p05", "lat_p95", "lon_p
     f"SELECT * REPLACE ({', '.join(f'round({c}, 8) AS {c}' for c in _SPOTS)}) FROM obs",
 )
 def _(s: Stages) -> DataFrame:
-    return rounded(observe.observe(s.trips()), **{c: 8 for c in _SPOTS})
+    return rounded(s.observations(), **{c: 8 for c in _SPOTS})
 
 
 # --- identity of observations ----------------------------------------------
@@ -439,11 +422,11 @@ def _(s: Stages) -> DataFrame:
 @register(
     "cluster_by_name",
     f"""SELECT {OBS_KEYS}, cluster_no, round(anchor_lat, 8) AS anchor_lat, round(anchor_lon, 8) AS anchor_lon,
-      ambiguous, many_locations, coordinate_inferred, station_key FROM clustered""",
+      ambiguous, many_locations, coordinate_inferred, station_key FROM clusters""",
 )
 def _(s: Stages) -> DataFrame:
     columns = ["cluster_no", "anchor_lat", "anchor_lon", "ambiguous", "many_locations"]
-    df = s.clustered().select(*audit.GRAIN, *columns, "coordinate_inferred", "station_key")
+    df = s.clusters().select(*audit.GRAIN, *columns, "coordinate_inferred", "station_key")
     return rounded(df, anchor_lat=8, anchor_lon=8)
 
 
@@ -457,10 +440,10 @@ _ENTITY = (
 )
 
 
-@register("entity_summary", f"SELECT {_ENTITY} FROM entities")
+@register("entity_summary", f"SELECT {_ENTITY} FROM singles")
 def _(s: Stages) -> DataFrame:
     return rounded(
-        s.entities().drop("name_key", "anchor_lat", "anchor_lon"), station_lon=8, station_lat=8
+        s.singles().drop("name_key", "anchor_lat", "anchor_lon"), station_lon=8, station_lat=8
     )
 
 
@@ -578,7 +561,7 @@ def _(s: Stages) -> DataFrame:
     """SELECT station_key_a, station_key_b, source_id, round(metres, 4) AS distance_meters FROM alias_pairs""",
 )
 def _(s: Stages) -> DataFrame:
-    return aliases.alias_edges(s.entities(), s.clustered()).select(
+    return aliases.alias_edges(s.singles(), s.clusters()).select(
         F.col("a_station_key").alias("station_key_a"),
         F.col("b_station_key").alias("station_key_b"),
         "source_id",
@@ -588,7 +571,7 @@ def _(s: Stages) -> DataFrame:
 
 @register("alias_components", "SELECT node, min(other) AS component FROM reach GROUP BY node")
 def _(s: Stages) -> DataFrame:
-    edges = aliases.alias_edges(s.entities(), s.clustered())
+    edges = aliases.alias_edges(s.singles(), s.clusters())
     return aliases.connected_components(
         edges.select(F.col("a_station_key").alias("a"), F.col("b_station_key").alias("b"))
     )
@@ -604,9 +587,11 @@ def _(s: Stages) -> DataFrame:
     return s.merges()
 
 
-@register("merged_entities")
+@register("merged_entities", f"SELECT {_ENTITY} FROM entities")
 def _(s: Stages) -> DataFrame:
-    return s.merged_entities()
+    return rounded(
+        s.entities().drop("name_key", "anchor_lat", "anchor_lon"), station_lon=8, station_lat=8
+    )
 
 
 # --- feeds ------------------------------------------------------------------
@@ -815,9 +800,7 @@ def _(s: Stages) -> DataFrame:
 # --- builds compared --------------------------------------------------------
 
 
-@register(
-    "lineage_compare",
-    """SELECT p.station_key AS old_station_key, p.station_name AS old_station_name,
+_TRACED = """SELECT p.station_key AS old_station_key, p.station_name AS old_station_name,
       p.station_type AS old_station_type, p.station_first_trip_at AS old_first_trip_at,
       round(p.station_lat, 8) AS old_lat, round(p.station_lon, 8) AS old_lon,
       n.station_key AS new_station_key, n.station_name AS new_station_name,
@@ -830,33 +813,35 @@ def _(s: Stages) -> DataFrame:
         WHEN p.station_key = n.station_key THEN 'same_key' ELSE 'reassigned_or_rekeyed' END AS disposition
     FROM old_entities p JOIN (SELECT old_station_key, new_station_key, sum(old_valid)::BIGINT AS shared
       FROM links GROUP BY 1, 2) k ON p.station_key = k.old_station_key
-    JOIN entities n ON n.station_key = k.new_station_key""",
-)
+    JOIN entities n ON n.station_key = k.new_station_key"""
+
+
+@register("lineage_compare", _TRACED)
 def _(s: Stages) -> DataFrame:
     traced = audit.lineage(s.old_entities(), s.entities(), s.by_name(), s.clustered())
     return rounded(traced, old_lat=8, old_lon=8, new_lat=8, new_lon=8)
 
 
-@register(
-    "lineage_accounting",
-    """SELECT * FROM (SELECT count(*) AS old_observation_rows, sum(valid_endpoint_count)::BIGINT AS old_endpoints
+_ACCOUNTED = """SELECT * FROM (SELECT count(*) AS old_observation_rows, sum(valid_endpoint_count)::BIGINT AS old_endpoints
       FROM by_name), (SELECT count(*) AS joined_rows, sum(old_valid)::BIGINT AS joined_endpoints,
-      count(*) FILTER (WHERE old_valid <> new_valid) AS changed_counts FROM links)""",
-)
+      count(*) FILTER (WHERE old_valid <> new_valid) AS changed_counts FROM links)"""
+
+
+@register("lineage_accounting", _ACCOUNTED)
 def _(s: Stages) -> DataFrame:
     return audit.accounting(s.by_name(), s.clustered())
 
 
-@register(
-    "audit_checks",
-    """SELECT 'every_old_observation_joined_once' AS check_name,
+_AUDITED = """SELECT 'every_old_observation_joined_once' AS check_name,
       abs((SELECT count(*) FROM by_name) - (SELECT count(*) FROM links)) AS violations
     UNION ALL SELECT 'every_old_valid_endpoint_preserved',
       abs((SELECT sum(valid_endpoint_count) FROM by_name) - (SELECT sum(old_valid) FROM links))::BIGINT
     UNION ALL SELECT 'no_observation_endpoint_counts_changed', count(*) FROM links WHERE old_valid <> new_valid
     UNION ALL SELECT 'every_old_entity_traced', count(*) FROM old_entities
-      WHERE station_key NOT IN (SELECT old_station_key FROM links)""",
-)
+      WHERE station_key NOT IN (SELECT old_station_key FROM links)"""
+
+
+@register("audit_checks", _AUDITED)
 def _(s: Stages) -> DataFrame:
     old, new = s.by_name(), s.clustered()
     traced = audit.lineage(s.old_entities(), s.entities(), old, new)
@@ -891,26 +876,26 @@ def _(s: Stages) -> DataFrame:
     return audit.service_date_review(s.public(), audit.date_risks(s.public(), s.reconciled()))
 
 
-@register(
-    "coarse_accounting",
-    """SELECT sum(coarse_coordinate_count)::BIGINT AS coarse_named_endpoints,
-      count(*) FILTER (WHERE coarse_coordinate_count > 0) AS affected_observation_groups FROM clustered""",
-)
+_COARSE = """SELECT sum(coarse_coordinate_count)::BIGINT AS coarse_named_endpoints,
+      count(*) FILTER (WHERE coarse_coordinate_count > 0) AS affected_observation_groups FROM clustered"""
+
+
+@register("coarse_accounting", _COARSE)
 def _(s: Stages) -> DataFrame:
     return audit.coarse_accounting(s.clustered())
 
 
-@register(
-    "cutoff_crossing",
-    """SELECT * FROM (
+_CROSSED = """SELECT * FROM (
       SELECT count(earlier_same_name_trip_at) AS earlier_same_name_history_rows,
         count(*) FILTER (WHERE year(station_first_trip_at) >= 1993 AND year(earlier_same_name_trip_at) < 1993)
           AS earlier_same_name_history_crosses,
         count(*) FILTER (WHERE service_date_review_reasons <> '') AS service_date_review_rows FROM public_rows),
       (SELECT count(*) AS earlier_unlocated_same_name_count,
         count(*) FILTER (WHERE year(station_first_trip_at) >= 1993 AND year(earlier_unlocated_same_name) < 1993)
-          AS earlier_unlocated_same_name_crosses FROM risks)""",
-)
+          AS earlier_unlocated_same_name_crosses FROM risks)"""
+
+
+@register("cutoff_crossing", _CROSSED)
 def _(s: Stages) -> DataFrame:
     public = s.public()
     return audit.cutoff_crossing(public, 1993, audit.date_risks(public, s.reconciled()))
@@ -977,21 +962,22 @@ def _(s: Stages) -> DataFrame:
 
 @register(
     "spot_check",
-    f"""SELECT s.*, (SELECT count(*) FROM ends e WHERE e.archive = s.first_trip_archive
-        AND e.member = s.first_trip_member AND e.trip_id = s.first_trip_id
-        AND e.role = s.first_trip_role) AS rows_found,
-      (SELECT count(*) FROM ends e WHERE e.archive = s.first_trip_archive
-        AND e.member = s.first_trip_member AND e.trip_id = s.first_trip_id
-        AND e.role = s.first_trip_role AND e.event_at = s.station_first_trip_at) > 0 AS verified
-    FROM ({_SAMPLES}) s""",
+    f"""SELECT s.*, round(p.station_lat, 8) AS station_lat, round(p.station_lon, 8) AS station_lon,
+      coalesce(e.rows_found, 0) AS rows_found, coalesce(e.here.k, false) AS verified, e.here.i AS source_station_id,
+      e.here.n AS source_station_name, round(e.here.y, 8) AS source_lat, round(e.here.x, 8) AS source_lon
+    FROM ({_SAMPLES}) s JOIN public_rows p ON p.station_key = s.station_key LEFT JOIN (
+      SELECT q.station_key, count(*) AS rows_found, min(CASE WHEN event_at = q.station_first_trip_at THEN
+        struct_pack(k := true, i := e.station_id, n := e.station_name, y := lat, x := lon) END) AS here
+      FROM public_rows q JOIN ends e ON e.archive = q.first_trip_archive AND e.member = q.first_trip_member
+        AND e.trip_id = q.first_trip_id AND e.role = q.first_trip_role GROUP BY q.station_key) e
+    ON e.station_key = s.station_key""",
 )
 def _(s: Stages) -> DataFrame:
-    return checks.spot_check(samples(s), s.trips())
+    places = {name: 8 for name in ("station_lat", "station_lon", "source_lat", "source_lon")}
+    return rounded(checks.spot_check(samples(s), s.trips()), **places)
 
 
-@register(
-    "validation_checks",
-    """SELECT 'all_trip_rows_accounted_for' AS check_name,
+_VALIDATION = f"""SELECT 'all_trip_rows_accounted_for' AS check_name,
       abs(2 * (SELECT count(*) FROM trips) - (SELECT sum(endpoint_count) FROM located))::BIGINT AS violations
     UNION ALL SELECT 'station_keys_unique', count(*) - count(DISTINCT station_key) FROM reconciled
     UNION ALL SELECT 'coordinates_and_dates_present_in_public_output', count(*) FROM public_rows
@@ -1023,11 +1009,15 @@ def _(s: Stages) -> DataFrame:
       WHERE opening_date_status <> 'unverified_first_trip_proxy'
     UNION ALL SELECT 'inventory_preserves_city_rows', (SELECT count(*) FROM city_rows)
       - (SELECT count(*) FROM city_rows c LEFT JOIN public_rows r ON c.id = r.city_station_id)
+    UNION ALL SELECT 'inventory_preserves_city_cells', count(*) FROM ({_INVENTORY}) i JOIN city_rows c ON c.id = i.id
+      WHERE (i.station_name, i.short_name, i.total_docks, i.docks_in_service, i.status)
+        IS DISTINCT FROM (c.station_name, c.short_name, c.total_docks, c.docks_in_service, c.status)
     UNION ALL SELECT 'inventory_joins_published_reference_exactly', count(*) FROM (
       SELECT city_station_id FROM public_rows WHERE city_station_id IS NOT NULL
-      GROUP BY 1 HAVING count(*) > 1)""",
-)
-def _(s: Stages) -> DataFrame:
+      GROUP BY 1 HAVING count(*) > 1)"""
+
+
+def validation(s: Stages) -> DataFrame:
     plain, feeds, candidates, public = s.reconciled(), s.feeds(), s.candidates(), s.public()
     covered = matching.coverage(feeds, candidates, plain)
     joined = matching.enrich_inventory(s.city(), public)
@@ -1040,6 +1030,12 @@ def _(s: Stages) -> DataFrame:
     )
 
 
+@register("validation_checks", _VALIDATION)
+def _(s: Stages) -> DataFrame:
+    return validation(s)
+
+
+
 # Published figures: how many rows meet a condition, and other aggregates.
 _PUBLIC_COUNTS = {
     "public_rows": "true",
@@ -1091,3 +1087,120 @@ def _(s: Stages) -> DataFrame:
     return s.reconciled().filter("station_lat IS NULL").select(
         "station_key", "station_name", "source_ids", "station_first_trip_at"
     )
+
+
+# --- reports ----------------------------------------------------------------
+
+
+def _figures(section: str, sql: str, columns: list[str], times: tuple[str, ...] = ()) -> str:
+    """SQL: a row (section, measure, value) for each column of a table of one row."""
+    cells = [f"strftime({c}, '%Y-%m-%d %H:%M:%S')" if c in times else f"{c}::VARCHAR" for c in columns]
+    names = ", ".join(f"'{c}'" for c in columns)
+    return f"SELECT '{section}' AS section, unnest([{names}]) AS measure, unnest([{', '.join(cells)}]) AS value FROM ({sql})"
+
+
+def _listed(section: str, sql: str, measure: str, value: str) -> str:
+    return f"SELECT '{section}' AS section, {measure} AS measure, {value}::VARCHAR AS value FROM ({sql})"
+
+
+def _counted(section: str, source: str, column: str) -> str:
+    return _listed(section, f"SELECT {column} AS m, count(*) AS n FROM {source} GROUP BY 1", "m", "n")
+
+
+_TOTALS = ", ".join(f"sum({m})::BIGINT AS {m}" for m in profile.ADDITIVE)
+_METRICS = [*_PUBLIC_COUNTS, *_PUBLIC_OTHERS]
+
+
+@register(
+    "validation_report",
+    " UNION ALL ".join(
+        [
+            _listed("checks", _VALIDATION, "check_name", "violations"),
+            _figures("metrics", f"SELECT {', '.join(_PUBLIC)} FROM public_rows", _METRICS, tuple(_METRICS[-2:])),
+            _figures(
+                "trip_totals",
+                f"SELECT {_TOTALS} FROM (SELECT {_PROFILE} FROM trips GROUP BY archive, member)",
+                list(profile.ADDITIVE),
+            ),
+            _listed(
+                "rows_by_month",
+                "SELECT strftime(started_at, '%Y-%m') AS m, count(*) AS n FROM trips GROUP BY 1",
+                "m",
+                "n",
+            ),
+        ]
+    ),
+)
+def _(s: Stages) -> DataFrame:
+    return reports.validation_report(validation(s), s.public(), s.profiles(), profile.rows_by_month(s.trips()))
+
+
+_COVERED = """SELECT source, count(*) AS rows, count(*) FILTER (WHERE in_city) AS inside_city,
+  count(station_key) AS matched, count(station_key) FILTER (WHERE in_city) AS inside_city_matched FROM covered GROUP BY source"""
+
+
+@register(
+    "reconciliation_report",
+    " UNION ALL ".join(
+        [
+            *[_listed(f"feed_coverage_{n}", _COVERED, "source", n) for n in ("rows", "inside_city", "matched", "inside_city_matched")],
+            _counted("city_status", "(SELECT * FROM covered WHERE source = 'city')", "status"),
+            _counted("operator_type", "(SELECT * FROM covered WHERE source = 'gbfs')", "feed_station_type"),
+            _counted("match_status", "public_rows", "current_feed_match_status"),
+            _counted("station_type", "public_rows", "station_type"),
+            _figures(
+                "current_stations",
+                f"SELECT count(*) AS rows, count(*) FILTER (WHERE reference_matched) AS matched,"
+                f" count(*) FILTER (WHERE NOT reference_matched) AS unmatched FROM ({_INVENTORY})",
+                ["rows", "matched", "unmatched"],
+            ),
+            *[
+                _figures("populated_cells", f"SELECT count(*) FILTER (WHERE {c} IS NOT NULL AND {c}::VARCHAR <> '') AS {c} FROM ({_INVENTORY})", [c])
+                for c in _COUNTED
+            ],
+            _listed("checks", _VALIDATION, "check_name", "violations"),
+        ]
+    ),
+)
+def _(s: Stages) -> DataFrame:
+    covered = matching.coverage(s.feeds(), s.candidates(), s.entities())
+    return reports.reconciliation_report(s.public(), covered, inventory(s), validation(s))
+
+
+def _build_sql(source: str) -> str:
+    return f"""SELECT station_type, count(*) AS rows, count(*) FILTER (WHERE endpoint_count < 10) AS low_evidence_rows,
+      count(*) FILTER (WHERE abs(station_lat - round(station_lat, 2)) < 1e-9
+        AND abs(station_lon - round(station_lon, 2)) < 1e-9) AS coarse_grid_rows FROM {source} GROUP BY 1"""
+
+
+_CROSSING = [
+    "earlier_same_name_history_rows", "earlier_same_name_history_crosses", "service_date_review_rows",
+    "earlier_unlocated_same_name_count", "earlier_unlocated_same_name_crosses",
+]
+_ACCOUNTING = ["old_observation_rows", "old_endpoints", "joined_rows", "joined_endpoints", "changed_counts"]
+
+
+@register(
+    "comparison_report",
+    " UNION ALL ".join(
+        [
+            *[
+                _listed(f"{build}_{n}", _build_sql(source), "station_type", n)
+                for build, source in (("old", "old_entities"), ("new", "entities"))
+                for n in ("rows", "low_evidence_rows", "coarse_grid_rows")
+            ],
+            _counted("dispositions", f"({_TRACED})", "disposition"),
+            _figures("date_risks", _CROSSED, _CROSSING),
+            _figures("coarse", _COARSE, ["coarse_named_endpoints", "affected_observation_groups"]),
+            _figures("accounting", _ACCOUNTED, _ACCOUNTING),
+            _listed("checks", _AUDITED, "check_name", "violations"),
+        ]
+    ),
+)
+def _(s: Stages) -> DataFrame:
+    return reports.comparison_report(
+        s.old_entities(), s.by_name(), s.entities(), s.clustered(), s.public(), s.reconciled(), 1993
+    )
+
+
+import placetrace.plans.file_queries  # noqa: E402, F401  registers queries over written files

@@ -18,7 +18,8 @@ from placetrace.operators.cluster import cluster_by_name, entity_key
 from placetrace.operators.coordinates import enrich_coordinates, recover_feed_coordinates
 from placetrace.operators.entities import public_entities, summarize_entities
 from placetrace.operators.names import recover_names, with_exclusion
-from placetrace.operators.observe import observe
+from placetrace.operators.observe import census, observe_census
+from placetrace.operators.profile import profile_trips
 from placetrace.plans import adapters
 from placetrace.session import checkpoint
 
@@ -65,8 +66,14 @@ class Stages:
         return adapters.table(self.spark, self.sf_dir, name)
 
     # Stages.
+    def ends(self) -> DataFrame:
+        return self._once("ends", lambda: census(self.trips()))
+
     def observations(self) -> DataFrame:
-        return self._once("observations", lambda: observe(self.trips()))
+        return self._once("observations", lambda: observe_census(self.ends()))
+
+    def profiles(self) -> DataFrame:
+        return self._once("profiles", lambda: profile_trips(self.trips(), ends=self.ends()))
 
     def located(self) -> DataFrame:
         def build() -> DataFrame:
@@ -84,8 +91,9 @@ class Stages:
     def excluded(self) -> DataFrame:
         return self.located().filter("reason IS NOT NULL")
 
-    def clustered(self) -> DataFrame:
-        return self._once("clustered", lambda: cluster_by_name(self.kept()))
+    def clusters(self) -> DataFrame:
+        """Observations by place, before aliases are merged."""
+        return self._once("clusters", lambda: cluster_by_name(self.kept()))
 
     def by_name(self) -> DataFrame:
         """An older, simpler build: one entity per name."""
@@ -110,6 +118,25 @@ class Stages:
             extra_flags=list(present.values()),
         )
 
+    def singles(self) -> DataFrame:
+        """Entities before aliases are merged."""
+        return self._once("singles", lambda: self._summary(self.clusters()))
+
+    def _merge(self) -> tuple[DataFrame, DataFrame]:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if (*key, "clustered") not in _DONE:
+            rekeyed, merges = merge_aliases(self.clusters(), self.singles())
+            _DONE[(*key, "clustered")] = checkpoint(rekeyed)
+            _DONE[(*key, "merges")] = checkpoint(merges)
+        return _DONE[(*key, "clustered")], _DONE[(*key, "merges")]
+
+    # From here on as in the shipped build: everything starts from merged entities.
+    def clustered(self) -> DataFrame:
+        return self._merge()[0]
+
+    def merges(self) -> DataFrame:
+        return self._merge()[1]
+
     def entities(self) -> DataFrame:
         return self._once("entities", lambda: self._summary(self.clustered()))
 
@@ -122,23 +149,6 @@ class Stages:
     def flagged(self) -> DataFrame:
         return flag_renames(self.entities(), self.review())
 
-    def _merge(self) -> tuple[DataFrame, DataFrame]:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
-        if (*key, "merged") not in _DONE:
-            rekeyed, merges = merge_aliases(self.clustered(), self.entities())
-            _DONE[(*key, "merged")] = checkpoint(rekeyed)
-            _DONE[(*key, "merges")] = checkpoint(merges)
-        return _DONE[(*key, "merged")], _DONE[(*key, "merges")]
-
-    def merged(self) -> DataFrame:
-        return self._merge()[0]
-
-    def merges(self) -> DataFrame:
-        return self._merge()[1]
-
-    def merged_entities(self) -> DataFrame:
-        return self._once("merged_entities", lambda: self._summary(self.merged()))
-
     def feeds(self) -> DataFrame:
         return self._once(
             "feeds",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placetrace.operators.joins import require_none
-from placetrace.sources.integrity import relative_path
+from placetrace.sources.integrity import fingerprints
 
 INFORMATION = (
     "station_id string, name string, short_name string, lat double, lon double,"
@@ -46,12 +46,7 @@ def declared_columns(spark: SparkSession, path: str) -> list[dict]:
 
 def require_pinned(spark: SparkSession, root: str, manifest: DataFrame) -> None:
     """Raise unless every pinned file (path below ``root``, sha256) has exactly that content."""
-    found = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select(relative_path(root).alias("pinned_path"), F.sha2("content", 256).alias("found"))
-    )
+    found = fingerprints(spark, root).select(F.col("key").alias("pinned_path"), F.col("sha256").alias("found"))
     wrong = (
         manifest.select(F.col("path").alias("pinned_path"), "sha256")
         .join(found, "pinned_path", "left")

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import csv
-from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from placetrace.operators.members import is_data_table, is_readable_table
 from placetrace.operators.normalize import normalize_catalog, normalize_trips, table_kind
+from placetrace.sources.integrity import manifest
 
 
 @dataclass(frozen=True)
@@ -26,44 +24,13 @@ class TextTable:
         return table_kind(self.headers)
 
 
-def list_data_files(spark: SparkSession, root: str) -> list[str]:
-    """Paths of the data tables below ``root``, by the rule of the inventory.
+def group_by_header(listed: DataFrame) -> list[TextTable]:
+    """The files of a manifest grouped by header row; one read per group keeps columns in place.
 
-    Raises when one of them, such as a spreadsheet, cannot be read, so that no
-    table is left out in silence.  Only names come to the driver, one per file.
+    One row per header row comes to the driver, with the paths that its reader takes.
     """
-    listed = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    ).filter(is_data_table(F.col("path")))
-    rows = listed.select("path", is_readable_table(F.col("path")).alias("readable")).collect()
-    unreadable = sorted(row.path for row in rows if not row.readable)
-    if unreadable:
-        raise ValueError(f"{len(unreadable)} data tables cannot be read, such as {unreadable[:5]}")
-    return sorted(row.path for row in rows)
-
-
-def read_header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """The header row of one file: a few bytes, through the file system of the path."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    location = jvm.org.apache.hadoop.fs.Path(path)
-    stream = location.getFileSystem(conf).open(location)
-    try:
-        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(location)
-        source = codec.createInputStream(stream) if codec is not None else stream
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(source, "UTF-8"))
-        line = reader.readLine() or ""
-    finally:
-        stream.close()
-    return tuple(next(csv.reader([line.removeprefix("\ufeff")]), ()))
-
-
-def group_by_header(spark: SparkSession, paths: Iterable[str]) -> list[TextTable]:
-    """Files grouped by header row; one read per group keeps columns in place."""
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        groups.setdefault(read_header(spark, path), []).append(path)
-    return [TextTable(headers, tuple(files)) for headers, files in groups.items()]
+    groups = listed.groupBy("headers").agg(F.array_sort(F.collect_list("path")).alias("paths")).collect()
+    return [TextTable(tuple(row.headers), tuple(row.paths)) for row in sorted(groups, key=lambda row: row.paths[0])]
 
 
 def read_text_table(spark: SparkSession, table: TextTable, multi_line: bool = False) -> DataFrame:
@@ -99,18 +66,28 @@ def with_lineage(rows: DataFrame) -> DataFrame:
 
 
 def read_archive(
-    spark: SparkSession, root: str, multi_line: bool = False, skip: DataFrame | None = None
+    spark: SparkSession,
+    root: str,
+    multi_line: bool = False,
+    skip: DataFrame | None = None,
+    listed: DataFrame | None = None,
+    keep_copies: bool = False,
 ) -> tuple[DataFrame | None, DataFrame | None]:
     """(trips, catalog) of everything below ``root``; either may be None.
 
-    ``skip`` lists (archive, member) of files that copy earlier ones.
+    Files that copy earlier ones are left out unless ``keep_copies`` is set.
+    ``listed`` is the manifest of ``root``, if it has been made already; ``skip``
+    lists (archive, member) of further files to leave out.
     """
+    listed = manifest(spark, root) if listed is None else listed
+    if not keep_copies:
+        listed = listed.filter("duplicate_of IS NULL")
+    if skip is not None:
+        listed = listed.join(skip.select("archive", "member"), ["archive", "member"], "left_anti")
     trips: DataFrame | None = None
     catalog: DataFrame | None = None
-    for table in group_by_header(spark, list_data_files(spark, root)):
+    for table in group_by_header(listed):
         rows = read_text_table(spark, table, multi_line)
-        if skip is not None:
-            rows = rows.join(skip.select("archive", "member"), ["archive", "member"], "left_anti")
         if table.kind == "station_lookup":
             part = normalize_catalog(rows)
             catalog = part if catalog is None else catalog.unionByName(part)
