@@ -40,7 +40,7 @@ def key_below(spark: SparkSession, root: str):
 
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(key, path, bytes, modified) of every file; contents are not read."""
+    """(key, path, bytes, modified) of every file that holds a byte; contents are not read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return rows.select(
         key_below(spark, root).alias("key"),
