@@ -130,45 +130,87 @@ def prepare(rows, settings) -> Items:
     )
 
 
-def aligned(item: bytes, region: bytes, budget: int, low: int, high: int):
-    """Least edit distance of ``item`` to a part of ``region`` on the diagonals low..high, with its span; or None.
+CELLS = 1 << 20
+ENTRIES = 1 << 22
 
-    Only cells of the band are computed: one row of ``high - low + 1`` per item byte.
+
+def aligned(jobs):
+    """For each (item, region, budget, low, high) the least edit distance of the item to a part of the region, or None.
+
+    Only diagonals low..high count; the result has the distance and the span in
+    the region.  Jobs of like width run side by side, an item byte at a time; a job
+    leaves as soon as all of its band is over its budget.
     """
-    at = region.find(item)
-    if at >= 0:
-        return 0, at, at + len(item)
-    width, m, far = high - low + 1, len(item), 1 << 20
-    y = np.full(m + width, 256, np.int64)  # region byte at place i + diagonal
-    places = np.arange(len(y)) + low
-    inside = (places >= 0) & (places < len(region))
-    y[inside] = np.frombuffer(region, np.uint8)[places[inside]]
-    columns = np.arange(low, high + 1)
-    valid0 = (columns >= 0) & (columns <= len(region))
-    row = np.where(valid0, 0, far)
-    origin = columns.copy()
-    steps = np.arange(width)
-    for i, c in enumerate(item):
-        best = row + (y[i : i + width] != c)
-        from_where = origin
-        up = np.full(width, far)
-        up[:-1] = row[1:] + 1
+    out = [None] * len(jobs)
+    order = sorted(range(len(jobs)), key=lambda j: (jobs[j][4] - jobs[j][3], len(jobs[j][0])))
+    open_jobs = []
+    for j in order:
+        item, region, *_ = jobs[j]
+        at = region.find(item)
+        if at >= 0:
+            out[j] = (0, at, at + len(item))
+        else:
+            open_jobs.append(j)
+    while open_jobs:
+        width = jobs[open_jobs[0]][4] - jobs[open_jobs[0]][3] + 1
+        n = max(1, CELLS // (width + len(jobs[open_jobs[0]][0])))
+        some = [j for j in open_jobs[:n] if jobs[j][4] - jobs[j][3] < 2 * width]
+        open_jobs = open_jobs[len(some) :]
+        for j, result in zip(some, _side_by_side([jobs[j] for j in some]), strict=True):
+            out[j] = result
+    return out
+
+
+def _side_by_side(jobs):
+    size = np.array([len(item) for item, *_ in jobs])
+    budget, low, high = (np.array([job[k] for job in jobs]) for k in (2, 3, 4))
+    length = np.array([len(region) for _, region, *_ in jobs])
+    width, m, far = int((high - low).max()) + 1, int(size.max()), 1 << 20
+    x = np.zeros((len(jobs), m), np.int16)
+    y = np.full((len(jobs), m + width), 256, np.int16)  # region byte at place i + diagonal
+    for k, (item, region, _, first, _) in enumerate(jobs):
+        x[k, : len(item)] = np.frombuffer(item, np.uint8)
+        start, stop = max(0, first), min(len(region), first + m + width)
+        if stop > start:
+            y[k, start - first : stop - first] = np.frombuffer(region, np.uint8)[start:stop]
+    columns = low[:, None] + np.arange(width)
+    banded = columns <= high[:, None]
+    row = np.where(banded & (columns >= 0) & (columns <= length[:, None]), 0, far)
+    origin, steps, alive = columns.copy(), np.arange(width), np.arange(len(jobs))
+    out = [None] * len(jobs)
+    for i in range(m):
+        best = row + (y[alive, i : i + width] != x[alive, i, None])
+        up = np.full_like(row, far)
+        up[:, :-1] = row[:, 1:] + 1
         take = up < best
         best = np.where(take, up, best)
-        from_where = np.where(take, np.concatenate((origin[1:], origin[-1:])), from_where)
+        came = origin.copy()
+        came[:, :-1] = np.where(take[:, :-1], origin[:, 1:], origin[:, :-1])
         end = columns + i + 1
-        best = np.where((end >= 0) & (end <= len(region)), best, far)
+        best = np.where(banded & (end >= 0) & (end <= length[alive, None]), best, far)
         shifted = best - steps  # insertions run along the row
-        source = np.maximum.accumulate(np.where(shifted == np.minimum.accumulate(shifted), steps, 0))
-        row, origin = best[source] + steps - source, from_where[source]
-        if row.min() > budget:
-            return None
-    at = int(row.argmin())
-    return (int(row[at]), int(origin[at]), int(columns[at] + m)) if row[at] <= budget else None
+        source = np.maximum.accumulate(np.where(shifted == np.minimum.accumulate(shifted, 1), steps, 0), 1)
+        row = np.take_along_axis(best, source, 1) + steps - source
+        origin = np.take_along_axis(came, source, 1)
+        within = row.min(1) <= budget[alive]
+        done = size[alive] == i + 1
+        for k in np.flatnonzero(done & within):
+            at = int(row[k].argmin())
+            out[alive[k]] = (int(row[k, at]), int(origin[k, at]), int(columns[k, at] + i + 1))
+        stay = within & ~done
+        if not stay.any():
+            break
+        if not stay.all():
+            alive, row, origin, columns, banded = alive[stay], row[stay], origin[stay], columns[stay], banded[stay]
+    return out
 
 
 def _regions(h, offsets, items):
-    """(row, item, lowest and highest diagonal) of the band regions that reach the bound."""
+    """(row, item, lowest and highest diagonal) of the band regions that reach the bound.
+
+    A q-gram may be common to many items and recur in a text: items are taken in
+    ranges, so that not all of such entries are there at once.
+    """
     hits = np.flatnonzero(items.bitmap[h >> np.uint64(64 - BITS)])
     left = np.searchsorted(items.codes, h[hits])
     right = np.searchsorted(items.codes, h[hits], "right")
@@ -177,9 +219,26 @@ def _regions(h, offsets, items):
     fits = hits + Q <= offsets[rows + 1]
     hits, left, right, rows = (v[fits] for v in (hits, left, right, rows))
     times = right - left
-    which = np.repeat(left - np.concatenate(([0], np.cumsum(times)[:-1])), times) + np.arange(times.sum())
-    rows, item = np.repeat(rows, times), items.owner[which]
-    diagonal = np.repeat(hits, times) - offsets[rows] - items.place[which]
+    if not len(times):
+        return []
+    parts = 1 + int(times.sum()) // ENTRIES
+    found, edges = [], np.linspace(0, len(items.ids), parts + 1).astype(np.int64)
+    for first, last in zip(edges[:-1], edges[1:], strict=True):
+        entries = []
+        cuts = np.searchsorted(np.cumsum(times), np.arange(ENTRIES, int(times.sum()), ENTRIES)) + 1
+        for some in np.split(np.arange(len(times)), np.unique(cuts)):
+            n = times[some]
+            which = np.repeat(left[some] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            mine = (items.owner[which] >= first) & (items.owner[which] < last)
+            entries.append((np.repeat(rows[some], n)[mine], np.repeat(hits[some], n)[mine], which[mine]))
+        found += _banded(*(np.concatenate(c) for c in zip(*entries, strict=True)), offsets, items)
+    return sorted(found)
+
+
+def _banded(rows, hits, which, offsets, items):
+    """Regions of the shared q-grams given by text row, place in the piece and place among the q-grams of the items."""
+    item = items.owner[which]
+    diagonal = hits - offsets[rows] - items.place[which]
     step = items.budgets[item] + 1
     band = diagonal // step
     offset = 1 << 31
@@ -220,12 +279,17 @@ def matches(data, offsets, items):
     """(row, item id, distance, start, end) with byte places in the row, at most one for a row and item."""
     x, at, places = folded(data, offsets)
     h = grams(x)
-    best = {}
+    best, jobs, places_of = {}, {}, []
     for row, item, low, high in _regions(h, at, items) if len(items.codes) and len(h) else ():
         text, budget = items.texts[item], int(items.budgets[item])
         start = max(0, low - budget)
         region = bytes(x[at[row] + start : min(at[row + 1], at[row] + high + len(text) + budget + 1)])
-        result = aligned(text, region, budget, low - budget - start, high + budget - start)
+        # Regions that read alike are aligned once.
+        job = jobs.setdefault((text, region, budget, low - budget - start, high + budget - start), len(jobs))
+        places_of.append((row, item, start, job))
+    results = aligned(list(jobs))
+    for row, item, start, job in places_of:
+        result, budget = results[job], int(items.budgets[item])
         if result and result[0] < best.get((row, item), (budget + 1,))[0]:
             best[row, item] = (result[0], result[1] + start, result[2] + start)
     for (row, item), (distance, start, end) in sorted(best.items()):

@@ -93,6 +93,58 @@ def test_near_duplicates_of_odd_rows(odd, nothing):
     assert near_text.near_duplicates(nothing).collect() == []
 
 
+def test_rows_that_share_an_id_are_one_document(spark):
+    a, b, c = ("one two three four five six", "alpha beta gamma delta epsilon zeta", "red green blue pink grey black")
+    rows = [(3, b), (5, b), (5, a), (9, a), (11, c), (None, a)]
+    found = near_text.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in found} == {
+        (3, 3, True), (5, 3, False), (9, 3, False), (11, 11, True), (None, None, False)}
+
+
+def test_surplus_rows_are_judged_by_their_own_text(spark):
+    a, b = "one two three four five six", "alpha beta gamma delta epsilon zeta"
+    docs = spark.createDataFrame([(3, b), (5, b), (5, a), (7, "x y")], "doc_id long, text string")
+    gone = near_text.surplus(docs)
+    left = docs.withColumn("text_hash", F.xxhash64("text")).join(gone, ["doc_id", "text_hash"], "left_anti")
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == [(3, b), (5, a), (7, "x y")]
+
+
+def test_recall_of_crowded_nodes(spark):
+    """Texts that share boilerplate, in pairs of near copies: nodes are crowded and must branch, and pairs are found."""
+    random = np.random.default_rng(8)
+    rows = []
+    for i in range(400):
+        # Two thirds of the words are common to all, so every picked common token leads to a crowded node.
+        own = [f"o{i}x{j}" for j in range(30)]
+        text = [f"c{j}" for j in range(60)] + own
+        other = list(text)
+        other[int(random.integers(60, 90))] = f"n{i}"
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(other))]
+    settings = near_text.Settings(node_rows=16, leaders=4, unit_rows=64)
+    found = near_text.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), settings).collect()
+    joined = {r.doc_id: r.component_id for r in found}
+    together = sum(joined[2 * i] == joined[2 * i + 1] for i in range(400))
+    apart = sum(joined[2 * i] == joined[2 * i + 2] for i in range(399))
+    assert together >= 0.99 * 400 and apart == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_walked_sets_equal_all_pairs(seed):
+    random = np.random.default_rng(seed)
+    tokens = random.integers(0, 3, (150, 16)).astype(np.uint32)
+    tokens[50:90] = tokens[0]
+    tokens[50:90, 0] = np.arange(40)
+    groups = Groups(range(150))
+    for i in range(150):
+        for j in range(i):
+            if (tokens[i] == tokens[j]).sum() >= 11:
+                groups.join(i, j)
+    mine = Groups(range(150))
+    for x, y in near_text.alike_pairs(tokens, 11):
+        mine.join(x, y)
+    assert [mine.find(i) for i in range(150)] == [groups.find(i) for i in range(150)]
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     roots = {r.node: r.root for r in components(edges).collect()}
@@ -288,3 +340,20 @@ def test_contamination_ignores_case_signs_and_blocks(spark, odd, nothing):
     assert (row.start, row.distance) == (3, 0)
     assert decontaminate.contaminated(odd, items).collect() == []
     assert decontaminate.contaminated(nothing, items).collect() == []
+
+
+def test_strings_that_only_share_hashes_stay(monkeypatch):
+    """With every string under one hash, what is removed is still only what is equal."""
+    data = np.frombuffer(b"abcdabcdabce", np.uint8)
+    at, size = np.array([0, 4, 8]), np.array([4, 4, 4])
+    same = suffix_dedup._same_as_before(data, at, size, np.array([False, True, True]))
+    assert same.tolist() == [False, True, False]
+    assert suffix_dedup._same_as_before(data, at, np.array([4, 3, 4]), np.array([False, True, True])).tolist() == [False, False, False]
+
+
+def test_vectors_of_several_lengths_link_within_theirs(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.0, 0.01]), (6, [5.0]), (7, [2.0]), (8, [1.0, 2.0, 3.0, 4.0])]
+    rows += [(9, None), (10, []), (11, [0.0, 0.0]), (12, [None, 1.0])]
+    found = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert found == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (1, 6), 8: (0, 8),
+                     9: (0, 9), 10: (0, 10), 11: (0, 11), 12: (0, 12)}

@@ -71,6 +71,28 @@ def test_best_fit_fills_bins_without_gaps(seed):
     assert ls.sum() / sum(capacity[np.unique(bins, return_index=True)[1]]) > 0.97
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_one_size_packs_as_best_fit_piece_by_piece(seed):
+    """With one permitted size the plan opens as many bins, filled alike, as best fit does a piece at a time."""
+    random = np.random.default_rng(seed)
+    lengths = sorted((int(x) for x in np.clip(random.lognormal(4, 1, 400), 1, 512)), reverse=True)
+    rooms = []
+    for length in lengths:
+        fits = [r for r in rooms if r >= length]
+        if fits:
+            rooms.remove(min(fits))
+            rooms.append(min(fits) - length)
+        else:
+            rooms.append(512 - length)
+    histogram = {int(k): int(n) for k, n in Counter(lengths).items()}
+    plan = packing.best_fit(histogram, (512,))
+    ls = np.repeat(list(histogram), list(histogram.values()))
+    ranks = np.concatenate([np.arange(n) for n in histogram.values()])
+    bins = packing.place(plan, (512,), ls, ranks)[0]
+    content = np.bincount(bins, ls)
+    assert sorted(512 - content) == sorted(rooms)
+
+
 def test_packing_keeps_every_token(documents, odd, nothing):
     for docs in (documents, odd):
         rows = packing.pack(packing.token_lengths(docs), capacities=(256, 512, 1024)).collect()
@@ -98,10 +120,25 @@ def test_pipeline_stages(spark, documents):
 
 
 def test_pipeline_of_odd_and_no_rows(spark, odd, nothing):
-    for docs in (odd, nothing):
+    for docs, some in ((odd, True), (nothing, False)):
+        before = docs.count()
         for name, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.stored(stage(spark, docs, "/root/testdata/sf0.001"))
-        assert (docs.count() > 0) == (docs.count() != 0)
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert docs.columns == corpus_pipeline.COLUMNS and docs.count() <= before, name
+                before = docs.count()
+        ids = {r.doc_id for r in docs.select("doc_id").collect()}
+        assert (None in ids) == some and len(ids) <= before
+
+
+def test_pipeline_filters_by_row_and_not_by_id(spark):
+    a, b = "one two three four five six seven", "alpha beta gamma delta epsilon zeta eta"
+    docs = spark.createDataFrame(
+        [(3, b, "en", "s", 1), (5, b, "en", "s", 1), (5, a, "en", "s", 1), (None, b, "en", "s", 1)],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
+    left = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == [("3", b), ("5", a), ("None", b)]
 
 
 def test_one_query_for_each_operator():
