@@ -22,6 +22,7 @@ from placetrace.session import checkpoint
 PLACE = ("station_id", "station_name", "role")
 LINEAGE = ("archive", "member", "schema")
 POINT = ("lat", "lon", "state")
+CODE = ["code_a", "code_b"]
 # Points of one place that a single task may sort.
 LIGHT = 1 << 20
 # Quantiles of each axis: of coarse points and of fine ones.
@@ -79,7 +80,8 @@ def census(trips: DataFrame, by: Sequence[str] = LINEAGE) -> DataFrame:
     state = trip_state(F.col("started_at"), F.col("ended_at")).alias("state")
     ends = trips.select(*by, "trip_id", state, F.inline(F.array(end("start", "started_at"), end("end", "ended_at"))))
     first = F.min(F.when(F.col("trip_id").isNotNull(), F.struct("event_at", "trip_id")))
-    return ends.groupBy(*by, *PLACE, *POINT).agg(
+    # The minimum of a struct makes Spark sort by these keys, so those that tell rows apart come first.
+    return ends.groupBy(*POINT[:2], *PLACE, POINT[2], *by).agg(
         F.count(F.lit(1)).alias("n"),
         F.count("event_at").alias("timed"),
         F.count("trip_id").alias("named"),
@@ -114,11 +116,10 @@ def _totals(keys: Sequence[str]):
     ]
 
 
-def _light(points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Totals and quantiles of places whose points a task can sort: all windows in one shuffle by place."""
-    code = ["code_a", "code_b"]
-    group = Window.partitionBy(*code, "series")
-    ranked = points.repartition(*code).withColumn("total", F.sum("n").over(group))
+def _light(points: DataFrame) -> DataFrame:
+    """Quantiles of places whose points a task can sort: all windows in one shuffle by place, of numbers only."""
+    group = Window.partitionBy(*CODE, "series")
+    ranked = points.repartition(*CODE).withColumn("total", F.sum("n").over(group))
     for axis in ("lat", "lon"):
         upto = group.orderBy(axis).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         ranked = ranked.withColumn(f"{axis}_upto", F.sum("n").over(upto))
@@ -129,24 +130,14 @@ def _light(points: DataFrame, keys: Sequence[str]) -> DataFrame:
         for column, p in named.items():
             value = interpolated(F.col("series") == kind, F.col(axis), upto - F.col("n"), upto, F.col("total"), p)
             picks.append(value.alias(column))
-    return ranked.groupBy(*code).agg(*_totals(keys), *picks).drop(*code)
+    return ranked.groupBy(*CODE).agg(*picks)
 
 
-def _heavy(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _heavy(points: DataFrame) -> DataFrame:
     """The same for places of any size: combined before the shuffle, ranks found in buckets of values."""
-    place = points.withColumn("place", F.struct("code_a", "code_b"))
-    located = place.filter("series IS NOT NULL")
-    values = located.select(
-        "place",
-        "n",
-        F.inline(
-            F.array(
-                *[F.struct(F.concat("series", F.lit(f"_{axis}")).alias("series"), F.col(axis).alias("value")) for axis in ("lat", "lon")]
-            )
-        ),
-    )
-    spots = grouped_quantiles(values, "place", SPOTS, weight="n")
-    return place.groupBy("place").agg(*_totals(keys)).join(spots, "place", "left").drop("place")
+    axes = [F.struct(F.concat("series", F.lit(f"_{axis}")).alias("series"), F.col(axis).alias("value")) for axis in ("lat", "lon")]
+    values = points.select(F.struct(*CODE).alias("place"), "n", F.inline(F.array(*axes)))
+    return grouped_quantiles(values, "place", SPOTS, weight="n").select("place.*", "*").drop("place")
 
 
 def observe_census(counted: DataFrame, rules: Rules = DEFAULT, light: int = LIGHT) -> DataFrame:
@@ -158,14 +149,18 @@ def observe_census(counted: DataFrame, rules: Rules = DEFAULT, light: int = LIGH
     spot = valid & in_box(lat, lon, rules.box)
     series = F.when(spot, F.when(is_coarse(lat, lon, rules), "coarse").otherwise("fine"))
     points = counted.select("*", valid.alias("valid"), series.alias("series"), *_place_code(keys))
-    code = ["code_a", "code_b"]
-    crowded = checkpoint(points.groupBy(*code).agg(F.count(F.lit(1)).alias("points")).filter(F.col("points") > light))
-    if crowded.limit(1).count():
-        few = points.join(crowded, code, "left_anti")
-        many = points.join(crowded.drop("points"), code, "left_semi")
-        rows = _light(few, keys).unionByName(_heavy(many, keys))
+    totals = points.groupBy(*CODE).agg(*_totals(keys))
+    located = points.filter("series IS NOT NULL").select(*CODE, "series", "lat", "lon", "n")
+    crowded = None
+    if counted.count() > light:  # a place cannot have more points than there are
+        crowded = checkpoint(located.groupBy(*CODE).agg(F.count(F.lit(1)).alias("points")).filter(F.col("points") > light))
+    if crowded is None or crowded.isEmpty():
+        spots = _light(located)
     else:
-        rows = _light(points, keys)
+        few = located.join(crowded, CODE, "left_anti")
+        many = located.join(crowded, CODE, "left_semi")
+        spots = _light(few).unionByName(_heavy(many))
+    rows = totals.join(spots, CODE, "left").drop(*CODE)
     return rows.withColumn("name_key", normalize_name(F.col("station_name")))
 
 
