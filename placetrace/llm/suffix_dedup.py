@@ -175,14 +175,22 @@ def _pieces(values, starts, ends):
     return values[index]
 
 
-def _same_as_before(data, at, size, alike):
-    """Of the strings (at, size) marked ``alike`` by hash, those whose bytes equal those of the string before."""
+def _same_as_before(data, at, size, alike, step=1 << 20):
+    """Of the strings (at, size) marked ``alike`` by hash, those whose bytes equal those of the string before.
+
+    About ``step`` bytes are compared at a time.
+    """
     i = np.flatnonzero(alike)
     i = i[size[i] == size[i - 1]]
     out = np.zeros(len(alike), bool)
-    if len(i):
-        other = _pieces(data, at[i], at[i] + size[i]) != _pieces(data, at[i - 1], at[i - 1] + size[i])
-        out[i] = ~np.logical_or.reduceat(other, np.concatenate(([0], np.cumsum(size[i])[:-1])))
+    ends = np.cumsum(size[i])
+    for some in np.split(i, np.unique(np.searchsorted(ends, np.arange(step, ends[-1], step)) + 1) if len(i) else []):
+        if len(some):
+            n = size[some]
+            first = np.cumsum(n) - n
+            index = np.arange(n.sum(), dtype=np.int32) + np.repeat((at[some] - first).astype(np.int32), n)
+            other = data[index] != data[index - np.repeat((at[some] - at[some - 1]).astype(np.int32), n)]
+            out[some] = ~np.logical_or.reduceat(other, first)
     return out
 
 
