@@ -97,3 +97,14 @@ def test_previous_copy_in_small_blocks(spark):
     for block in (1, 5, 1000):
         got = previous_copy(df, ["sha"], "pos", "path", "duplicate_of", block).collect()
         assert {r.pos: r.duplicate_of for r in got} == expected
+
+
+def test_distance_join_broadcasts_no_copies(spark, tmp_path):
+    """A small file may hold rows that fill a driver's memory once they are copied to nine cells."""
+    points = spark.range(200).selectExpr("id AS i", "41.9D + id * 1e-5 AS lat", "-87.6D AS lon")
+    points.write.parquet(str(tmp_path / "points"))
+    stored = spark.read.parquet(str(tmp_path / "points"))
+    joined = distance_join(stored, stored, 150.0, "i", "i")
+    joined.collect()
+    plan = joined._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
