@@ -48,6 +48,17 @@ def test_similar_name_is_for_review_only(spark):
     assert rows[0].name_similarity == pytest.approx(1 - 7 / 25, abs=1e-4)
 
 
+def test_pairs_that_are_only_near_are_not_formed_for_matches(spark):
+    ents = entities(spark, entity("a", "Elm Street & First Avenue", "old-id"), entity("b", "Elm St & First Ave", "X001"))
+    found = matching.match_candidates(ents, feed(spark))
+    assert {(r.station_key, r["rank"], r.exact_name, r.shared_short_name) for r in found.collect()} == {
+        ("a", 99, False, False), ("b", 0, True, True)
+    }
+    usable = found.filter("rank < 99")
+    assert "__y" not in usable._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.station_key for r in usable.collect()] == ["b"]
+
+
 def test_two_claims_cancel(spark):
     ents = entities(spark, *[entity(k, "Elm St & First Ave", "X001") for k in "ab"])
     rows = resolved(spark, ents)
