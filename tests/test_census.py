@@ -15,6 +15,7 @@ from placetrace.operators.cluster import cluster_by_name
 from placetrace.operators.joins import split_join
 from placetrace.operators.matching import feed_rows
 from placetrace.operators.spatial import edge_cells, point_in_boundary
+from placetrace.session import SPLIT_BYTES, checkpoint_large, small_tasks
 from placetrace.sources.boundary import edges_from_rings
 
 TRIP = (
@@ -163,3 +164,15 @@ def test_feeds_may_leave_out_fields(spark):
     status = spark.createDataFrame([], "station_id string, is_installed int, is_renting int, is_returning int")
     row = feed_rows(city, info, status).first()
     assert (row.short_name, row.status, row.capacity) == ("", None, None)
+
+
+def test_whole_tables_are_stored_for_tasks_of_bounded_size(spark):
+    """However few tasks write a table, its files hold a bounded number of rows and are read by a task each."""
+    settings = ("spark.sql.files.maxPartitionBytes", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(key) for key in settings]
+    stored = checkpoint_large(spark.range(0, 1000, 1, 1), file_rows=100)
+    assert len(stored.inputFiles()) == 10 and stored.count() == 1000
+    with pytest.raises(ZeroDivisionError), small_tasks(spark):
+        assert int(spark.conf.get(settings[0])) == SPLIT_BYTES
+        raise ZeroDivisionError
+    assert [spark.conf.get(key) for key in settings] == before
