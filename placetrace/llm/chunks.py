@@ -22,8 +22,12 @@ from placetrace.llm.textkit import text_buffer
 LAST = (1 << 63) - 1
 
 
-def pressed(*arrays):
-    return zstandard.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 1)
+# Level for texts: they are stored once and shuffled several times.
+TEXT_LEVEL = 5
+
+
+def pressed(*arrays, level=1):
+    return zstandard.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), level)
 
 
 def gather(chunk_bytes):
@@ -42,7 +46,7 @@ def gather(chunk_bytes):
                 pa.array([number]),
                 pa.array([pressed(ids)], pa.binary()),
                 pa.array([pressed(offsets)], pa.binary()),
-                pa.array([pressed(data)], pa.binary()),
+                pa.array([pressed(data, level=TEXT_LEVEL)], pa.binary()),
                 pa.array([len(data)]),
                 pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), rest),
             ]

@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placetrace.llm.chunks import LAST, bucket_of, chunked, packed_rows, pressed, rows_of, split_by, unpressed
+from placetrace.llm.chunks import LAST, TEXT_LEVEL, bucket_of, chunked, packed_rows, pressed, rows_of, split_by, unpressed
 from placetrace.llm.graph import by_key
 from placetrace.llm.tables import stored
 from placetrace.llm.textkit import BASE, byte_codes, mix, power_tables
@@ -241,7 +241,7 @@ def _context_rows(chunk, flag, settings, bins):
         ends = high[i] + settings.length
         meta = np.stack([key[i].view(np.int64), key2[i].view(np.int64), chunk.ids[doc[i]], doc[i], low[i] - at[i], ends - low[i]])
         body = _pieces(chunk.data, low[i], ends)
-        rows.append((number, chunk.number, pressed(np.array([len(i)], np.int64), meta, body)))
+        rows.append((number, chunk.number, pressed(np.array([len(i)], np.int64), meta, body, level=TEXT_LEVEL)))
     return rows
 
 

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placetrace.llm import decontaminate, near_text, near_vectors, suffix_dedup
+from placetrace.llm.chunks import chunked, pressed, unpressed
 from placetrace.llm.graph import components
 
 
@@ -357,3 +358,13 @@ def test_vectors_of_several_lengths_link_within_theirs(spark):
     found = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert found == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (1, 6), 8: (0, 8),
                      9: (0, 9), 10: (0, 10), 11: (0, 11), 12: (0, 12)}
+
+
+def test_chunks_store_texts_smaller_than_what_is_compressed_for_speed(spark):
+    words = "place trip stop rider dock lane north south early late winter summer".split()
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(words[j] for j in rng.integers(0, len(words), 400))) for i in range(100)]
+    chunks = chunked(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 4 << 20).collect()
+    texts = "".join(t for _, t in rows).encode()
+    assert b"".join(unpressed(c["data"], np.uint8).tobytes() for c in chunks) == texts
+    assert sum(len(c["data"]) for c in chunks) < 0.95 * len(pressed(np.frombuffer(texts, np.uint8)))
