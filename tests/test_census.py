@@ -75,6 +75,15 @@ def test_observations_equal_counting_by_hand(spark, light):
         assert [r.coarse_lat, r.lat, r.lat_p05, r.lon_p95] == [None if x is None else pytest.approx(x, abs=1e-9) for x in e[7:]]
 
 
+@pytest.mark.parametrize("light", [observe.LIGHT, 20, 0], ids=["all light", "some heavy", "all heavy"])
+def test_roll_up_of_trips_without_a_census(spark, light, monkeypatch):
+    """Whole ends are neither shuffled nor stored, and the rows are those of the census."""
+    _, df = trips(spark)
+    expected = sorted(map(repr, observe.observe_census(observe.checkpoint(observe.census(df))).collect()))
+    monkeypatch.delattr(observe, "census")
+    assert sorted(map(repr, observe.observe_stored(df, light=light).collect())) == expected
+
+
 def test_profile_from_the_census(spark):
     rows, df = trips(spark)
     for r in profile.profile_trips(df).collect():
