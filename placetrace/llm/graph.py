@@ -20,6 +20,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     pairs = edges.where(a.isNotNull() & b.isNotNull() & (a != b))
     pairs = stored(pairs.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
     state = _state(pairs)
+    if not state[0]:  # no edges, nothing to settle
+        return pairs.toDF("node", "root")
     for _ in range(rounds):
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))

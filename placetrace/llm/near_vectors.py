@@ -261,9 +261,10 @@ def _searched(vectors, n, width, settings, codes, old=None):
             .drop("place", "own")
         )
         members = forward.unionByName(backward).unionByName(
-            lists.select(F.col("u").alias("centre"), F.col("u").alias("member"), F.lit(False).alias("fresh")).distinct()
+            state.select(F.col("u").alias("centre"), F.col("u").alias("member"), F.lit(False).alias("fresh"))
         )
-        active = members.where("fresh").select("centre").distinct()
+        # Fresh entries come first in the backward lists, so both ends of one have it.
+        active = lists.where("fresh").select(F.explode(F.array("u", "v")).alias("centre")).distinct()
         joined = (
             members.join(active, "centre", "left_semi")
             .join(state.withColumnRenamed("u", "member"), "member")

@@ -277,6 +277,13 @@ def test_missed_links_are_found_by_the_audit(spark):
     assert recall == 0.0 and 2 * len(pairs) == sum(n for n, _ in expected.values()) > 50
 
 
+def test_components_of_no_edges_take_no_rounds(spark):
+    """Loops and nulls are no edges; without others nothing is settled in rounds."""
+    edges = spark.createDataFrame([(3, 3), (None, 1), (2, None)], "a long, b long")
+    found = components(edges, rounds=0)
+    assert found.columns == ["node", "root"] and found.collect() == []
+
+
 def test_no_vectors(spark):
     kind = "vec_id long, embedding array<float>"
     assert near_vectors.near_vectors(spark.createDataFrame([], kind)).collect() == []
