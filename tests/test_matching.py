@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from placetrace.operators import checks, matching
 from placetrace.params import REGION_COLUMNS
+from placetrace.plans import stages
 
 ENTITY = (
     "station_key string, station_name string, name_variants string, source_ids string, station_type string,"
@@ -124,6 +125,22 @@ def test_reconciled_columns_and_coverage(spark):
     assert counts == {"city": (1, 1), "gbfs": (1, 0)}
 
 
+def test_reconciled_stores_no_pairs_that_are_only_near(spark, monkeypatch):
+    """Crowded sites: 60 entities and 60 feed rows on one spot under names of their own, but for one."""
+    ents = entities(spark, *[entity(f"e{i}", f"Old {i}", f"o{i}") for i in range(60)], entity("a", "Elm St & First Ave", "X001"))
+    feeds = feed(spark, *[
+        ("gbfs", f"g{i}", f"n{i}", f"New {i}", f"new {i}", "station", 41.9001, -87.6501, "ok", "classic") for i in range(60)])
+    monkeypatch.setattr(stages, "_DONE", {})
+    for name, rows in {"entities": ents, "flagged": ents, "feeds": feeds}.items():
+        monkeypatch.setattr(stages.Stages, name, lambda self, rows=rows: rows)
+    got = stages.Stages(spark, "crowded").reconciled()
+    everything = matching.resolve_matches(matching.match_candidates(ents, feeds))
+    assert everything.count() > 60 * 60
+    expected = matching.reconcile(ents, feeds, everything, "2026-09-15")
+    assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+    assert all(df.count() <= 61 for df in stages._DONE.values())
+
+
 REFERENCE = (
     "station_key string, city_station_id string, station_first_trip_at timestamp_ntz, source_ids string,"
     " name_variants string, first_trip_archive string, opening_date_status string,"
