@@ -16,7 +16,9 @@ smaller doc_id, or earlier in the same document) covers it.
 4. A bin splits its different contexts into shards, builds the transform of each,
    and merges them by iterative interleave refinement: the interleave sorted by
    the first j bytes is dealt stably by the two bytes before each suffix, which
-   sorts it by j + 2 bytes.  Groups that still hold together after ``length`` bytes
+   sorts it by j + 2 bytes.  Only suffixes that lead to a whole window take part, and
+   one that is alone in its group leaves, as what precedes it is alone as well.
+   Groups that still hold together after ``length`` bytes
    are the repeated intervals; all but the earliest of each are removed.  Shards
    are sorted once; merging never sorts suffixes again.
 5. Removed windows return to the chunks, which emit the kept bytes.
@@ -246,7 +248,12 @@ def _context_rows(chunk, flag, settings, bins):
 
 
 class Transform:
-    """Rotations of a shard's strings, sorted by ``depth`` bytes, and the ``step`` bytes before each."""
+    """Rotations of a shard's strings, sorted by ``depth`` bytes.
+
+    Of each the ``step`` bytes before it (``symbols``), the place in the order of the
+    rotation that starts with them (``back``), and whether a window of ``depth`` bytes
+    of the string ends before it (``whole``).
+    """
 
     def __init__(self, data, starts, depth, step):
         n = np.diff(np.append(starts, len(data)))
@@ -256,18 +263,18 @@ class Transform:
         def ahead(by):
             return begin + (inside + by) % size
 
-        rank, done = data.astype(np.int64), 1
+        rank, done = data.astype(np.uint32), 1
         for _ in range(2):  # four bytes
-            rank = (rank << (8 * done)) | rank[ahead(done)]
+            rank = (rank << np.uint32(8 * done)) | rank[ahead(done)]
             done *= 2
         while True:
-            order = np.argsort(rank, kind="stable")
+            order = np.argsort(rank)
             new = np.ones(len(rank), np.int64)
             new[1:] = rank[order][1:] != rank[order][:-1]
+            if done >= depth or new.all():
+                break
             dense = np.empty(len(rank), np.int64)
             dense[order] = np.cumsum(new) - 1
-            if done >= depth:
-                break
             by = min(done, depth - done)
             rank, done = (dense << 32) | dense[ahead(by)], done + by
         self.places = order
@@ -275,27 +282,34 @@ class Transform:
         for j in range(step, 0, -1):
             before = (before << 8) | data[ahead(-j)]
         self.symbols = before[order]
+        place = np.empty(len(data), np.int64)
+        place[order] = np.arange(len(data))
+        self.back = place[ahead(-step)[order]]
+        self.whole = ((size >= depth) & ((inside >= depth) | (inside == 0)))[order]
 
 
 def interleave(shards, depth, step):
-    """Merge shard transforms: shard of each merged rotation and the group of its first ``depth`` bytes.
+    """Merge shard transforms: (place, group) of the repeated windows of ``depth`` bytes.
 
-    Each round deals the interleave stably by the symbols before its rotations;
-    groups split where the symbol or the former group differs.
+    A place counts through the transforms, one after the other.  Each round deals the
+    interleave stably by the symbols before its rotations; groups split where the symbol
+    or the former group differs, and a rotation alone in its group is not merged further.
     """
-    origin = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s.symbols) for s in shards])
+    first = np.cumsum([0, *[len(s.symbols) for s in shards[:-1]]])
     symbols = np.concatenate([s.symbols for s in shards])
-    group = np.zeros(len(origin), np.int32)
-    merged = np.empty(len(origin), np.uint16)
+    back = np.concatenate([s.back + a for s, a in zip(shards, first, strict=True)])
+    place = np.flatnonzero(np.concatenate([s.whole for s in shards]))
+    group = np.zeros(len(place), np.int32)
     for _ in range(depth // step):
-        merged[np.argsort(origin, kind="stable")] = symbols
+        merged = symbols[place]
         order = np.argsort(merged, kind="stable")
         dealt, group = merged[order], group[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (dealt[1:] != dealt[:-1]) | (group[1:] != group[:-1])
-        group = np.cumsum(new, dtype=np.int32)
-        origin = origin[order]
-    return origin, group
+        new = np.ones(len(order) + 1, bool)
+        new[1:-1] = (dealt[1:] != dealt[:-1]) | (group[1:] != group[:-1])
+        several = ~(new[:-1] & new[1:])
+        group = np.cumsum(new[:-1], dtype=np.int32)[several]
+        place = back[place[order[several]]]
+    return place, group
 
 
 def repeated(data, starts, settings):
@@ -312,14 +326,8 @@ def repeated(data, starts, settings):
         shard = Transform(data[first:last], starts[a:b] - first, k, step)
         shards.append(shard)
         places.append(shard.places + first)
-    origin, group = interleave(shards, k, step)
-    place = np.empty(len(data), np.int64)
-    place[np.argsort(origin, kind="stable")] = np.concatenate(places)
-    ends = np.append(starts[1:], len(data))
-    whole = place + k <= ends[np.searchsorted(starts, place, "right") - 1]  # not around the end of a string
-    place, group = place[whole], group[whole]
-    often = np.bincount(group)[group] > 1
-    return place[often], group[often]
+    place, group = interleave(shards, k, step)
+    return np.concatenate(places)[place], group
 
 
 def _runs(values):

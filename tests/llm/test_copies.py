@@ -375,3 +375,23 @@ def test_chunks_store_texts_smaller_than_what_is_compressed_for_speed(spark):
     texts = "".join(t for _, t in rows).encode()
     assert b"".join(unpressed(c["data"], np.uint8).tobytes() for c in chunks) == texts
     assert sum(len(c["data"]) for c in chunks) < 0.95 * len(pressed(np.frombuffer(texts, np.uint8)))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_only_rotations_before_whole_windows_are_merged(seed):
+    random, k = np.random.default_rng(seed), 10
+    base = random.integers(0, 3, 60).astype(np.uint8)
+    strings = [base[a : a + n] for a, n in zip(random.integers(0, 30, 9), random.integers(k, 30, 9), strict=True)]
+    shards, seen, at = [], {}, 0
+    for some in (strings[:4], strings[4:]):
+        starts = np.cumsum([0, *[len(s) for s in some[:-1]]])
+        shards.append(suffix_dedup.Transform(np.concatenate(some), starts, k, 2))
+        assert shards[-1].whole.sum() == sum(len(s) - k + 1 for s in some)
+        for s in some:
+            for i in range(len(s) - k + 1):
+                seen.setdefault(s[i : i + k].tobytes(), set()).add(at + i)
+            at += len(s)
+    place, group = suffix_dedup.interleave(shards, k, 2)
+    places = np.concatenate([shards[0].places, shards[1].places + len(shards[0].places)])[place]
+    found = {frozenset(places[group == g].tolist()) for g in np.unique(group)}
+    assert found == {frozenset(v) for v in seen.values() if len(v) > 1}
