@@ -6,9 +6,10 @@ import glob
 import time
 
 from pyspark.sql import functions as F
+from test_census import trips
 
 from placetrace import session
-from placetrace.operators import cluster
+from placetrace.operators import cluster, observe, profile
 from placetrace.params import DEFAULT
 
 
@@ -56,3 +57,20 @@ def test_anchors_copied_to_cells_are_not_broadcast(spark):
     anchors = cluster.number_anchors(cluster.find_anchors(rows, 150, grid))
     text = plan(cluster.assign_located(rows, anchors, 150, grid))
     assert anchors.count() > 1 and "BroadcastHashJoin" not in text and "SortMergeJoin" in text
+
+
+def test_ends_of_stored_trips_move_once_and_without_codes(spark):
+    _, df = trips(spark)
+    stored = session.checkpoint(df)
+    text = plan(observe.observe_stored(stored))
+    assert text.count("Exchange hashpartitioning") == 1 and "Window" not in text
+    moved = text[text.index("Exchange") :].split("\n", 1)[1]
+    assert "code_a" not in moved and "code_b" not in moved
+
+
+def test_profile_without_a_census(spark):
+    _, df = trips(spark)
+    expected = sorted(map(repr, profile.profile_trips(df).collect()))
+    found = profile.profile_trips(df, ends=observe.single_ends(df))
+    assert "lat#" not in "".join(line for line in plan(found).split("\n") if "Exchange" in line)
+    assert sorted(map(repr, found.collect())) == expected
