@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import time
+from datetime import date
 
 from pyspark.sql import functions as F
 from test_census import trips
@@ -11,6 +12,7 @@ from test_census import trips
 from placetrace import session
 from placetrace.operators import cluster, observe, profile
 from placetrace.params import DEFAULT
+from placetrace.plans import adapters
 
 
 def plan(df):
@@ -74,3 +76,34 @@ def test_profile_without_a_census(spark):
     found = profile.profile_trips(df, ends=observe.single_ends(df))
     assert "lat#" not in "".join(line for line in plan(found).split("\n") if "Exchange" in line)
     assert sorted(map(repr, found.collect())) == expected
+
+
+def test_trips_are_joined_by_keys_and_places_made_afterwards(spark, tmp_path):
+    """Keys that repeat, are missing or have no row, as when whole place rows were joined."""
+    days = [date(1993, 2, 1), date(1996, 5, 3), None]
+    tables = {
+        "customer": spark.createDataFrame([(k,) for k in (1, 2, 2, 83, 400, None)], "c_custkey long"),
+        "supplier": spark.createDataFrame([(k,) for k in (20, 20, 44, 181, None)], "s_suppkey long"),
+        "orders": spark.createDataFrame(
+            [(i, (1, 2, 83, 400, 7, None)[i % 6], days[i % 3]) for i in range(60)] + [(3, 1, days[1]), (None, 1, days[1])],
+            "o_orderkey long, o_custkey long, o_orderdate date",
+        ).withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz")),
+        "lineitem": spark.createDataFrame(
+            [(i % 64, i % 5, (20, 44, 181, 9, None)[i % 5], (i * 7) % 1500, days[i % 3]) for i in range(300)],
+            "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_shipdate date",
+        ).withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz")),
+    }
+    for name, rows in tables.items():
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    starts = adapters._chain(tables["customer"], adapters.START_PLACES)
+    ends = adapters._chain(tables["supplier"], adapters.END_PLACES)
+    joined = tables["lineitem"].join(tables["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
+    placed = adapters._chain(joined, adapters.TRIPS[:1]).join(starts, F.col("k1") == F.col("a_key"))
+    expected = adapters._chain(placed.join(ends, F.col("k2") == F.col("b_key")), adapters.TRIPS[1:])
+    found = adapters.trips(spark, str(tmp_path))
+    assert found.schema == expected.schema
+    below = plan(found)
+    below = below[below.index("Join") :]
+    assert "a_name" not in below and "b_name" not in below and "upper" not in below
+    rows = sorted(map(repr, found.collect()))
+    assert rows == sorted(map(repr, expected.collect())) and len(rows) > 100
